@@ -70,11 +70,11 @@ def impulses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def poses(spark: SparkSession, sf: str) -> DataFrame:
-    """Pose samples made from the embeddings: 17 keypoints (x, y, conf), frame vec_id of match label, sides far and near by turns."""
+    """Pose samples made from the embeddings: 17 keypoints (x, y, conf), frame vec_id of match 1001 + label, sides far and near by turns."""
     e = table(spark, sf, "embeddings")
     v = lambda k: F.col("embedding")[k].cast("double")
     points = F.array(*[F.struct((v(3 * j) * 100 + 300).alias("x"), (v(3 * j + 1) * 100 + 400).alias("y"), F.least(F.lit(1.0), F.abs(v(3 * j + 2)) * 4).alias("conf")) for j in range(17)])
-    return e.select(F.col("label").cast("long").alias("match_id"), F.col("vec_id").alias("frame"), F.when(F.col("vec_id") % 2 == 0, "far").otherwise("near").alias("side"), points.alias("kp"), *[(F.abs(v(51 + k)) * 100 + 100 + 150 * (k // 2)).alias(f"b{k}") for k in range(4)])
+    return e.select((F.col("label") + 1001).cast("long").alias("match_id"), F.col("vec_id").alias("frame"), F.when(F.col("vec_id") % 2 == 0, "far").otherwise("near").alias("side"), points.alias("kp"), *[(F.abs(v(51 + k)) * 100 + 100 + 150 * (k // 2)).alias(f"b{k}") for k in range(4)])
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +106,7 @@ ball AS (SELECT match_id, phase, frame, vis, CASE WHEN vis THEN CAST(r.x AS DOUB
     "hits": """hits AS (SELECT hit_id, match_id, CAST(frame AS BIGINT) AS frame, x, y, score, speed, coalesce(source, 'unknown') AS source, coalesce(hitter, 'unknown') AS hitter, hitter_confidence, hitter_source, CAST(rally AS BIGINT) AS rally, track_id, uncertain FROM
   (SELECT hit_id, """ + ", ".join(f"max({c}) AS {c}" for c in ("match_id", "frame", "x", "y", "score", "speed", "source", "hitter", "hitter_confidence", "hitter_source", "rally", "track_id", "uncertain")) + """ FROM hit_event WHERE hit_id IS NOT NULL GROUP BY hit_id) WHERE match_id IS NOT NULL AND frame IS NOT NULL)""",
     "impulses": "impulses AS (SELECT * FROM (SELECT audio_id, max(match_id) AS match_id, CAST(max(frame) AS BIGINT) AS frame, max(score) AS score FROM audio_impulse WHERE audio_id IS NOT NULL GROUP BY audio_id) WHERE match_id IS NOT NULL AND frame IS NOT NULL)",
-    "poses": "poses AS (SELECT CAST(label AS BIGINT) AS match_id, vec_id AS frame, CASE WHEN vec_id % 2 = 0 THEN 'far' ELSE 'near' END AS side, list_transform(range(17), lambda j: struct_pack(x := CAST(embedding[3 * j + 1] AS DOUBLE) * 100 + 300, y := CAST(embedding[3 * j + 2] AS DOUBLE) * 100 + 400, conf := least(1.0::DOUBLE, abs(CAST(embedding[3 * j + 3] AS DOUBLE)) * 4))) AS kp, " + ", ".join(f"abs(CAST(embedding[{52 + k}] AS DOUBLE)) * 100 + {100 + 150 * (k // 2)} AS b{k}" for k in range(4)) + " FROM embeddings)",
+    "poses": "poses AS (SELECT CAST(label + 1001 AS BIGINT) AS match_id, vec_id AS frame, CASE WHEN vec_id % 2 = 0 THEN 'far' ELSE 'near' END AS side, list_transform(range(17), lambda j: struct_pack(x := CAST(embedding[3 * j + 1] AS DOUBLE) * 100 + 300, y := CAST(embedding[3 * j + 2] AS DOUBLE) * 100 + 400, conf := least(1.0::DOUBLE, abs(CAST(embedding[3 * j + 3] AS DOUBLE)) * 4))) AS kp, " + ", ".join(f"abs(CAST(embedding[{52 + k}] AS DOUBLE)) * 100 + {100 + 150 * (k // 2)} AS b{k}" for k in range(4)) + " FROM embeddings)",
     "logits": "logits AS (SELECT vec_id AS event, list_transform(range(18), lambda k: CAST(embedding[k + 1] AS DOUBLE) * 10) AS logits, CAST(label AS BIGINT) AS truth FROM embeddings)",
 }
 _NEEDS = {"phases": ["ball"]}
