@@ -82,12 +82,17 @@ def quantiles(nodes: np.ndarray, counts: np.ndarray, probs: list[float]) -> list
     return [float(x) for x in from_key(top[order][np.searchsorted(cum, ranks)])]
 
 
-def _per_group(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    out = []
-    for g, part in frame.groupby("g", sort=False):
+def _folded(frame: pd.DataFrame, keys: list[str], k: int) -> pd.DataFrame:
+    """Counts of equal nodes added; groups of k values or more, the only ones that can shrink, compressed one by one."""
+    frame = frame.groupby([*keys, "node"], as_index=False, sort=False)["n"].sum()
+    large = frame.groupby(keys, sort=False)["n"].transform("sum") >= k
+    if not large.any():
+        return frame
+    out = [frame[~large]]
+    for g, part in frame[large].groupby(keys, sort=False):
         nodes, counts = compressed(part["node"].to_numpy(), part["n"].to_numpy(), k)
-        out.append(pd.DataFrame({"g": g, "node": nodes, "n": counts}))
-    return pd.concat(out) if out else frame
+        out.append(pd.DataFrame({**dict(zip(keys, g)), "node": nodes, "n": counts}))
+    return pd.concat(out)
 
 
 def _gather(k: int):
@@ -98,13 +103,31 @@ def _gather(k: int):
             held.append(pd.DataFrame({"g": part["g"], "node": to_key(part["v"].to_numpy()) + (1 << BITS), "n": np.int64(1)}).groupby(["g", "node"], as_index=False, sort=False)["n"].sum())
             size += len(held[-1])
             if size > BUFFER:
-                one = _per_group(pd.concat(held), k)
+                one = _folded(pd.concat(held), ["g"], k)
                 held, size = [one], len(one)
                 if size > BUFFER:
                     yield one
                     held, size = [], 0
         if held:
-            yield _per_group(pd.concat(held), k)
+            yield _folded(pd.concat(held), ["g"], k)
+
+    return run
+
+
+def _fold_sorted(keys: list[str], k: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups come one after the other; all that are complete are folded together, the last one waits for its rest."""
+        held: list[pd.DataFrame] = []
+        for part in parts:
+            if not len(part):
+                continue
+            last = np.logical_and.reduce([(part[c] == part[c].iloc[-1]).to_numpy() for c in keys])
+            if not last.all() or (held and tuple(held[-1][keys].iloc[-1]) != tuple(part[keys].iloc[0])):
+                yield _folded(pd.concat([*held, part[~last]]), keys, k)[["g", "node", "n"]]
+                held = []
+            held.append(part[last])
+        if held:
+            yield _folded(pd.concat(held), keys, k)[["g", "node", "n"]]
 
     return run
 
@@ -131,12 +154,9 @@ def merge_digests(parts: DataFrame, group: list[str], eps: float = 0.005) -> Dat
 
 
 def _merged(nodes: DataFrame, k: int) -> DataFrame:
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        return _per_group(part[["g", "node", "n"]], k)
-
-    spread = nodes.withColumn("s", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
-    some = spread.groupBy("g", "s", "node").agg(F.sum("n").alias("n")).groupBy("g", "s").applyInPandas(fold, "g string, node long, n long")
-    return some.groupBy("g").applyInPandas(fold, "g string, node long, n long")
+    spread = nodes.withColumn("s", F.pmod(F.spark_partition_id(), F.lit(SPREAD))).select("g", "s", "node", "n")
+    some = spread.repartition("g", "s").sortWithinPartitions("g", "s").mapInPandas(_fold_sorted(["g", "s"], k), "g string, node long, n long")
+    return some.repartition("g").sortWithinPartitions("g").mapInPandas(_fold_sorted(["g"], k), "g string, node long, n long")
 
 
 def _ungrouped(nodes: DataFrame, like: DataFrame, group: list[str]) -> DataFrame:
