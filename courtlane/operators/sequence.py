@@ -76,3 +76,41 @@ def segments(df: DataFrame, cut: Column, name: str = "segment") -> DataFrame:
     """Adds the frame at which the row's camera segment began: the last row with ``cut`` at or before it, -1 ahead of the first."""
     out = anchors(df, before={name: F.when(cut, F.col("frame"))}, own=True)
     return out.withColumn(name, F.coalesce(name, F.lit(-1)))
+
+
+def percentiles_by(df: DataFrame, keys: list[str], value: Column, probs: dict[str, float], width: float) -> DataFrame:
+    """Exact percentiles with linear interpolation per key: keys and a column per entry of ``probs``. Nulls are left out.
+
+    Equal values are counted before the shuffle and gathered in buckets ``width`` wide; the running count of a key goes over its buckets
+    first and then inside only those that hold a wanted rank, so a hot key is spread over its buckets.
+    """
+    v = df.select(*keys, value.cast("double").alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("n")).withColumn("b", F.floor(F.col("v") / width))
+    b = v.groupBy(*keys, "b").agg(F.sum("n").alias("bn"))
+    along = Window.partitionBy(*keys).orderBy("b")
+    b = b.withColumns({"lo": F.coalesce(F.sum("bn").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("bn").over(Window.partitionBy(*keys))})
+    ranks = [r for i, p in enumerate(probs.values()) for r in (F.struct(F.lit(i).alias("i"), F.lit(0).alias("up"), F.floor((F.col("all") - 1) * F.lit(p)).alias("r")), F.struct(F.lit(i).alias("i"), F.lit(1).alias("up"), F.ceil((F.col("all") - 1) * F.lit(p)).alias("r")))]
+    wanted = b.withColumn("w", F.explode(F.array(*ranks))).where((F.col("w.r") >= F.col("lo")) & (F.col("w.r") < F.col("lo") + F.col("bn"))).select(*keys, "b", "lo", "all", "w")
+    inner = Window.partitionBy(*keys, "b").orderBy("v")
+    v = v.withColumn("before", F.coalesce(F.sum("n").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = wanted.join(v, [*keys, "b"]).where((F.col("w.r") >= F.col("lo") + F.col("before")) & (F.col("w.r") < F.col("lo") + F.col("before") + F.col("n")))
+    at = at.groupBy(*keys, "w.i").agg(F.max(F.when(F.col("w.up") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("w.up") == 1, F.col("v"))).alias("z"), F.first("all").alias("all"))
+    value_of = {n: F.max(F.when(F.col("i") == i, F.col("a") + ((F.col("all") - 1) * F.lit(p) - F.floor((F.col("all") - 1) * F.lit(p))) * (F.col("z") - F.col("a")))).alias(n) for i, (n, p) in enumerate(probs.items())}
+    return at.groupBy(*keys).agg(*value_of.values())
+
+
+def suppressed(candidates: DataFrame, score: Column, separation: int, by: str | None = None, tie: str = "frame") -> DataFrame:
+    """Greedy non-maximum suppression in time: candidates by falling score (ties: smaller ``tie``), each kept unless a kept one lies less than ``separation`` frames away.
+
+    Only candidates in one chain of gaps below the separation can touch each other, so chains are folded one by one, inside the JVM.
+    """
+    keys = [KEY, *([by] if by else [])]
+    c = candidates.withColumn("__score", score)
+    if by:
+        c = anchors(c, before={"__p": F.col("frame")}, by=by)
+        c = c.withColumn("__s", F.when(F.col("__p").isNull() | (F.col("frame") - F.col("__p") >= separation), F.col("frame")))
+        c = anchors(c.drop("__p"), before={"run": F.col("__s")}, own=True, by=by).drop("__s")
+    else:
+        c = runs(c, F.lit(True), separation - 1)
+    row = F.struct((-F.col("__score")).alias("k"), F.col(tie).alias("t"), F.struct(*[F.col(f"`{x}`") for x in candidates.columns]).alias("r"))
+    kept = F.aggregate(F.array_sort(F.collect_list(row)), F.slice(F.collect_list(row), 1, 0), lambda acc, x: F.when(F.exists(acc, lambda a: F.abs(a["r"]["frame"] - x["r"]["frame"]) < separation), acc).otherwise(F.array_append(acc, x)))
+    return c.groupBy(*keys, "run").agg(kept.alias("kept")).select(F.explode("kept").alias("x")).select("x.r.*")
