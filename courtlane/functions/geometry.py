@@ -100,7 +100,7 @@ def line_distance(x: str, y: str) -> str:
 
 
 def line_call(distance: str, ambiguity: float = 0.20) -> str:
-    return case((f"{distance} IS NULL", "NULL"), (f"abs({distance}) < {ambiguity}", "'review'"), (f"{distance} > 0", "'in'"), other="'out'")
+    return case((f"{distance} IS NULL", "NULL"), (f"abs({distance}) <= {ambiguity}", "'review'"), (f"{distance} > 0", "'in'"), other="'out'")
 
 
 def boundary(x: str, y: str, beyond: float = 0.05) -> str:
