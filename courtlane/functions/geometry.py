@@ -96,7 +96,7 @@ def line_distance(x: str, y: str) -> str:
     """Signed distance to the court's outline in metres: positive inside."""
     inside = f"least(least({x}, {COURT_W} - ({x})), least({y}, {COURT_L} - ({y})))"
     ox, oy = f"greatest(greatest(-({x}), ({x}) - {COURT_W}), 0)", f"greatest(greatest(-({y}), ({y}) - {COURT_L}), 0)"
-    return case((f"{inside} >= 0", inside), other=f"-sqrt({ox} * {ox} + {oy} * {oy})")
+    return case((f"({x}) IS NULL OR ({y}) IS NULL", "NULL"), (f"{inside} >= 0", inside), other=f"-sqrt({ox} * {ox} + {oy} * {oy})")
 
 
 def line_call(distance: str, ambiguity: float = 0.20) -> str:
