@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtlane.operators.sequence import anchors, at_offsets, runs, segments
+from courtlane.session import staged
 
 
 def _dist(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -30,7 +31,7 @@ def merge_phases(phases: DataFrame, agree: float = 25, reach: int = 6, limit: fl
     p = phases.withColumn("same", F.coalesce(F.col("a_vis") & F.col("b_vis") & (gap <= agree), F.lit(False)))
     at = F.when(F.col("same"), F.struct("frame", F.col("a_x").alias("x"), F.col("a_y").alias("y")))
     open_ = anchors(p, before={"l": at}, after={"r": at}).where(~F.col("same") & (F.col("a_vis") | F.col("b_vis")))
-    open_ = runs(open_, F.lit(True))
+    open_ = staged(runs(open_, F.lit(True)), "open")
     bridged = (F.col("frame") - F.col("l.frame") <= reach) & (F.col("r.frame") - F.col("frame") <= reach)
     off = lambda s: F.when(bridged & F.col(f"{s}_vis"), _bridge("l", "r", F.col(f"{s}_x"), F.col(f"{s}_y")))
     mean = open_.groupBy("match_id", "run").agg(F.avg(off("a")).alias("ra"), F.avg(off("b")).alias("rb"))

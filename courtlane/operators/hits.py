@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtlane.operators.sequence import anchors, around, at_offsets, percentiles_by
-from courtlane.session import join_small
+from courtlane.session import join_small, staged
 
 #: What a hit's source adds to its score where hits of several sources meet.
 SOURCE_BONUS = {"top_edge_exit": 0.25, "piecewise": 0.18, "curvature": 0.12, "endpoint": 0.04}
@@ -18,6 +18,7 @@ def hit_candidates(deriv: DataFrame, least_speed: float = 7.0, least_curvature:
     Thresholds per match: curvature max(10, P78 of the turns at ``least_speed`` or more), speed max(``least_speed``, 0.7 P35). A turn must reach 72 % of the largest
     one within two frames of its segment.
     """
+    deriv = staged(deriv, "derivatives")
     curv = percentiles_by(deriv, ["match_id"], F.when((F.col("curvature") > 0) & (F.col("speed") >= least_speed), F.col("curvature")), {"c78": 0.78}, 4.0)
     slow = percentiles_by(deriv, ["match_id"], F.when(F.col("speed") > 0, F.col("speed")), {"s35": 0.35}, 4.0)
     d = at_offsets(deriv, ["curvature", "segment", "speed"], [-2, -1, 1, 2])

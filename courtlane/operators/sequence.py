@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from courtlane.session import staged
+
 BLOCK_BITS = 12
 KEY = "match_id"
+#: Name in a plan of what `anchors` made.
+_MARK = "__anchored"
 
 
 def blocks(df: DataFrame, reach: int = 0) -> DataFrame:
@@ -46,8 +50,11 @@ def anchors(df: DataFrame, before: dict[str, Column] | None = None, after: dict[
     """Adds the last non-null value of each ``before`` expression on an earlier row, and the first of each ``after`` on a later row
     (with ``own`` the row itself counts), of the match or, with ``by``, of its part (a segment, a phase).
 
-    Inside a block it is a window; what comes from other blocks passes through one row per block.
+    Inside a block it is a window; what comes from other blocks passes through one row per block. The input is read twice, so one that has been through here before
+    is written to the shared folder first: a chain of n calls costs n passes, not 2**n.
     """
+    if _MARK in df._jdf.queryExecution().analyzed().toString():
+        df = staged(df, "series")
     keys = [KEY, *([by] if by else [])]
     before, after = before or {}, after or {}
     names = {**{n: ("b", c) for n, c in before.items()}, **{n: ("a", c) for n, c in after.items()}}
@@ -61,7 +68,7 @@ def anchors(df: DataFrame, before: dict[str, Column] | None = None, after: dict[
     carried = summary.select(*keys, "block", *[F.last(n, ignorenulls=True).over(back if side == "b" else ahead).alias(f"__c_{n}") for n, (side, _) in names.items()])
     inner = b.withColumns({n: F.last(f"__{n}", ignorenulls=True).over(past if side == "b" else future) for n, (side, _) in names.items()})
     out = inner.join(carried, [*keys, "block"], "left") if not by else inner.join(carried.withColumnRenamed(by, "__by"), (inner[KEY] == carried[KEY]) & (inner["block"] == carried["block"]) & inner[by].eqNullSafe(F.col("__by")), "left").drop("__by").drop(carried[KEY]).drop(carried["block"])
-    return out.withColumns({n: F.coalesce(n, f"__c_{n}") for n in names}).drop("block", *[f"__{n}" for n in names], *[f"__c_{n}" for n in names])
+    return out.withColumns({n: F.coalesce(n, f"__c_{n}") for n in names}).alias(_MARK).drop("block", *[f"__{n}" for n in names], *[f"__c_{n}" for n in names])
 
 
 def runs(df: DataFrame, flag: Column, most_gap: int = 1) -> DataFrame:
@@ -85,6 +92,7 @@ def percentiles_by(df: DataFrame, keys: list[str], value: Column, probs: dict[st
     first and then inside only those that hold a wanted rank, so a hot key is spread over its buckets.
     """
     v = df.select(*keys, value.cast("double").alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("n")).withColumn("b", F.floor(F.col("v") / width))
+    v = staged(v, "values")
     b = v.groupBy(*keys, "b").agg(F.sum("n").alias("bn"))
     along = Window.partitionBy(*keys).orderBy("b")
     b = b.withColumns({"lo": F.coalesce(F.sum("bn").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("bn").over(Window.partitionBy(*keys))})

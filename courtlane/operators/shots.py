@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from courtlane.functions import geometry as G
 from courtlane.operators.sequence import anchors, around, at_offsets, runs
-from courtlane.session import join_small
+from courtlane.session import join_small, staged
 
 
 def summary(track: DataFrame, info: DataFrame) -> DataFrame:
@@ -59,11 +59,12 @@ def shot_speeds(track: DataFrame, hits: DataFrame, info: DataFrame, measured: tu
     mx, my = F.expr(x), F.expr(y)
     ok = F.col("vis") & F.col("source").isin(*measured) & mx.between(-margin, G.COURT_W + margin) & my.between(-margin, G.COURT_L + margin)
     t = t.select("match_id", "frame", F.when(ok, mx).alias("mx"), F.when(ok, my).alias("my"), (ok & F.col("source").isin(*real)).alias("real"), F.greatest("fps", F.lit(1e-6)).alias("fps"))
-    t = at_offsets(t, ["mx", "my"], [-1])
+    t = staged(at_offsets(t, ["mx", "my"], [-1]), "steps")
     marks = shots.select("match_id", "frame", F.struct(F.col("frame").alias("a"), F.col("end_frame").alias("b")).alias("shot"))
     j = anchors(t.join(marks, ["match_id", "frame"], "left"), before={"s": F.col("shot")}).where(F.col("s").isNotNull() & (F.col("frame") <= F.col("s.b")))
     step = F.sqrt((F.col("mx") - F.col("mx_m1")) ** 2 + (F.col("my") - F.col("my_m1")) ** 2)
     j = j.select("match_id", "frame", "fps", F.coalesce("real", F.lit(False)).alias("real"), F.col("s.a").alias("start_frame"), F.col("s.b").alias("end_frame"), step.alias("step"), F.coalesce(step * F.col("fps") > most_step, F.lit(False)).alias("fast"))
+    j = staged(j, "shots")
     fast = runs(j.select("match_id", "frame", "start_frame", "fast").where("fast"), F.lit(True)).select("match_id", "frame", ((F.col("frame") - F.greatest(F.col("run"), F.col("start_frame") + 1)) % 2 == 0).alias("rejected"))
     j = j.join(fast, ["match_id", "frame"], "left").withColumn("rejected", F.coalesce("rejected", F.lit(False)))
     j = at_offsets(j.withColumn("rej", F.when(F.col("rejected"), F.col("start_frame"))), ["rej"], [-1])

@@ -111,3 +111,58 @@ def coherent_dual_motion(phases: DataFrame, agree: float = 25, least: int = 2, m
     step = F.when(F.col("frame") > F.col("run"), F.sqrt((F.col("a_x") - F.col("a_x_m1")) ** 2 + (F.col("a_y") - F.col("a_y_m1")) ** 2))
     g = r.groupBy("match_id", "run").agg(F.max("frame").alias("end_frame"), F.count("*").alias("n"), F.sum(step).alias("path_px"), F.percentile(step, F.lit(0.5)).alias("step_px"))
     return g.where((F.col("n").between(least, most)) & (F.col("step_px") >= median_step) & (F.col("path_px") >= path)).select("match_id", F.col("run").alias("start_frame"), "end_frame", "path_px", "step_px")
+
+
+def interstitial_branches(track: DataFrame, cut, top: float = 80, core: float = 35, most: int = 40, off: float = 110, span: float = 6) -> DataFrame:
+    """Model points between a flight that leaves over the top and one that comes back, further than ``off`` px from the line between both: match_id, frame, residual (the largest).
+
+    Leaving and returning runs stand at y <= ``top``, hold their direction (3 px of tolerance) over ``span`` px, and end or begin at y <= ``core``. They are paired by
+    equality, each leaving run spread over the ``most`` frames in which a return may begin.
+    """
+    t = segments(track.select("match_id", "frame", "vis", "x", "y", "source"), cut)
+    r = runs(t.where(F.col("vis") & F.col("source").isin("model", "model_edge", "single_phase_edge") & (F.col("y") <= top)), F.lit(True))
+    r = at_offsets(r, ["y", "segment"], [-1])
+    step = F.when((F.col("frame") > F.col("run")) & (F.col("segment") == F.col("segment_m1")), F.col("y") - F.col("y_m1"))
+    at = F.struct("frame", "x", "y", "segment")
+    g = r.groupBy("match_id", "run").agg(F.count("*").alias("n"), F.min(step).alias("lo"), F.max(step).alias("hi"), F.min_by(at, "frame").alias("a"), F.max_by(at, "frame").alias("z"), F.count_distinct("segment").alias("k")).where("n >= 2 and k = 1")
+    up = g.where((F.col("hi") <= 3) & (F.col("a.y") - F.col("z.y") >= span) & (F.col("z.y") <= core)).select("match_id", F.col("z").alias("l"), F.explode(F.sequence(F.col("z.frame") + 2, F.col("z.frame") + 1 + most)).alias("at"))
+    down = g.where((F.col("lo") >= -3) & (F.col("z.y") - F.col("a.y") >= span) & (F.col("a.y") <= core)).select("match_id", F.col("a").alias("r"), F.col("a.frame").alias("at"))
+    b = up.join(down, ["match_id", "at"]).where(F.col("l.segment") == F.col("r.segment")).withColumn("frame", F.explode(F.sequence(F.col("l.frame") + 1, F.col("r.frame") - 1)))
+    j = b.join(track.where(F.col("vis") & (F.col("source") == "model")).select("match_id", "frame", "x", "y"), ["match_id", "frame"])
+    s = (F.col("frame") - F.col("l.frame")) / (F.col("r.frame") - F.col("l.frame"))
+    res = F.sqrt((F.col("x") - F.col("l.x") - s * (F.col("r.x") - F.col("l.x"))) ** 2 + (F.col("y") - F.col("l.y") - s * (F.col("r.y") - F.col("l.y"))) ** 2)
+    return j.select("match_id", "frame", res.alias("residual")).where(F.col("residual") > off).groupBy("match_id", "frame").agg(F.max("residual").alias("residual"))
+
+
+def without_contacts(frames: DataFrame, track: DataFrame, boxes: DataFrame, reach: float = 38) -> DataFrame:
+    """The frames whose point isn't within ``reach`` px of a player's wrist: match_id, frame."""
+    wrist = lambda k: F.expr(G.dist("x", "y", f"kp[{k}].x", f"kp[{k}].y"))
+    j = frames.select("match_id", "frame").distinct()
+    near = j.join(track.select("match_id", "frame", "x", "y"), ["match_id", "frame"]).join(boxes, ["match_id", "frame"]).where(F.least(wrist(9), wrist(10)) <= reach).select("match_id", "frame")
+    return j.join(near, ["match_id", "frame"], "left_anti")
+
+
+def offscreen_bridges(track: DataFrame, cut, tracked: tuple[str, ...], least: int = 4, most: int = 40, top: float = 30, speed: float = 5, rise: float = 4, across: float = 8) -> DataFrame:
+    """Drawing points for flights that leave over the top and come back: match_id, frame, x, y, on the line between the last and the next tracked point.
+
+    The hole has ``least`` to ``most`` frames in one camera segment, one side is at y <= ``top``, the fitted velocity over up to four tracked points of eight frames goes up before and down
+    after by ``rise`` px a frame at ``speed`` or more, and doesn't turn round at ``across`` px a frame.
+    """
+    t = segments(track.select("match_id", "frame", "vis", "x", "y", "source"), cut).where(F.col("vis") & F.col("source").isin(*tracked))
+    p = F.struct("frame", "x", "y", "segment")
+    t = around(t.withColumn("p", p), {"past": (F.collect_list("p"), -8, 0), "next": (F.collect_list("p"), 0, 8)})
+    t = t.withColumns({"past": F.slice(F.array_sort(F.filter("past", lambda q: q["segment"] == F.col("segment"))), F.greatest(F.lit(1), F.size(F.filter("past", lambda q: q["segment"] == F.col("segment"))) - 3), 4), "next": F.slice(F.array_sort(F.filter("next", lambda q: q["segment"] == F.col("segment"))), 1, 4)})
+    def slope(a: str, c: str):
+        n = F.size(a)
+        s = lambda e: F.expr(f"aggregate({a}, 0.0D, (z, q) -> z + {e})")
+        f = "(q.frame - frame)"
+        return F.try_divide(n * s(f"{f} * q.{c}") - s(f) * s(f"q.{c}"), n * s(f"{f} * {f}") - s(f) * s(f))
+    t = t.select("match_id", "frame", "segment", "x", "y", *[slope(a, c).alias(f"{a}_{c}") for a in ("past", "next") for c in "xy"])
+    side = F.struct("frame", "x", "y", "segment", F.col("past_x").alias("vx"), F.col("past_y").alias("vy"))
+    j = anchors(t, before={"l": side})
+    hole = F.col("frame") - F.col("l.frame") - 1
+    ux, uy, wx, wy = F.col("l.vx"), F.col("l.vy"), F.col("next_x"), F.col("next_y")
+    ok = hole.between(least, most) & (F.col("segment") == F.col("l.segment")) & (F.least(F.col("y"), F.col("l.y")) <= top) & (uy <= -rise) & (wy >= rise) & (F.sqrt(ux * ux + uy * uy) >= speed) & (F.sqrt(wx * wx + wy * wy) >= speed) & ~((ux * wx < 0) & (F.abs(ux) >= across) & (F.abs(wx) >= across))
+    b = j.where(ok).select("match_id", "l", F.struct("frame", "x", "y").alias("r"), F.explode(F.sequence(F.col("l.frame") + 1, F.col("frame") - 1)).alias("frame"))
+    s = (F.col("frame") - F.col("l.frame")) / (F.col("r.frame") - F.col("l.frame"))
+    return b.select("match_id", "frame", *[(F.col(f"l.{c}") + s * (F.col(f"r.{c}") - F.col(f"l.{c}"))).alias(c) for c in "xy"])

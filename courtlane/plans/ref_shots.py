@@ -210,9 +210,10 @@ cd AS (SELECT df.* FROM df JOIN ma USING (match_id) WHERE frame > 1 AND d >= gre
 def f14_scene_cuts(spark, sf):
     """On the frame-to-frame change of the confidence, as there is no picture: max(28, median + max(6, 6 MAD), 2.4 medians), then suppression within 8 frames."""
     from courtlane.operators.sequence import percentiles_by
-    from courtlane.session import join_small
+    from courtlane.session import join_small, staged
 
     d = at_offsets(track(spark, sf).select("match_id", "frame", "conf"), ["conf"], [-1]).select("match_id", "frame", (F.abs(F.col("conf") - F.col("conf_m1")) * 100).alias("d"))
+    d = staged(d, "changes")
     med = percentiles_by(d, ["match_id"], F.col("d"), {"med": 0.5}, 1.0)
     d = join_small(d, med, ["match_id"], "inner")
     d = join_small(d, percentiles_by(d, ["match_id"], F.abs(F.col("d") - F.col("med")), {"mad": 0.5}, 1.0), ["match_id"], "inner")

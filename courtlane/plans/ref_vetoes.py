@@ -114,3 +114,47 @@ d2 AS (SELECT match_id, min(frame) AS start_frame, max(frame) AS end_frame, coun
 def c18_coherent_dual_motion(spark, sf):
     d = V.coherent_dual_motion(phases(spark, sf), median_step=3, path=5)
     return d.select("match_id", "start_frame", "end_frame", *r6("path_px", "step_px"))
+
+
+_INTER = f"""z0 AS (SELECT match_id, frame, x, y, coalesce(seg, -1) AS seg FROM (SELECT *, max(CASE WHEN {CUT} THEN frame END) OVER (PARTITION BY match_id ORDER BY frame) AS seg FROM track) WHERE vis AND source IN ('model', 'model_edge', 'single_phase_edge') AND y <= 200),
+z1 AS (SELECT *, frame - row_number() OVER (PARTITION BY match_id ORDER BY frame) AS g FROM z0),
+z2 AS (SELECT *, y - lag(y) OVER (PARTITION BY match_id, g, seg ORDER BY frame) AS d FROM z1),
+z3 AS (SELECT match_id, g, min(d) AS lo, max(d) AS hi, min(frame) AS fa, max(frame) AS fz, arg_min(x, frame) AS xa, arg_min(y, frame) AS ya, arg_max(x, frame) AS xz, arg_max(y, frame) AS yz, min(seg) AS seg FROM z2 GROUP BY match_id, g HAVING count(*) >= 2 AND count(DISTINCT seg) = 1),
+z4 AS (SELECT u.match_id, u.fz AS lf, u.xz AS lx, u.yz AS ly, d.fa AS rf, d.xa AS rx, d.ya AS ry FROM z3 u JOIN z3 d ON u.match_id = d.match_id AND u.seg = d.seg AND d.fa BETWEEN u.fz + 2 AND u.fz + 41 WHERE u.hi <= 3 AND u.ya - u.yz >= 6 AND u.yz <= 160 AND d.lo >= -3 AND d.yz - d.ya >= 6 AND d.ya <= 160),
+z5 AS (SELECT t.match_id, t.frame, max(sqrt(power(t.x - lx - (t.frame - lf) / (rf - lf) * (rx - lx), 2) + power(t.y - ly - (t.frame - lf) / (rf - lf) * (ry - ly), 2))) AS residual FROM z4 JOIN track t ON t.match_id = z4.match_id AND t.frame > lf AND t.frame < rf AND t.vis AND t.source = 'model' GROUP BY t.match_id, t.frame)"""
+_FREE = "NOT EXISTS (SELECT 1 FROM track t JOIN poses p USING (match_id, frame) WHERE t.match_id = b.match_id AND t.frame = b.frame AND least(sqrt(power(t.x - kp[10].x, 2) + power(t.y - kp[10].y, 2)), sqrt(power(t.x - kp[11].x, 2) + power(t.y - kp[11].y, 2))) <= 150)"
+
+
+def _interstitial(spark, sf):
+    """Wider limits than in production (y <= 200, core 160, 15 px off), as the made-up tracks seldom reach the top."""
+    return V.interstitial_branches(track(spark, sf), F.expr(CUT), top=200, core=160, off=15)
+
+
+@add("track", _INTER, "SELECT match_id, frame, round(residual, 6) AS residual FROM z5 WHERE residual > 15")
+def c14_interstitial_branches(spark, sf):
+    return _interstitial(spark, sf).select("match_id", "frame", *r6("residual"))
+
+
+@add("track poses", _INTER, f"SELECT match_id, frame FROM z5 b WHERE residual > 15 AND {_FREE}")
+def c15_veto_interstitial(spark, sf):
+    return V.without_contacts(_interstitial(spark, sf), track(spark, sf), poses(spark, sf), 150)
+
+
+@add("track poses", _TOP + ", b AS (SELECT match_id, frame FROM s0 WHERE vis AND source = 'model' AND y >= 300 AND frame - top_at <= 8 AND top_at >= seg)", f"SELECT match_id, frame FROM b WHERE {_FREE}")
+def c13_veto_top_exit(spark, sf):
+    return V.without_contacts(V.top_exit_branch(track(spark, sf), F.expr(CUT), top=120), track(spark, sf), poses(spark, sf), 150)
+
+
+_SLOPE = lambda a, c, cond: f"regr_slope(b.{c}, b.frame) FILTER ({cond})"
+_OFFB = f"""q0 AS (SELECT match_id, frame, x, y, coalesce(seg, -1) AS seg FROM (SELECT *, max(CASE WHEN {CUT} THEN frame END) OVER (PARTITION BY match_id ORDER BY frame) AS seg FROM track) WHERE vis AND source IN ({quoted(('model', 'classical', *EDGE, 'classical_gap'))})),
+q1 AS (SELECT a.match_id, a.frame, b.frame AS bf, b.x AS bx, b.y AS by_, row_number() OVER (PARTITION BY a.match_id, a.frame, b.frame <= a.frame ORDER BY abs(b.frame - a.frame)) AS k, row_number() OVER (PARTITION BY a.match_id, a.frame, b.frame >= a.frame ORDER BY abs(b.frame - a.frame)) AS m FROM q0 a JOIN q0 b ON a.match_id = b.match_id AND a.seg = b.seg AND b.frame BETWEEN a.frame - 8 AND a.frame + 8),
+q2 AS (SELECT match_id, frame, regr_slope(bx, bf) FILTER (bf <= frame AND k <= 4) AS ux, regr_slope(by_, bf) FILTER (bf <= frame AND k <= 4) AS uy, regr_slope(bx, bf) FILTER (bf >= frame AND m <= 4) AS wx, regr_slope(by_, bf) FILTER (bf >= frame AND m <= 4) AS wy FROM q1 GROUP BY match_id, frame),
+q3 AS (SELECT q0.*, ux, uy, wx, wy, lag(frame) OVER w AS lf, lag(x) OVER w AS lx, lag(y) OVER w AS ly, lag(seg) OVER w AS ls, lag(ux) OVER w AS lux, lag(uy) OVER w AS luy FROM q0 JOIN q2 USING (match_id, frame) WINDOW w AS (PARTITION BY match_id ORDER BY frame)),
+q4 AS (SELECT * FROM q3 WHERE frame - lf - 1 BETWEEN 4 AND 40 AND seg = ls AND least(y, ly) <= 400 AND luy <= -4 AND wy >= 4 AND sqrt(lux * lux + luy * luy) >= 5 AND sqrt(wx * wx + wy * wy) >= 5 AND NOT (lux * wx < 0 AND abs(lux) >= 8 AND abs(wx) >= 8)),
+q5 AS (SELECT *, unnest(range(lf + 1, frame)) AS f FROM q4)"""
+
+
+@add("track", _OFFB, "SELECT match_id, f AS frame, round(lx + (f - lf) / (frame - lf) * (x - lx), 6) AS x, round(ly + (f - lf) / (frame - lf) * (y - ly), 6) AS y FROM q5")
+def f04_offscreen_bridges(spark, sf):
+    """With a top zone of 400 px instead of 30, as flights that leave the picture are rare here."""
+    return V.offscreen_bridges(track(spark, sf), F.expr(CUT), ("model", "classical", *EDGE, "classical_gap"), top=400).select("match_id", "frame", *r6("x", "y"))
