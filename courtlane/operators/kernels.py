@@ -249,3 +249,129 @@ def player_identity(detections: DataFrame, longest_hole: int = 90) -> DataFrame:
     """Detections (match_id, frame, det_id, mx, my with the net at 0) that are the near and the far player: match_id, frame, side, det_id. Holes over ``longest_hole`` frames start anew."""
     frames = runs(detections.select("match_id", "frame").distinct(), F.lit(True), longest_hole)
     return scan(detections.join(frames, ["match_id", "frame"]), ["match_id", "run"], ["frame", "det_id"], ["frame", "det_id", "mx", "my"], Identity, "match_id long, run long, frame long, side string, det_id long").drop("run")
+
+
+class Selector:
+    """One candidate per frame: the best by quality, count and persistence less its distance from where the ball should be; far jumps need a better quality. The position follows by
+    exponential means (velocity .55 / .45, point .70 / .30); frames without a choice halve the velocity, more than ``gap`` of them forget the ball."""
+
+    def __init__(self, least: float = 1.3, jump: float = 360.0, gap: int = 5):
+        self.least, self.jump, self.gap, self.last, self.v, self.at, self.frame, self.now = least, jump, gap, None, (0.0, 0.0), None, None, []
+
+    def row(self, key, values):
+        out = self._step(key) if self.frame is not None and values[0] != self.frame else []
+        self.frame = values[0]
+        self.now.append(values)
+        return out
+
+    def end(self, key):
+        return self._step(key) if self.now else []
+
+    def _step(self, key):
+        frame, cands, self.now, best = self.frame, self.now, [], None
+        if self.last is not None:
+            missed = frame - self.at - 1
+            if missed > self.gap:
+                self.last, self.v = None, (0.0, 0.0)
+            else:
+                self.v = (self.v[0] * 0.5**missed, self.v[1] * 0.5**missed)
+        for _, cand, x, y, quality, count, persistence in cands:
+            if quality < self.least:
+                continue
+            near = 0.0
+            if self.last is not None:
+                near = math.hypot(x - self.last[0] - self.v[0], y - self.last[1] - self.v[1])
+                if near > self.jump and quality < self.least + 0.10:
+                    continue
+            elif quality < self.least + 0.10 and count < 2 and not persistence:
+                continue
+            rank = 1.8 * quality + 0.10 * min(count, 3) + 0.08 * min(persistence, 3) - 0.55 * min(1.0, near / self.jump)
+            if best is None or (rank, -cand) > best[:2]:
+                best = (rank, -cand, x, y)
+        if best is None:
+            return []
+        x, y = best[2], best[3]
+        if self.last is not None:
+            self.v = (0.55 * self.v[0] + 0.45 * (x - self.last[0]), 0.55 * self.v[1] + 0.45 * (y - self.last[1]))
+            x, y = 0.70 * x + 0.30 * (self.last[0] + self.v[0]), 0.70 * y + 0.30 * (self.last[1] + self.v[1])
+        self.last, self.at = (x, y), frame
+        return [(*key, frame, x, y, -best[1])]
+
+
+def selected_track(candidates: DataFrame) -> DataFrame:
+    """The ball by candidate selection (match_id, frame, cand_id, x, y, quality, count, persistence): match_id, frame, x, y, cand_id. Holes of more than five frames part the work."""
+    frames = runs(candidates.select("match_id", "frame").distinct(), F.lit(True), 6)
+    out = scan(candidates.join(frames, ["match_id", "frame"]), ["match_id", "run"], ["frame", "cand_id"], ["frame", "cand_id", "x", "y", "quality", "count", "persistence"], Selector, "match_id long, run long, frame long, x double, y double, cand_id long")
+    return out.drop("run")
+
+
+class Extender:
+    """Goes on from a track's last points, frame by frame, to the candidate that a local parabola (a line under five points) leads to: a tight gate, little acceleration, little
+    turn; ends after ``misses`` frames without one."""
+
+    def __init__(self, misses: int = 5, seed: float = 1.25):
+        self.most, self.seed, self.pts, self.frame, self.now, self.missed, self.done = misses, seed, deque(maxlen=7), None, [], 0, False
+
+    def row(self, key, values):
+        frame, core, cand, x, y, quality = values
+        if core:
+            self.pts.append((frame, x, y))
+            return []
+        out = self._step(key) if self.frame is not None and frame != self.frame else []
+        if self.frame is not None:
+            self._skip(frame - self.frame - 1)
+        elif self.pts:
+            self._skip(frame - self.pts[-1][0] - 1)
+        self.frame = frame
+        self.now.append((cand, x, y, quality))
+        return out
+
+    def end(self, key):
+        return self._step(key) if self.now else []
+
+    def _skip(self, frames: int) -> None:
+        self.missed += max(0, frames)
+        self.done = self.done or self.missed >= self.most
+
+    def _step(self, key):
+        import numpy as np
+
+        cands, self.now = self.now, []
+        if self.done or len(self.pts) < 3:
+            return []
+        (f0, x0, y0), (f1, x1, y1) = self.pts[-2], self.pts[-1]
+        t = np.array([p[0] - f1 for p in self.pts], dtype=float)
+        deg, dt = 2 if len(self.pts) >= 5 else 1, self.frame - f1
+        px, py = (float(np.polyval(np.polyfit(t, [p[i] for p in self.pts], deg), dt)) for i in (1, 2))
+        vx, vy = (x1 - x0) / (f1 - f0), (y1 - y0) / (f1 - f0)
+        speed, best = math.hypot(vx, vy), None
+        gate = min(30.0, 10.0 + 0.30 * speed + 4.0 * (dt - 1))
+        for cand, x, y, quality in cands:
+            d, wx, wy = math.hypot(x - px, y - py), (x - x1) / dt, (y - y1) / dt
+            bend, now = math.hypot(wx - vx, wy - vy), math.hypot((x - x1) / dt, (y - y1) / dt)
+            straight = speed <= 3.0 or now <= 3.0 or (vx * wx + vy * wy) >= math.cos(math.radians(38.0)) * speed * now
+            if quality >= self.seed and d <= gate and bend <= 13.0 + 2.0 * (dt - 1) and straight:
+                cost = d / gate + 0.035 * bend - 0.04 * quality
+                if best is None or (cost, cand) < best[:2]:
+                    best = (cost, cand, x, y)
+        if best is None:
+            self._skip(1)
+            return []
+        self.missed = 0
+        self.pts.append((self.frame, best[2], best[3]))
+        return [(*key, self.frame, best[1])]
+
+
+def extensions(points: DataFrame, candidates: DataFrame, forward: bool = True, reach: int = 40) -> DataFrame:
+    """Candidates that carry tracks on, at most ``reach`` frames, after their end or (on negated frames) before their start: match_id, run, track, frame, cand_id.
+
+    Each track looks at the frames after it by an equi join; a track and its following candidates are one short stream.
+    """
+    sign = 1 if forward else -1
+    p = points.select("match_id", "run", "track", (F.col("frame") * sign).alias("frame"), F.lit(True).alias("core"), "cand_id", "x", "y", "quality")
+    stop = p.groupBy("match_id", "run", "track").agg(F.max("frame").alias("z"))
+    ahead = stop.select("match_id", "run", "track", F.explode(F.sequence(F.col("z") + 1, F.col("z") + reach)).alias("frame"))
+    c = candidates.select("match_id", (F.col("frame") * sign).alias("frame"), F.lit(False).alias("core"), "cand_id", "x", "y", "quality")
+    both = p.unionByName(ahead.join(c, ["match_id", "frame"]))
+    out = scan(both, ["match_id", "run", "track"], ["frame", "cand_id"], ["frame", "core", "cand_id", "x", "y", "quality"], Extender, "match_id long, run long, track long, frame long, cand_id long")
+    return out.withColumn("frame", F.col("frame") * sign)

@@ -96,3 +96,28 @@ def clusters(candidates: DataFrame, radius: float = 45.0) -> DataFrame:
 
     g = candidates.groupBy("match_id", "frame").agg(F.aggregate(F.array_sort(F.collect_list(row)), empty, add).alias("c"))
     return g.select("match_id", "frame", F.posexplode("c").alias("cluster", "r")).select("match_id", "frame", F.col("cluster").cast("long").alias("cluster"), "r.x", "r.y", F.col("r.w").alias("weight"), F.col("r.n").cast("long").alias("n"))
+
+
+def stitched(points: DataFrame, most_gap: int = 18, bend: float = 28.0) -> DataFrame:
+    """Pairs of neighbouring tracks of a match that are one flight: match_id, run, track, next_run, next_track, gap, error.
+
+    Each end is a line through its last (first) three points; both lines must meet the other end within max(45, 6 gap) px (1.35 times that backwards), and their
+    directions differ by ``bend`` degrees at most. The window runs over tracks.
+    """
+    w = Window.partitionBy(*TRACK).orderBy("frame")
+    p = points.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(*TRACK))}).where("n >= 3")
+    pick = lambda k: F.max(F.when(k, F.struct("frame", "x", "y")))
+    g = p.groupBy(*TRACK).agg(pick(F.col("i") == 1).alias("a"), pick(F.col("i") == 3).alias("a2"), pick(F.col("i") == F.col("n")).alias("z"), pick(F.col("i") == F.col("n") - 2).alias("z2"))
+    v = lambda p, q, c: (F.col(f"{p}.{c}") - F.col(f"{q}.{c}")) / (F.col(f"{p}.frame") - F.col(f"{q}.frame"))
+    g = g.withColumns({"vx": v("z", "z2", "x"), "vy": v("z", "z2", "y"), "ux": v("a2", "a", "x"), "uy": v("a2", "a", "y")})
+    m = Window.partitionBy("match_id").orderBy("a.frame", "z.frame", "run", "track")
+    g = g.withColumn("b", F.lead(F.struct("run", "track", "a", "ux", "uy")).over(m))
+    gap = F.col("b.a.frame") - F.col("z.frame")
+    d = lambda c, own, vel, sign: F.col(f"{own}.{c}") + sign * gap * F.col(vel)
+    ahead = F.sqrt((d("x", "z", "vx", 1) - F.col("b.a.x")) ** 2 + (d("y", "z", "vy", 1) - F.col("b.a.y")) ** 2)
+    back = F.sqrt((d("x", "b.a", "b.ux", -1) - F.col("z.x")) ** 2 + (d("y", "b.a", "b.uy", -1) - F.col("z.y")) ** 2)
+    gate = F.greatest(F.lit(45.0), 6.0 * gap)
+    s = F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2) * F.sqrt(F.col("b.ux") ** 2 + F.col("b.uy") ** 2)
+    straight = (s < 1e-6) | ((F.col("vx") * F.col("b.ux") + F.col("vy") * F.col("b.uy")) >= F.cos(F.radians(F.lit(bend))) * s)
+    ok = gap.between(1, most_gap) & (ahead <= gate) & (back <= 1.35 * gate) & straight
+    return g.where(ok).select(*TRACK, F.col("b.run").alias("next_run"), F.col("b.track").alias("next_track"), gap.alias("gap"), ahead.alias("error"))

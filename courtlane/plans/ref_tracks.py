@@ -8,7 +8,8 @@ from courtlane.functions import geometry as G
 from courtlane.operators import kernels as K
 from courtlane.operators import tracklets as T
 from courtlane.operators.sequence import around, at_offsets
-from courtlane.plans.views import MEASURED, REAL, TRACKING, Registry, poses, r6, r6_sql, track, with_info
+from courtlane.plans.views import REAL, TRACKING, Registry, poses, r6, track, with_info
+from courtlane.session import staged
 
 add = Registry()
 
@@ -70,7 +71,7 @@ def _tracks(spark, sf):
 
 
 def _points(spark, sf):
-    return _tracks(spark, sf).join(candidates(spark, sf), ["match_id", "frame", "cand_id"])
+    return staged(_tracks(spark, sf).join(candidates(spark, sf), ["match_id", "frame", "cand_id"]), "points")
 
 
 @add()
@@ -102,8 +103,8 @@ def f20_span_suppression(spark, sf):
 @add()
 def k08_classical_result(spark, sf):
     """With F19e and K9: one owner per frame, its position and a confidence from rank and quality."""
-    m = T.plausible(T.measures(_points(spark, sf)))
-    owned = T.one_owner(_points(spark, sf), m)
+    p = _points(spark, sf)
+    owned = T.one_owner(p, T.plausible(T.measures(p)))
     conf = F.least(F.lit(0.96), F.greatest(F.lit(0.52), 0.52 + 0.24 * F.least(F.lit(1.0), F.col("rank") / 6) + 0.20 * F.least(F.lit(1.0), F.col("quality") / 3)))
     return owned.select("match_id", "frame", "run", "track", *r6("x", "y"), F.round(conf, 6).alias("conf"))
 
@@ -166,3 +167,36 @@ def f29_player_identity(spark, sf):
     x, y = G.project("(b0 + b2) / 2 + 250", "b3 + 250")
     p = with_info(poses(spark, sf), spark, sf).select("match_id", "frame", F.col("frame").alias("det_id"), F.expr(x).alias("mx"), (F.expr(y) - G.COURT_L / 2).alias("my")).where("mx is not null")
     return K.player_identity(p)
+
+
+@add()
+def f18_selected_track(spark, sf):
+    """No SQL: each choice depends on the last. Persistence comes from F34."""
+    c = candidates(spark, sf)
+    kept = f34_persistent_candidates(spark, sf).withColumn("persistence", F.lit(1))
+    c = c.join(kept, ["match_id", "frame", "cand_id"], "left").select("match_id", "frame", "cand_id", "x", "y", "quality", F.lit(1).alias("count"), F.coalesce("persistence", F.lit(0)).alias("persistence"))
+    return K.selected_track(c).select("match_id", "frame", "cand_id", *r6("x", "y"))
+
+
+@add()
+def f19c_forward_extensions(spark, sf):
+    return K.extensions(_points(spark, sf), candidates(spark, sf))
+
+
+@add()
+def f19d_backward_extensions(spark, sf):
+    return K.extensions(_points(spark, sf), candidates(spark, sf), forward=False)
+
+
+@add()
+def f21_stitched_tracks(spark, sf):
+    return T.stitched(_points(spark, sf)).withColumn("error", F.round("error", 6))
+
+
+@add()
+def k18_classical_pipeline(spark, sf):
+    """Track, measure, gate, suppress overlapping spans, trim abrupt tails, and give each frame one owner."""
+    p = _points(spark, sf)
+    seeds = T.span_suppression(T.strict(T.plausible(T.measures(p))))
+    kept = T.trim_abrupt(p.join(seeds.select("match_id", "run", "track"), ["match_id", "run", "track"], "left_semi"))
+    return T.one_owner(kept, seeds).select("match_id", "frame", "run", "track", *r6("x", "y"))

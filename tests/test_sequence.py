@@ -182,3 +182,23 @@ def test_identity_is_held(spark):
     df = spark.createDataFrame(rows, "match_id long, frame long, det_id long, mx double, my double")
     got = kernels.player_identity(df).collect()
     assert {r.det_id for r in got if r.side == "far"} == {1} and {r.det_id for r in got if r.side == "near"} == {9}
+
+
+def test_selector_follows_the_ball_not_the_decoy(spark):
+    rows = [(1, f, 2 * f, 100.0 + 8 * f, 300.0, 1.9, 1, 0) for f in range(40) if f not in (15, 16)] + [(1, f, 2 * f + 1, 900.0, 700.0, 1.35, 1, 0) for f in range(40)]
+    df = spark.createDataFrame(rows, "match_id long, frame long, cand_id long, x double, y double, quality double, count long, persistence long")
+    got = {r.frame: r for r in kernels.selected_track(df).collect()}
+    assert all(got[f].cand_id == 2 * f for f in range(40) if f not in (15, 16)) and abs(got[39].x - 412) < 30
+
+
+def test_extension_both_ways_and_stitching(spark):
+    ball = [(1, f, f, 100.0 + 8 * f, 400.0 - 6 * f + 0.1 * f * f, 1.5) for f in range(60)]
+    cands = spark.createDataFrame(ball + [(1, f, 1000 + f, 900.0, 100.0, 2.0) for f in range(60)], "match_id long, frame long, cand_id long, x double, y double, quality double")
+    pts = cands.where("cand_id between 20 and 30").withColumns({"run": F.lit(0).cast("long"), "track": F.lit(0).cast("long")})
+    ahead = {r.frame for r in kernels.extensions(pts, cands).collect()}
+    back = {r.frame for r in kernels.extensions(pts, cands, forward=False).collect()}
+    assert ahead == set(range(31, 60)) and back == set(range(0, 20))
+    holes = cands.where("frame not between 35 and 39")
+    assert {r.frame for r in kernels.extensions(pts, holes).collect()} == set(range(31, 35))
+    other = cands.where("cand_id between 36 and 50").withColumns({"run": F.lit(0).cast("long"), "track": F.lit(1).cast("long")})
+    assert [(r.track, r.next_track, r.gap) for r in tracklets.stitched(pts.unionByName(other)).collect()] == [(0, 1, 6)]
