@@ -21,7 +21,7 @@ TERMINATORS = ".!?。！？｡…؟۔।"
 CLOSERS = ")]}\"'”’»」』）】*_`"
 PREVIEW = re.compile(r"\s*(?:\[(?:\.\.\.|…)\]|\((?:more|continued)\)|(?:\.\.\.|…)?\s*(?:read|see) (?:on|more)|\.\.\.|…)$", re.IGNORECASE)
 #: Share of a source's texts that must close with a fragment (or a shape) to make it a normal closing, and the least number of them.
-CLOSING_SHARE, CLOSING_TEXTS = 0.003, 3
+CLOSING_SHARE, CLOSING_TEXTS = 0.0075, 3
 #: Share of a source's texts that must have a normal closing for it to be required.
 REQUIRED_SHARE = 0.85
 #: Share of a source's texts that pile up at a field limit, and how many times the usual number of texts of one length that is.
