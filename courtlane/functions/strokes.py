@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The classes of the 18-class model in the order of its outputs, and the twelve-class names.
+#: The classes of the 18-class model in the order of its outputs, and the names of the twelve-class and seventeen-class models.
 CLASSES_18 = (
     "Bottom-Block", "Bottom-Clear", "Bottom-Drive", "Bottom-Dropshot", "Bottom-Net-Kill", "Bottom-Net-Lift", "Bottom-Net-Shot", "Bottom-Serve", "Bottom-Smash",
     "Top-Block", "Top-Clear", "Top-Drive", "Top-Dropshot", "Top-Net-Kill", "Top-Net-Lift", "Top-Net-Shot", "Top-Serve", "Top-Smash",
 )
 CLASSES_12 = ("放小球", "擋小球", "殺球", "挑球", "長球", "平球", "切球", "推球", "撲球", "勾球", "發短球", "發長球")
+CLASSES_17 = ("放小球", "擋小球", "殺球", "點扣", "挑球", "防守回挑", "長球", "平球", "後場抽平球", "切球", "過渡切球", "推球", "撲球", "防守回抽", "勾球", "發短球", "發長球")
 #: Which family a label means, without its side, in lower case.
 FAMILIES = {
     "net": ("放小球", "搓放网", "net-shot", "net shot", "网前球"),

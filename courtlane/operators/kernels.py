@@ -375,3 +375,85 @@ def extensions(points: DataFrame, candidates: DataFrame, forward: bool = True, r
     both = p.unionByName(ahead.join(c, ["match_id", "frame"]))
     out = scan(both, ["match_id", "run", "track"], ["frame", "cand_id"], ["frame", "core", "cand_id", "x", "y", "quality"], Extender, "match_id long, run long, track long, frame long, cand_id long")
     return out.withColumn("frame", F.col("frame") * sign)
+
+
+def parabola(points: list[tuple[float, float, float]], origin: float) -> tuple[float, float, float]:
+    """Least squares parabola of x and of y over time about ``origin``: squared error of both, and the velocity there."""
+    s = [0.0] * 5
+    for f, _, _ in points:
+        t, p = f - origin, 1.0
+        for k in range(5):
+            s[k] += p
+            p *= t
+    n, a, b, c, d = s
+    det = n * (b * d - c * c) - a * (a * d - b * c) + b * (a * c - b * b)
+    error, speed = 0.0, []
+    for i in (1, 2):
+        m0 = m1 = m2 = 0.0
+        for p in points:
+            t = p[0] - origin
+            m0, m1, m2 = m0 + p[i], m1 + t * p[i], m2 + t * t * p[i]
+        if abs(det) < 1e-9:
+            return math.inf, 0.0, 0.0
+        k0 = (m0 * (b * d - c * c) - a * (m1 * d - m2 * c) + b * (m1 * c - m2 * b)) / det
+        k1 = (n * (m1 * d - m2 * c) - m0 * (a * d - b * c) + b * (a * m2 - b * m1)) / det
+        k2 = (n * (b * m2 - c * m1) - a * (a * m2 - b * m1) + m0 * (a * c - b * b)) / det
+        error += sum((p[i] - k0 - k1 * (p[0] - origin) - k2 * (p[0] - origin) ** 2) ** 2 for p in points)
+        speed.append(k1)
+    return error, speed[0], speed[1]
+
+
+class SplitTest:
+    """Frames where two parabolas explain a flight much better than one and the direction turns: over the points up to ``reach`` frames away, five at least on either side."""
+
+    def __init__(self, reach: int = 13, gain: float = 50.0, turn: float = 90.0):
+        self.reach, self.gain, self.turn, self.pts, self.next = reach, gain, turn, deque(), None
+
+    def row(self, key, values):
+        frame = values[0]
+        if self.next is None:
+            self.next = frame + 5
+        out = []
+        while self.next + self.reach < frame:
+            out += self._test(key, self.next)
+            self.next += 1
+        self.pts.append(values)
+        while self.pts[0][0] < self.next - self.reach:
+            self.pts.popleft()
+        return out
+
+    def end(self, key):
+        out = []
+        while self.pts and self.next <= self.pts[-1][0] - 5:
+            out += self._test(key, self.next)
+            self.next += 1
+        return out
+
+    def _test(self, key, s):
+        left = [p for p in self.pts if s - self.reach <= p[0] < s]
+        right = [p for p in self.pts if s < p[0] <= s + self.reach]
+        if len(left) < 5 or len(right) < 5:
+            return []
+        ax, ay, bx, by = left[-1][1] - left[0][1], left[-1][2] - left[0][2], right[-1][1] - right[0][1], right[-1][2] - right[0][2]
+        if ax * bx + ay * by > 0.5 * math.hypot(ax, ay) * math.hypot(bx, by):  # chords within 60 degrees: no turn to test for
+            return []
+        one, (e1, ux, uy), (e2, vx, vy) = parabola(left + right, s)[0], parabola(left, s), parabola(right, s)
+        n = 2 * (len(left) + len(right))
+        gain = n * math.log(max(one / n, 1e-9)) - n * math.log(max((e1 + e2) / n, 1e-9)) - 6 * math.log(n)
+        size = math.hypot(ux, uy) * math.hypot(vx, vy)
+        angle = math.degrees(math.acos(max(-1.0, min(1.0, (ux * vx + uy * vy) / size)))) if size > 1e-12 else 0.0
+        if gain < self.gain or angle < self.turn:
+            return []
+        near = min(self.pts, key=lambda p: (abs(p[0] - s), p[0]))
+        return [(*key, s, float(near[1]), float(near[2]), gain, angle)]
+
+
+def split_hits(points: DataFrame, least_y: float = 0.0, apart: int = 16) -> DataFrame:
+    """Contacts inside flights by the split test: match_id, frame, x, y, score. ``points`` has match_id, frame, x, y; runs with holes up to two frames are tested side by side, contacts
+    above ``least_y`` in the picture are left out, and the strongest stands within ``apart`` frames."""
+    from courtlane.operators.sequence import suppressed
+
+    r = runs(points.select("match_id", "frame", "x", "y"), F.lit(True), 3)
+    c = scan(r, ["match_id", "run"], ["frame"], ["frame", "x", "y"], SplitTest, "match_id long, run long, frame long, x double, y double, gain double, angle double").where(F.col("y") >= least_y)
+    kept = suppressed(c.drop("run").withColumn("gain", F.round("gain", 6)), F.col("gain"), apart)
+    return kept.select("match_id", "frame", "x", "y", F.least(F.lit(0.96), F.greatest(F.lit(0.72), 0.68 + 0.001 * F.col("gain") + 0.0005 * F.col("angle"))).alias("score"))

@@ -44,14 +44,15 @@ def c24_stroke_gates(spark, sf):
 
 
 _FAMS = " ".join(f"WHEN bare IN ({', '.join(repr(n) for n in ns)}) THEN '{f}'" for f, ns in S.FAMILIES.items())
-_ALL = ", ".join(f"('{c}')" for c in (*S.CLASSES_18, *[f"Top_{c}" for c in S.CLASSES_12], " Smash ", "Bottom_未知", ""))
+_LABELS = (*S.CLASSES_18, *[f"Top_{c}" for c in S.CLASSES_12], *[f"Bottom_{c}" for c in S.CLASSES_17], " Smash ", "Bottom_未知", "")
+_ALL = ", ".join(f"('{c}')" for c in _LABELS)
 _AREA = " ".join(f"WHEN family IN ({', '.join(repr(n) for n in ns)}) THEN '{a}'" for a, ns in S.AREAS.items())
 
 
 @add("", f"l(raw) AS (VALUES {_ALL}), b AS (SELECT raw, lower(regexp_replace(trim(raw), '^(Top|Bottom)[_-]', '')) AS bare FROM l), f AS (SELECT raw, lower(trim(raw)) AS normal, CASE {_FAMS} END AS family FROM b)", f"SELECT raw, normal, family, CASE WHEN raw LIKE 'Top%' THEN 'far' WHEN raw LIKE 'Bottom%' THEN 'near' END AS side, CASE {_AREA} ELSE 'unknown' END AS area FROM f")
 def h02_label_families(spark, sf):
     """With H1, H3 and K17: the label sets and what they mean."""
-    l = spark.createDataFrame([(c,) for c in (*S.CLASSES_18, *[f"Top_{c}" for c in S.CLASSES_12], " Smash ", "Bottom_未知", "")], "raw string")
+    l = spark.createDataFrame([(c,) for c in _LABELS], "raw string")
     fam = S.family_of(F.col("raw"))
     return l.select("raw", S.normalised(F.col("raw")).alias("normal"), fam.alias("family"), S.side_of(F.col("raw")).alias("side"), S.area_of(fam).alias("area"))
 

@@ -200,3 +200,9 @@ def k18_classical_pipeline(spark, sf):
     seeds = T.span_suppression(T.strict(T.plausible(T.measures(p))))
     kept = T.trim_abrupt(p.join(seeds.select("match_id", "run", "track"), ["match_id", "run", "track"], "left_semi"))
     return T.one_owner(kept, seeds).select("match_id", "frame", "run", "track", *r6("x", "y"))
+
+
+@add()
+def f21_split_hits(spark, sf):
+    """No SQL: three fits per frame. On the measured track."""
+    return K.split_hits(track(spark, sf).where(F.col("vis") & F.col("source").isin(*REAL))).select("match_id", "frame", *r6("x", "y", "score"))

@@ -202,3 +202,23 @@ def test_extension_both_ways_and_stitching(spark):
     assert {r.frame for r in kernels.extensions(pts, holes).collect()} == set(range(31, 35))
     other = cands.where("cand_id between 36 and 50").withColumns({"run": F.lit(0).cast("long"), "track": F.lit(1).cast("long")})
     assert [(r.track, r.next_track, r.gap) for r in tracklets.stitched(pts.unionByName(other)).collect()] == [(0, 1, 6)]
+
+
+def test_split_hits_find_the_turn_of_a_flight(spark):
+    pts = [(1, f, 100.0 + 9 * f, 500.0 - 8 * f + 0.1 * f * f) for f in range(40)]
+    x, y = pts[-1][2:]
+    pts += [(1, 40 + f, x - 10 * (f + 1), y + 7 * (f + 1) - 0.05 * f * f) for f in range(40)]
+    pts += [(2, f, 100.0 + 9 * f, 500.0 - 20 * f + 0.5 * f * f) for f in range(40)]  # an apex is no turn
+    df = spark.createDataFrame(pts, "match_id long, frame long, x double, y double")
+    got = kernels.split_hits(df).collect()
+    assert len(got) == 1 and got[0].match_id == 1 and abs(got[0].frame - 39) <= 1 and 0.72 <= got[0].score <= 0.96
+
+
+def test_parabola_equals_numpy():
+    rnd = np.random.default_rng(2)
+    p = [(float(f), float(a), float(b)) for f, a, b in zip(range(20, 33), rnd.normal(0, 9, 13), rnd.normal(0, 9, 13))]
+    e, vx, vy = kernels.parabola(p, 26.0)
+    t = np.array([q[0] - 26 for q in p])
+    fits = [np.polyfit(t, [q[i] for q in p], 2) for i in (1, 2)]
+    assert math.isclose(vx, fits[0][1], abs_tol=1e-9) and math.isclose(vy, fits[1][1], abs_tol=1e-9)
+    assert math.isclose(e, sum(((np.polyval(k, t) - [q[i] for q in p]) ** 2).sum() for i, k in ((1, fits[0]), (2, fits[1]))), rel_tol=1e-9)
