@@ -182,7 +182,7 @@ def implausible_readings(sidecar: DataFrame, info: DataFrame, p: SpikeParams = S
     consecutive frames on either side has no residual. An empty table gives an empty result.
     """
     r = staged(judged_readings(sidecar, info, p), "readings")
-    j = join_small(r, source_limits(r, p), ["source"])
+    j = join_small(r, staged(source_limits(r, p), "limits"), ["source"])
     rules = {
         "impossible": F.col("impossible"),
         "spike": F.col("residual") > F.when(F.col("sides") == 2, F.col("cut_two")).otherwise(F.col("cut_one")),
