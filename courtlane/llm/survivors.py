@@ -22,12 +22,12 @@ def survivors(records: DataFrame, group: list[str], order: list[Column], roles:
     the first two. Spark cuts ranked windows with such a limit down to two rows per group and role in every task before the
     shuffle, so a group that holds a third of the rows sends at most two rows per role from a task.
     """
-    serves = F.array_compact(F.array(F.lit(""), *[F.when(cond, F.lit(name)) for name, cond in roles.items()]))
-    tall = records.withColumn("__role", F.explode(serves))
+    serves = F.array_compact(F.array(F.lit(0), *[F.when(cond, F.lit(i)) for i, cond in enumerate(roles.values(), 1)]))
+    tall = records.withColumn("__role", F.explode(F.transform(serves, lambda i: i.cast("byte"))))
     w = Window.partitionBy(*group, "__role").orderBy(*order)
     top = tall.withColumn("__n", F.row_number().over(w)).where("__n <= 2")
     pick = lambda role: F.max(F.when((F.col("__role") == role) & (F.col("__n") == 1), F.col(record_id)))
-    out = top.groupBy(*group).agg(pick("").alias(record_id), F.max(F.when(F.col("__role") == "", F.col("__n"))).alias("__n"), *[F.coalesce(pick(r), F.lit(-1)).alias(r) for r in roles])
+    out = top.groupBy(*group).agg(pick(0).alias(record_id), F.max(F.when(F.col("__role") == 0, F.col("__n"))).alias("__n"), *[F.coalesce(pick(i), F.lit(-1)).alias(r) for i, r in enumerate(roles, 1)])
     return out.where("__n = 2").drop("__n")
 
 
@@ -53,9 +53,11 @@ def best_observations(ball_raw: DataFrame) -> DataFrame:
     Records rank by visibility (1, 0, else), number of x, y, source, confidence that have a value, later exported_at (null last), larger row_id.
     An empty table gives an empty result.
     """
-    order = [F.desc("seen"), F.desc("filled"), F.desc_nulls_last("exported_at"), F.desc("row_id")]
-    found = survivors(ranked_observations(ball_raw), ["match_id", "phase", "frame"], order, {"source_row_id": F.col("has_source"), "confidence_row_id": F.col("has_confidence")}, "row_id")
-    return found.select("match_id", "phase", "frame", "row_id", "source_row_id", "confidence_row_id")
+    order = [F.desc("rank"), F.desc_nulls_last("exported_at"), F.desc("row_id")]
+    # narrow rows for the shuffle: a flag for the phase, visibility and completeness in one byte
+    r = ranked_observations(ball_raw).withColumns({"second": F.col("phase") == "secondary", "rank": (F.col("seen") * 8 + F.col("filled")).cast("byte")}).select("match_id", "second", "frame", "rank", "exported_at", "row_id", "has_source", "has_confidence")
+    found = survivors(r, ["match_id", "second", "frame"], order, {"source_row_id": F.col("has_source"), "confidence_row_id": F.col("has_confidence")}, "row_id")
+    return found.select("match_id", F.when(F.col("second"), "secondary").otherwise("primary").alias("phase"), "frame", "row_id", "source_row_id", "confidence_row_id")
 
 
 def merged_observations(ball_raw: DataFrame) -> DataFrame:
