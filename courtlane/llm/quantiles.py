@@ -132,7 +132,7 @@ def _fold_sorted(keys: list[str], k: int):
     return run
 
 
-def digests(df: DataFrame, group: list[str], value: str, eps: float = 0.005) -> DataFrame:
+def digests(df: DataFrame, group: list[str], value: str, eps: float = 0.001) -> DataFrame:
     """A digest per group: ``group``, node, n; a rank read from it, or from any merge of such digests, is off by at most eps * n.
 
     Null and NaN values are left out; a group without values has no digest; a null in a group column is a key of its own. Tasks digest
@@ -146,7 +146,7 @@ def digests(df: DataFrame, group: list[str], value: str, eps: float = 0.005) ->
     return _ungrouped(_merged(local, k), df, group)
 
 
-def merge_digests(parts: DataFrame, group: list[str], eps: float = 0.005) -> DataFrame:
+def merge_digests(parts: DataFrame, group: list[str], eps: float = 0.001) -> DataFrame:
     """Digests of coarser groups from those of finer ones (other matches, other days): counts of equal nodes are added, then compressed."""
     k = int(np.ceil(BITS / eps))
     key = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(group)]))
@@ -165,7 +165,7 @@ def _ungrouped(nodes: DataFrame, like: DataFrame, group: list[str]) -> DataFrame
     return nodes.withColumn("g", of).select(*[F.col(f"g.g{i}").alias(c) for i, c in enumerate(group)], "node", "n")
 
 
-def percentiles(digest: DataFrame, group: list[str], probs: dict[str, float], eps: float = 0.005) -> DataFrame:
+def percentiles(digest: DataFrame, group: list[str], probs: dict[str, float], eps: float = 0.001) -> DataFrame:
     """``group``, n, a column per entry of ``probs``, and rank_error: by how many ranks a percentile may be off at most (0: exact)."""
     k = int(np.ceil(BITS / eps))
     key = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(group)]))

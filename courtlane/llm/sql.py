@@ -19,5 +19,5 @@ _P4 = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.9
 SQL["p4_percentiles"] = f"""
 WITH v AS (SELECT rallyid, shotavgspeedkmh AS v, row_number() OVER (PARTITION BY rallyid ORDER BY shotavgspeedkmh) AS r, count(*) OVER (PARTITION BY rallyid) AS n
   FROM sidecar WHERE shotavgspeedkmh IS NOT NULL AND NOT isnan(shotavgspeedkmh))
-SELECT rallyid, n, {", ".join(f"round(max(CASE WHEN r = greatest(1, ceil(round({p} * n, 6))) THEN v END), 6) AS {c}" for c, p in _P4.items())}, CAST(44 * (n // 8800) AS BIGINT) AS rank_error
+SELECT rallyid, n, {", ".join(f"round(max(CASE WHEN r = greatest(1, ceil(round({p} * n, 6))) THEN v END), 6) AS {c}" for c, p in _P4.items())}, CAST(44 * (n // 44000) AS BIGINT) AS rank_error
 FROM v GROUP BY rallyid, n"""
