@@ -19,6 +19,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words up to so many bytes are merged by scanning, longer ones (a run of blanks, a line of Chinese) over a heap.
 SHORT = 64
+#: Texts of so many characters are split word by word, shorter ones at once.
+LONG = 1 << 20
 #: Words whose ids a worker remembers; it forgets all when they become more.
 REMEMBERED = 200_000
 
@@ -90,7 +92,7 @@ class Encoder:
         if not text:
             return []
         out, seen = [], self.seen
-        for word in self.split.findall(text):
+        for word in self.split.findall(text) if len(text) < LONG else (m.group() for m in self.split.finditer(text)):
             ids = seen.get(word)
             if ids is None:
                 raw = word.encode("utf-8", "surrogatepass")

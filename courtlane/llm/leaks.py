@@ -24,6 +24,8 @@ CLASSES = {"wide": (60, 30), "tight": (24, 12)}
 TIGHT = ("zh",)
 #: Characters of items that are broadcast at once; more items take more passes over the documents.
 BLOCK_CHARS = 4_000_000
+#: Characters of documents that a task hashes at once; a longer text is taken in pieces that overlap by a stretch.
+PIECE_CHARS = 1_000_000
 
 _TAG, _OTHER, _OTHER_ASCII = re.compile(r"<[^<>]*>"), re.compile(r"[\W_]+"), re.compile(r"[^a-z0-9]+")
 
@@ -68,6 +70,21 @@ def kept_shingles(texts: list[str], stretch: int, size: int) -> tuple[np.ndarray
     return owner[fresh], h[fresh]
 
 
+def in_pieces(texts: list[str], stretch: int) -> Iterator[tuple[list[int], list[str]]]:
+    """(text numbers, pieces) of at most about two times PIECE_CHARS characters; every window of ``stretch`` characters of a text is whole in one of its pieces."""
+    numbers, pieces, held = [], [], 0
+    for n, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - stretch + 1), PIECE_CHARS):
+            numbers.append(n)
+            pieces.append(text[at : at + PIECE_CHARS + stretch - 1])
+            held += len(pieces[-1])
+            if held >= PIECE_CHARS:
+                yield numbers, pieces
+                numbers, pieces, held = [], [], 0
+    if pieces:
+        yield numbers, pieces
+
+
 def shares(document: str, item: str, stretch: int) -> bool:
     """Whether both contain one string of ``stretch`` characters."""
     if len(document) < stretch or len(item) < stretch:
@@ -96,11 +113,12 @@ class Items:
             have, ids = self.of[name]
             if not len(have):
                 continue
-            owner, h = kept_shingles(texts, stretch, size)
-            lo, hi = np.searchsorted(have, h, "left"), np.searchsorted(have, h, "right")
             may = defaultdict(set)
-            for j in np.flatnonzero(hi > lo):
-                may[int(owner[j])].update(ids[lo[j] : hi[j]].tolist())
+            for numbers, pieces in in_pieces(texts, stretch):
+                owner, h = kept_shingles(pieces, stretch, size)
+                lo, hi = np.searchsorted(have, h, "left"), np.searchsorted(have, h, "right")
+                for j in np.flatnonzero(hi > lo):
+                    may[numbers[owner[j]]].update(ids[lo[j] : hi[j]].tolist())
             out += [(n, i) for n, some in may.items() for i in some if shares(texts[n], self.texts[i], stretch)]
         return out
 
