@@ -182,6 +182,17 @@ def test_items_in_blocks_give_the_same(spark, monkeypatch):
     assert sorted(r.item_id for r in leaks.leaked_items(d, e).collect()) == list(range(6))
 
 
+def test_long_texts_in_pieces_give_the_same(monkeypatch):
+    p = leaks.plain(ITEM)
+    search = leaks.Items([(1, "en", ITEM), (2, "zh", ZH)])
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(0, 900))) for _ in range(40)]
+    texts = [t[: i * 9] + (p[20:80] if i % 3 == 0 else ZH[4:28] if i % 3 == 1 else p[20:79] + "#") + t[i * 9 :] for i, t in enumerate(texts)] + ["", p]
+    want = sorted(search.found(texts))
+    monkeypatch.setattr(leaks, "PIECE_CHARS", 37)
+    assert sorted(search.found(texts)) == want and {n for n, _ in want} == {*(i for i in range(40) if i % 3 < 2), 41}
+
+
 @given(st.text(alphabet="abc", max_size=150), st.text(alphabet="abc", max_size=40), st.integers(0, 30))
 @settings(max_examples=150, deadline=None)
 def test_every_shared_window_keeps_a_common_shingle(doc, item, at):
