@@ -27,7 +27,7 @@ def i02_stream_sessions(spark, sf):
     return E.run_available(E.sessions(s, 30), "sessions", "complete")
 
 
-@add("", "p AS (SELECT match_id, frame, max(x) AS x, max(y) AS y FROM sidecar WHERE visibility = 1 AND frame IS NOT NULL AND match_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL GROUP BY ALL), s AS (SELECT a.match_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON b.match_id = a.match_id AND b.frame = a.frame - 1)", "SELECT m.match_id, m.last_frame, round(coalesce(sum(d), 0), 3) AS path_px, CAST(count(d) AS BIGINT) AS steps FROM (SELECT match_id, max(frame) AS last_frame FROM p GROUP BY match_id) m LEFT JOIN s USING (match_id) GROUP BY ALL")
+@add("", "p AS (SELECT match_id, frame, max(x) AS x, max(y) AS y FROM sidecar WHERE visibility = 1 AND frame IS NOT NULL AND match_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL GROUP BY ALL), s AS (SELECT a.match_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON b.match_id = a.match_id AND b.frame = a.frame - 1)", "SELECT m.match_id, CAST(m.last_frame AS BIGINT) AS last_frame, round(coalesce(sum(d), 0), 3) AS path_px, CAST(count(d) AS BIGINT) AS steps FROM (SELECT match_id, max(frame) AS last_frame FROM p GROUP BY match_id) m LEFT JOIN s USING (match_id) GROUP BY ALL")
 def i03_stream_paths(spark, sf):
     """Files are taken in one batch here, as the rows of a match lie in any order over the files; the last state of each match is its result."""
     s = E.read_stream(spark, sf, "sidecar", 1_000_000).where("visibility = 1 and frame is not null and match_id is not null and x is not null and y is not null").select("match_id", "frame", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
@@ -35,7 +35,7 @@ def i03_stream_paths(spark, sf):
     return out.groupBy("match_id").agg(F.max("last_frame").alias("last_frame"), F.round(F.max_by("path_px", "last_frame"), 3).alias("path_px"), F.max("steps").alias("steps"))
 
 
-@add("", "h AS (SELECT DISTINCT match_id, frame FROM hit_event WHERE match_id IS NOT NULL AND frame IS NOT NULL), l AS (SELECT match_id, frame, lead(frame) OVER (PARTITION BY match_id ORDER BY frame) AS e FROM h)", "SELECT match_id, frame AS start_frame, e AS end_frame FROM l WHERE e IS NOT NULL")
+@add("", "h AS (SELECT DISTINCT match_id, frame FROM hit_event WHERE match_id IS NOT NULL AND frame IS NOT NULL), l AS (SELECT match_id, frame, lead(frame) OVER (PARTITION BY match_id ORDER BY frame) AS e FROM h)", "SELECT match_id, CAST(frame AS BIGINT) AS start_frame, CAST(e AS BIGINT) AS end_frame FROM l WHERE e IS NOT NULL")
 def i04_stream_closed_shots(spark, sf):
     s = E.read_stream(spark, sf, "hit_event", 1_000_000).where("frame is not null and match_id is not null").select("match_id", "frame")
     return E.run_available(E.closed_shots(s), "shots")

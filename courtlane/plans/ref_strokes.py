@@ -146,7 +146,7 @@ def g05_diverse_representatives(spark, sf):
     """The first review of each family, then others by time, twelve in all: a top-k report."""
     a = Window.partitionBy("match_id", "family").orderBy("frame", "rally", "idx")
     b = Window.partitionBy("match_id").orderBy(F.col("r") > 1, "frame", "rally", "idx")
-    return _reviews(spark, sf).withColumn("r", F.row_number().over(a)).withColumn("k", F.row_number().over(b)).where("k <= 12").select("match_id", "rally", "idx", "family")
+    return _reviews(spark, sf).withColumn("r", F.row_number().over(a)).withColumn("k", F.row_number().over(b)).where("k <= 12").select("match_id", "rally", F.col("idx").cast("long").alias("idx"), "family")
 
 
 @add("hits", "n AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY frame, hit_id) - 1 AS i, count(*) OVER (PARTITION BY match_id) AS c FROM hits), w AS (SELECT DISTINCT match_id, CAST(floor(k * c / 36) AS BIGINT) AS i FROM (SELECT DISTINCT match_id, c FROM n), (SELECT unnest(range(36)) AS k))", "SELECT n.match_id, hit_id FROM n JOIN w ON w.match_id = n.match_id AND w.i = n.i")
