@@ -11,7 +11,7 @@ k AS (SELECT match_id, phase, CAST(trunc(f) AS INTEGER) AS frame, row_id, source
 SELECT match_id, phase, frame, arg_min(row_id, n) AS row_id, coalesce(arg_min(row_id, n) FILTER (source IS NOT NULL), -1) AS source_row_id, coalesce(arg_min(row_id, n) FILTER (confidence IS NOT NULL), -1) AS confidence_row_id
 FROM k GROUP BY match_id, phase, frame HAVING count(*) > 1""",
     "p6_nearest": """
-WITH p AS (SELECT DISTINCT h.hit_id, h.frame AS hf, a.audio_id, a.frame - h.frame AS "offset" FROM hit_event h JOIN audio_impulse a ON h.match_id = a.match_id AND a.frame BETWEEN h.frame - 6 AND h.frame + 6)
+WITH p AS (SELECT DISTINCT h.hit_id, h.frame AS hf, a.audio_id, CAST(a.frame - h.frame AS BIGINT) AS "offset" FROM hit_event h JOIN audio_impulse a ON h.match_id = a.match_id AND a.frame BETWEEN h.frame - 6 AND h.frame + 6)
 SELECT hit_id, audio_id, "offset" FROM p QUALIFY row_number() OVER (PARTITION BY hit_id, hf ORDER BY abs("offset"), "offset", audio_id) = 1""",
 }
 SQL["p6_found"] = f"SELECT hit_id, audio_id FROM ({SQL['p6_nearest']})"
