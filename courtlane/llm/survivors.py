@@ -43,6 +43,7 @@ def ranked_observations(ball_raw: DataFrame) -> DataFrame:
     r = ball_raw.select(
         "match_id", phase.alias("phase"), lenient_int(F.col("frame")).alias("frame"), "row_id", "exported_at", F.when(seen == 1, 2).when(seen == 0, 1).otherwise(0).alias("seen"),
         sum([F.coalesce(h, F.lit(False)).cast("int") for h in list(has.values())[1:]], has["x"].cast("int")).alias("filled"), F.coalesce(has["source"], F.lit(False)).alias("has_source"), F.coalesce(has["confidence"], F.lit(False)).alias("has_confidence"),
+        "x", "y", F.trim("source").alias("source"), "confidence",
     )
     return r.where("match_id is not null and frame is not null and phase in ('primary', 'secondary')")
 
@@ -63,7 +64,7 @@ def best_observations(ball_raw: DataFrame) -> DataFrame:
 def merged_observations(ball_raw: DataFrame) -> DataFrame:
     """The surviving record itself for every match, phase and frame, groups of one included: visibility, x, y of the first record, source
     and confidence of the first that has them. One aggregation with map-side partial results; the largest rank wins."""
-    r = ranked_observations(ball_raw).join(ball_raw.select("row_id", "x", "y", F.trim("source").alias("source"), "confidence"), "row_id")
+    r = ranked_observations(ball_raw)
     rank = F.struct("seen", "filled", F.coalesce(F.col("exported_at").isNotNull(), F.lit(False)).alias("dated"), "exported_at", "row_id")
     first = lambda c, when: F.max_by(c, F.when(when, rank)).alias(c)
     return r.groupBy("match_id", "phase", "frame").agg(F.count("*").alias("records"), first("row_id", F.lit(True)), first("seen", F.lit(True)), first("x", F.lit(True)), first("y", F.lit(True)), first("source", F.col("has_source")), first("confidence", F.col("has_confidence")))
