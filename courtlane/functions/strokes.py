@@ -128,3 +128,17 @@ def hand_variant(hand: Column, arm: Column, side: Column, consistent: Column) ->
 def redacted(text: Column) -> Column:
     """File paths replaced by a mark."""
     return F.regexp_replace(text, r"(/[A-Za-z0-9_.-]+){2,}", "[path]")
+
+
+def type_choice(rule: Column, model: Column, carded: Column, side_ok: Column, confidence: Column, confirmed: Column, pose: Column, ball: Column, margin: Column) -> tuple[Column, Column]:
+    """Status and family where a route's type meets a model's: the route stands unless the model's card passes its gates and either agrees, or fills in an unknown
+    route without contradicting its area. Agreement counts as the model's only at 0.85 confidence, 0.25 margin and full coverage."""
+    open_ = rule.isin("unknown", "front_unknown", "back_unknown")
+    area = F.when(rule == "front_unknown", "front").when(rule == "back_unknown", "back").otherwise(area_of(rule))
+    conflict = F.when(open_, (area != "unknown") & (area != area_of(model))).otherwise(rule != model)
+    strict = coach_gate(confidence, margin, confirmed, pose, ball) == "ready"
+    status = (
+        F.when(~carded, "unavailable").when(~side_ok, "side_mismatch").when(confidence < 0.60, "low_confidence").when(~confirmed | (pose < 0.08) | (ball < 0.08), "insufficient_evidence")
+        .when(model.isNull(), "unsupported").when(conflict, "conflict").when(rule == model, F.when(strict, "agreement").otherwise("rule_fallback")).otherwise("adopted")
+    )
+    return status, F.when(status.isin("agreement", "adopted"), model).otherwise(rule)

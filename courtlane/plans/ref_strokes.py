@@ -206,6 +206,29 @@ def d10_cards_for_hits(spark, sf):
     return hits(spark, sf).select("hit_id", "match_id", "frame", "hitter").join(c, ["match_id", "frame"]).withColumn("n", F.row_number().over(w)).where("n = 1").select("hit_id", "label", F.round("p", 6).alias("probability"))
 
 
+_MFAM = _FAMS.replace("bare", "lower(label)")
+_AREAF = lambda c: "CASE " + " ".join(f"WHEN {c} IN ({', '.join(repr(n) for n in ns)}) THEN '{a}'" for a, ns in S.AREAS.items()) + " ELSE 'unknown' END"
+_H9 = _STROKE + ", " + _FAM + f""", {_CARD},
+c1 AS (SELECT ct.event, p1, margin, confirmed AS ok, pose, ball, raw_label, regexp_replace(raw_label, '^(Top|Bottom)[_-]', '') AS label, CASE WHEN raw_label LIKE 'Top%' THEN 'far' ELSE 'near' END AS mside FROM ct JOIN rk ON rk.event = ct.event AND rk.r = 1),
+c2 AS (SELECT *, CASE {_MFAM} END AS model FROM c1),
+j AS (SELECT fc.hit_id, fc.family AS rule, fc.hitter, c2.*, c2.event IS NOT NULL AS carded FROM fc LEFT JOIN c2 ON c2.event = fc.hit_id % 500),
+a AS (SELECT *, CASE WHEN rule = 'front_unknown' THEN 'front' WHEN rule = 'back_unknown' THEN 'back' ELSE {_AREAF('rule')} END AS rarea, {_AREAF('model')} AS marea FROM j),
+st9 AS (SELECT hit_id, rule, model, CASE WHEN NOT carded THEN 'unavailable' WHEN hitter IN ('near', 'far') AND hitter <> mside THEN 'side_mismatch' WHEN p1 < 0.6 THEN 'low_confidence' WHEN NOT ok OR pose < 0.08 OR ball < 0.08 THEN 'insufficient_evidence' WHEN model IS NULL THEN 'unsupported'
+ WHEN CASE WHEN rule IN ('unknown', 'front_unknown', 'back_unknown') THEN rarea <> 'unknown' AND rarea <> marea ELSE rule <> model END THEN 'conflict' WHEN rule = model THEN CASE WHEN p1 >= 0.85 AND margin >= 0.25 AND pose >= 0.85 AND ball >= 0.55 THEN 'agreement' ELSE 'rule_fallback' END ELSE 'adopted' END AS status FROM a)"""
+
+
+@add("hits info logits", _H9, "SELECT hit_id, status, CASE WHEN status IN ('agreement', 'adopted') THEN model ELSE rule END AS family FROM st9")
+def h09_type_choice(spark, sf):
+    """Cards are dealt to hits by number (hit_id modulo 500), as few lie at the same time."""
+    ok, pose, ball = F.col("event") % 4 != 0, (F.col("event") % 101) / 100, (F.col("event") % 67) / 66
+    c = logits(spark, sf).withColumn("t", S.top_classes(F.col("logits")))
+    c = c.select(F.col("event").alias("card"), F.lit(True).alias("carded"), F.col("t")[0]["probability"].alias("p1"), (F.col("t")[0]["probability"] - F.col("t")[1]["probability"]).alias("gain"), ok.alias("ok"), pose.alias("pose"), ball.alias("ball"), S.family_of(F.col("t")[0]["raw_label"]).alias("model"), S.side_of(F.col("t")[0]["raw_label"]).alias("mside"))
+    h = _classified(spark, sf).select("hit_id", "family", "hitter", (F.col("hit_id") % 500).alias("card")).join(c, "card", "left")
+    side_ok = ~F.coalesce(F.col("hitter").isin("near", "far") & (F.col("hitter") != F.col("mside")), F.lit(False))
+    status, family = S.type_choice(F.col("family"), F.col("model"), F.coalesce("carded", F.lit(False)), side_ok, F.col("p1"), F.col("ok"), F.col("pose"), F.col("ball"), F.col("gain"))
+    return h.select("hit_id", status.alias("status"), family.alias("family"))
+
+
 @add()
 def j01_predictor_hook(spark, sf):
     """J1: a model as a pandas function of feature batches, here the index of the largest score."""
