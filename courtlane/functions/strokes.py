@@ -142,3 +142,20 @@ def type_choice(rule: Column, model: Column, carded: Column, side_ok: Column, co
         .when(model.isNull(), "unsupported").when(conflict, "conflict").when(rule == model, F.when(strict, "agreement").otherwise("rule_fallback")).otherwise("adopted")
     )
     return status, F.when(status.isin("agreement", "adopted"), model).otherwise(rule)
+
+
+def posture_signals(family: Column, samples: Column, pose: Column, knee: Column, stance: Column, elbow: Column, reach: Column, high_share: Column, least: Column | int = 3) -> Column:
+    """Posture signals of a stroke from at least ``least`` samples, in a fixed order; none where fewer than two samples or a confidence under 0.4 show the pose.
+
+    Straight knees or a narrow stance by family, and an arm that stays short overhead.
+    """
+    enough = samples >= least
+    front, back = family.isin(*AREAS["front"], "front_unknown"), family.isin(*AREAS["back"], "back_unknown")
+    rules = {
+        "serve_preparation": (family == "serve") & enough & ((knee >= 165) | (stance < 0.52)),
+        "front_support": front & enough & ((knee >= 168) | (stance < 0.48)),
+        "overhead_extension": back & enough & (high_share >= 0.67) & (elbow < 145) & (reach < 1.05),
+        "back_support": back & enough & (knee >= 170),
+    }
+    found = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules.items()]))
+    return F.when((samples >= 2) & (pose >= 0.4), found).otherwise(F.array().cast("array<string>"))

@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from courtlane.functions import geometry as G
+from courtlane.functions.strokes import posture_signals
 from courtlane.operators import landing as L
+from courtlane.plans.ref_strokes import _FAM, _STROKE, _classified
 from courtlane.plans.views import Registry, hits, impulses, info, phases, poses, r6, r6_sql, table, track, with_info
 
 add = Registry()
@@ -212,3 +214,19 @@ def k10_first_cut(spark, sf):
 def k14_confidence_labels(spark, sf):
     g = hits(spark, sf).groupBy("match_id").agg((F.avg(F.coalesce("hitter_confidence", F.lit(0.0))) * F.avg((F.col("hitter") != "unknown").cast("int"))).alias("s"))
     return g.select("match_id", F.round("s", 6).alias("score"), F.when(F.col("s") >= 0.72, "high").when(F.col("s") >= 0.57, "medium").otherwise("low").alias("label"))
+
+
+_ELBOW = f"greatest({_ANG(5, 7, 9)}, {_ANG(6, 8, 10)})"
+_SIG = _STROKE + ", " + _FAM + f""", mt AS (SELECT match_id, frame, {_KD(_REACH)} AS reach, {_KD(_KNEE)} AS knee, {_KD(_STANCE)} AS stance, {_KD(_ELBOW)} AS elbow, kp[10].y < kp[6].y AS high, (kp[10].conf + kp[11].conf) / 2 AS conf FROM poses),
+ms AS (SELECT fc.hit_id, fc.family, count(*) AS n, avg(conf) AS conf, median(knee) AS knee, median(stance) AS stance, median(elbow) AS elbow, median(reach) AS reach, avg(mt.high::INT) AS hs FROM fc JOIN mt ON mt.match_id = fc.match_id AND mt.frame BETWEEN fc.frame - 30 AND fc.frame + 30 GROUP BY ALL)"""
+_FRONT, _BACK = ("'net', 'lift', 'push', 'cross_net', 'net_kill', 'front_unknown'", "'clear', 'drive_clear', 'drop', 'smash', 'defensive_drive', 'back_unknown'")
+
+
+@add("hits info poses", _SIG, f"SELECT hit_id, CASE WHEN n >= 2 AND conf >= 0.4 THEN list_filter([CASE WHEN family = 'serve' AND n >= 3 AND (knee >= 165 OR stance < 0.52) THEN 'serve_preparation' END, CASE WHEN family IN ({_FRONT}) AND n >= 3 AND (knee >= 168 OR stance < 0.48) THEN 'front_support' END, CASE WHEN family IN ({_BACK}) AND n >= 3 AND hs >= 0.67 AND elbow < 145 AND reach < 1.05 THEN 'overhead_extension' END, CASE WHEN family IN ({_BACK}) AND n >= 3 AND knee >= 170 THEN 'back_support' END], lambda v: v IS NOT NULL) ELSE CAST([] AS VARCHAR[]) END AS signals FROM ms")
+def h10_posture_signals(spark, sf):
+    """The posture rules over the pose samples within 30 frames of a stroke; advice texts aren't built."""
+    m = poses(spark, sf).select("match_id", "frame", F.expr(_K(_REACH)).alias("reach"), F.expr(_K(_KNEE)).alias("knee"), F.expr(_K(_STANCE)).alias("stance"), F.expr(_K(_ELBOW)).alias("elbow"), (F.col("kp")[9]["y"] < F.col("kp")[5]["y"]).cast("int").alias("high"), ((F.col("kp")[9]["conf"] + F.col("kp")[10]["conf"]) / 2).alias("conf"))
+    h = _classified(spark, sf).select("hit_id", "family", "match_id", F.explode(F.sequence(F.col("frame") - 30, F.col("frame") + 30)).alias("frame"))
+    mid = lambda c: F.percentile(c, F.lit(0.5)).alias(c)
+    g = h.join(m, ["match_id", "frame"]).groupBy("hit_id", "family").agg(F.count("*").alias("n"), F.avg("conf").alias("conf"), mid("knee"), mid("stance"), mid("elbow"), mid("reach"), F.avg("high").alias("hs"))
+    return g.select("hit_id", posture_signals(*[F.col(c) for c in ("family", "n", "conf", "knee", "stance", "elbow", "reach", "hs")]).alias("signals"))
