@@ -123,15 +123,22 @@ scalar("b06_in_quad", "Inside the expanded court; the integer variant truncates
 scalar("b07_edge_corridor", "Near the line of the top edge.", near_edge=G.edge_corridor("x", "y", _WIDE))
 
 
-def _clamped():
-    segs = [G.closest_on_segment("x", "y", Q[2 * i], Q[2 * i + 1], Q[(2 * i + 2) % 8], Q[(2 * i + 3) % 8]) for i in range(4)]
-    d = [G.dist("x", "y", a, b) for a, b in segs]
-    best = f"least({', '.join(d)})"
-    pick = lambda k: G.case((G.in_quad("x", "y", Q), "xy"[k]), *[(f"{d[i]} <= {best}", segs[i][k]) for i in range(4)])
-    return pick(0), pick(1)
+_SEGS = [G.closest_on_segment("x", "y", Q[2 * i], Q[2 * i + 1], Q[(2 * i + 2) % 8], Q[(2 * i + 3) % 8]) for i in range(4)]
+_ENDS = {f"{c}{i}": p for i, pair in enumerate(_SEGS) for c, p in zip(("sx", "sy"), pair)}
+_DIST = {f"d{i}": G.dist("x", "y", f"sx{i}", f"sy{i}") for i in range(4)}
+_PICK = {f"c{c}": _R(G.case((G.in_quad("x", "y", Q), c), *[(f"d{i} <= least(d0, d1, d2, d3)", f"s{c}{i}") for i in range(4)])) for c in "xy"}
+_NAMED = lambda cols: ", ".join(f"{e} AS {n}" for n, e in cols.items())
+
+
+@add("track info", f"s AS ({SEEN}), e AS (SELECT *, {_NAMED(_ENDS)} FROM s), g AS (SELECT *, {_NAMED(_DIST)} FROM e)", f"SELECT match_id, frame, {_NAMED(_PICK)} FROM g")
+def b08_clamp_to_quad(spark, sf):
+    """Points outside the court moved to its nearest edge, in three stages, as one expression would outgrow a generated method."""
+    d = seen(spark, sf)
+    for stage in (_ENDS, _DIST):
+        d = d.withColumns({n: F.expr(e) for n, e in stage.items()})
+    return exprs(d, ["match_id", "frame"], **_PICK)
 
 
-scalar("b08_clamp_to_quad", "Points outside the court moved to its nearest edge.", cx=_R(_clamped()[0]), cy=_R(_clamped()[1]))
 scalar("b10_half_court", "y of a player's court position kept in the own half.", y_half=_R(G.half_court("hitter", f"({_Y})")))
 scalar("b11_map_pixels", "Position on a 305 x 670 px map of the court.", mx=f"CAST(floor({G.clip(f'({_X}) / {G.COURT_W}', 0, 1)} * 304) AS BIGINT)", my=f"CAST(floor({G.clip(f'({_Y}) / {G.COURT_L}', 0, 1)} * 669) AS BIGINT)")
 scalar("b14_line_call", "Signed distance to the lines and the call.", line_m=_R(G.line_distance(_X, _Y)), call=G.line_call(f"({G.line_distance(_X, _Y)})"))
