@@ -1,12 +1,14 @@
 """Texts that were cut by a field limit, a preview or a broken transfer (problem 9).
 
 Each text goes through a structural check (a stack automaton over quotes, brackets and JSON, broken characters at its end, preview marks, a
-missing terminator). Whether an ending without a terminator is the normal one is learnt per source: fragments that many of its texts
-close with (signatures, tag lines, footers), shapes of last tokens, and lengths where its texts pile up.
+missing terminator). Whether an ending without a terminator is the normal one is learnt per source: fragments that many of its distinct texts
+close with (signatures, tag lines, footers), shapes of last tokens, and lengths where its texts pile up. Copies of one text teach once, and texts
+with an open structure or a preview mark teach no closing; a bare ellipsis may be the writer's own ("To be continued...") and is one if many texts close so.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -20,9 +22,9 @@ from courtlane.session import join_small, staged
 TERMINATORS = ".!?。！？｡…؟۔।"
 CLOSERS = ")]}\"'”’»」』）】*_`"
 PREVIEW = re.compile(r"\s*(?:\[(?:\.\.\.|…)\]|\((?:more|continued)\)|(?:\.\.\.|…)?\s*(?:read|see) (?:on|more)|\.\.\.|…)$", re.IGNORECASE)
-#: Share of a source's texts that must close with a fragment (or a shape) to make it a normal closing, and the least number of them.
+#: Share of a source's distinct texts that must close with a fragment (or a shape) to make it a normal closing, and the least number of them.
 CLOSING_SHARE, CLOSING_TEXTS = 0.0075, 3
-#: Share of a source's texts that must have a normal closing for it to be required.
+#: Share of a source's distinct texts that must have a normal closing for it to be required.
 REQUIRED_SHARE = 0.85
 #: Share of a source's texts that pile up at a field limit, and how many times the usual number of texts of one length that is.
 LIMIT_SHARE, LIMIT_TIMES, LIMIT_TEXTS = 0.01, 5, 5
@@ -62,17 +64,22 @@ def bracket_open(fragment: str) -> bool:
     return False
 
 
+def copy_hash(body: str) -> int:
+    """64 bits that copies of a text share."""
+    return int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def examined(text: str) -> dict:
     """Structural features of a text that isn't blank."""
     body = text.rstrip()
-    out = {"broken": body.endswith("\ufffd"), "json": False, "open": False, "preview": False, "ended": False, "fragment": None, "shape": None, "chars": len(text), "bytes": len(text.encode("utf-8", "surrogatepass"))}
+    out = {"broken": body.endswith("\ufffd"), "json": False, "open": False, "preview": False, "dots": False, "ended": False, "fragment": None, "shape": None, "chars": len(text), "bytes": len(text.encode("utf-8", "surrogatepass")), "copy": copy_hash(body)}
     if body.lstrip()[:1] in ("{", "["):
         out["json"], out["open"] = True, json_open(body)
         return out
     mark = PREVIEW.search(body)
     rest = body
     if mark:
-        out["preview"] = True
+        out["preview"], out["dots"] = True, not mark.group().strip().strip(".…")
         rest = body[: mark.start()]
     core = rest.rstrip(CLOSERS)
     out["ended"] = bool(core) and core[-1] in TERMINATORS
@@ -90,7 +97,7 @@ def examined(text: str) -> dict:
     return out
 
 
-_FEATURES = "broken boolean, json boolean, open boolean, preview boolean, ended boolean, fragment string, shape string, chars long, bytes long"
+_FEATURES = "broken boolean, json boolean, open boolean, preview boolean, dots boolean, ended boolean, fragment string, shape string, chars long, bytes long, copy long"
 
 
 def examine(documents: DataFrame) -> DataFrame:
@@ -130,18 +137,20 @@ def judged(documents: DataFrame) -> DataFrame:
     at = F.array_contains("char_limits", F.col("chars")) | F.exists("byte_limits", lambda m: F.abs(m - F.col("bytes")) <= 3)
     f = f.withColumn("at_limit", F.coalesce(at, F.lit(False))).drop("char_limits", "byte_limits")
     sound = f.where("not broken and not at_limit and not json")
-    totals = f.groupBy("source").agg(F.count("*").alias("texts"))
-    often = lambda c: join_small(sound.where(F.col(c).isNotNull()).groupBy("source", c).agg(F.count("*").alias("n")), totals, ["source"]).where((F.col("n") >= CLOSING_TEXTS) & (F.col("n") >= CLOSING_SHARE * F.col("texts"))).select("source", c, F.lit(True).alias(f"usual_{c}"))
+    totals = sound.groupBy("source").agg(F.count_distinct("copy").alias("texts"))
+    closing = sound.where("not open and (dots or not preview)")
+    often = lambda c: join_small(closing.where(F.col(c).isNotNull()).groupBy("source", c).agg(F.count_distinct("copy").alias("n")), totals, ["source"]).where((F.col("n") >= CLOSING_TEXTS) & (F.col("n") >= CLOSING_SHARE * F.col("texts"))).select("source", c, F.lit(True).alias(f"usual_{c}"))
     for c in ("fragment", "shape"):
         f = join_small(f, often(c), ["source", c])
         f = f.withColumn(f"usual_{c}", F.coalesce(f"usual_{c}", F.lit(False)))
-    required = f.groupBy("source").agg((F.avg(F.col("usual_fragment").cast("int")) >= REQUIRED_SHARE).alias("required"))
+    required = f.groupBy("source").agg((F.count_distinct(F.when(F.col("usual_fragment"), F.col("copy"))) >= REQUIRED_SHARE * F.count_distinct("copy")).alias("required"))
     f = join_small(f, required, ["source"])
     reason = (
         F.when(F.col("broken"), "broken_character")
         .when(F.col("json"), F.when(F.col("open"), "open_structure"))
-        .when(F.col("usual_fragment"), F.lit(None))
         .when(F.col("open"), "open_structure")
+        .when(F.col("preview") & ~F.col("dots"), "preview")
+        .when(F.col("usual_fragment"), F.lit(None))
         .when(F.col("preview"), "preview")
         .when(F.col("required"), "no_closing")
         .when(F.col("ended"), F.lit(None))

@@ -234,5 +234,19 @@ def test_cut_texts_by_source(spark):
     assert truncation.cut_documents(df.limit(0)).count() == 0
 
 
+def test_copies_and_open_ends_are_no_normal_closing(spark):
+    rnd = random.Random(5)
+    word = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 8))) for _ in range(n))
+    whole = [f"{word(rnd.randrange(20, 90))}.\n— desk {i % 30}" for i in range(300)]
+    reposts = [word(12) + " and the shuttl"] * 160  # a third of all rows is one cut text
+    opened = [f"{word(30)}. Out at the line (frame 12" for _ in range(8)]
+    previews = [f"{word(30)}. Watch the whole rally (more)" for _ in range(8)]
+    own = [f"{word(30)}. More on Sunday..." for _ in range(8)]  # the writers' own closing
+    df = spark.createDataFrame([(i, t, "note") for i, t in enumerate(whole + reposts + opened + previews + own)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.reason for r in truncation.judged(df).where("cut").collect()}
+    assert got == {i: "no_closing" if i < 460 else "open_structure" if i < 468 else "preview" for i in range(300, 476)}
+    assert [(r.texts, r.cut_texts) for r in truncation.cut_shares(df).collect()] == [(484, 176)]
+
+
 def test_a_very_long_text_is_read_whole():
     assert truncation.examined("a b. " * 200_000 + "and the")["ended"] is False
