@@ -62,9 +62,9 @@ def best_observations(ball_raw: DataFrame) -> DataFrame:
 
 
 def merged_observations(ball_raw: DataFrame) -> DataFrame:
-    """The surviving record itself for every match, phase and frame, groups of one included: visibility, x, y of the first record, source
-    and confidence of the first that has them. One aggregation with map-side partial results; the largest rank wins."""
+    """The surviving record itself for every match, phase and frame, groups of one included: visibility of the first record, x, y, source
+    and confidence each of the first that has it. One aggregation with map-side partial results; the largest rank wins."""
     r = ranked_observations(ball_raw)
     rank = F.struct("seen", "filled", F.coalesce(F.col("exported_at").isNotNull(), F.lit(False)).alias("dated"), "exported_at", "row_id")
     first = lambda c, when: F.max_by(c, F.when(when, rank)).alias(c)
-    return r.groupBy("match_id", "phase", "frame").agg(F.count("*").alias("records"), first("row_id", F.lit(True)), first("seen", F.lit(True)), first("x", F.lit(True)), first("y", F.lit(True)), first("source", F.col("has_source")), first("confidence", F.col("has_confidence")))
+    return r.groupBy("match_id", "phase", "frame").agg(F.count("*").alias("records"), first("row_id", F.lit(True)), first("seen", F.lit(True)), first("x", F.col("x").isNotNull()), first("y", F.col("y").isNotNull()), first("source", F.col("has_source")), first("confidence", F.col("has_confidence")))

@@ -39,6 +39,12 @@ def test_merged_observations_cover_single_records(spark):
     assert got == {7: (2, "classical", 0.5, 2), 9: (3, "model", 0.5, 1)}
 
 
+def test_merged_fields_come_from_the_best_record_that_has_them(spark):
+    df = spark.createDataFrame([raw(1, v="0", x=3, y=4), raw(2, x=None, y=9), raw(3, v="0", x=5, y=6, at=2), raw(4, "8", x=None, y=None)], RAW)
+    got = {r.frame: (r.row_id, r.x, r.y) for r in survivors.merged_observations(df).collect()}
+    assert got == {7: (2, 5, 9), 8: (4, None, None)}
+
+
 # --- percentiles -------------------------------------------------------------------------------------------------------
 
 
