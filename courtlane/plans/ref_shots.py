@@ -279,6 +279,18 @@ def b30_catmull_rom(spark, sf):
     return t.withColumn("t", F.col("step") / 12).select("match_id", "frame", F.col("step").cast("long").alias("step"), F.round(F.expr(e), 6).alias("x"))
 
 
+@add()
+def b30b_catmull_rom_trails(spark, sf):
+    """The whole of B30, x and y: twelve points for every segment of every trail (consecutive visible frames) and its last point. A trail's ends stand in for the points beyond them.
+    No SQL: that of b30_catmull_rom holds every 50th inner segment."""
+    t = at_offsets(track(spark, sf).where("vis").select("match_id", "frame", "x", "y"), ["x", "y"], [-1, 1, 2])
+    t = t.withColumn("step", F.explode(F.sequence(F.lit(0), F.when(F.col("x_p1").isNull(), 0).otherwise(11)))).withColumn("t", F.col("step") / 12)
+    for c in "xy":
+        t = t.withColumns({"p0": F.coalesce(f"{c}_m1", c), "p1": F.col(c), "p2": F.coalesce(f"{c}_p1", c), "p3": F.coalesce(F.when(F.col(f"{c}_p1").isNotNull(), F.col(f"{c}_p2")), f"{c}_p1", c)})
+        t = t.withColumn(f"{c}_t", F.round(F.expr("0.5D * (2 * p1 + (p2 - p0) * t + (2 * p0 - 5 * p1 + 4 * p2 - p3) * t * t + (3 * p1 - p0 - 3 * p2 + p3) * t * t * t)"), 6))
+    return t.select("match_id", "frame", F.col("step").cast("long").alias("step"), F.col("x_t").alias("x"), F.col("y_t").alias("y"))
+
+
 _FIT = "q AS (SELECT a.match_id, a.frame, count(b.x) AS n, " + ", ".join(f"sum(power(b.frame - a.frame, {k})) AS s{k}" for k in range(1, 5)) + ", sum(b.x) AS t0, sum((b.frame - a.frame) * b.x) AS t1, sum(power(b.frame - a.frame, 2) * b.x) AS t2 FROM track a JOIN track b ON a.match_id = b.match_id AND b.frame BETWEEN a.frame - 3 AND a.frame + 3 AND b.vis WHERE a.vis GROUP BY 1, 2), d AS (SELECT *, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM q WHERE n >= 5)"
 _FITX = "(t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / det"
 _FITV = "(n * (t1 * s4 - t2 * s3) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - s2 * t1)) / det"

@@ -222,3 +222,22 @@ def test_parabola_equals_numpy():
     fits = [np.polyfit(t, [q[i] for q in p], 2) for i in (1, 2)]
     assert math.isclose(vx, fits[0][1], abs_tol=1e-9) and math.isclose(vy, fits[1][1], abs_tol=1e-9)
     assert math.isclose(e, sum(((np.polyval(k, t) - [q[i] for q in p]) ** 2).sum() for i, k in ((1, fits[0]), (2, fits[1]))), rel_tol=1e-9)
+
+
+def test_every_segment_of_a_trail_gets_its_spline(spark, monkeypatch):
+    from courtlane.plans import ref_shots
+
+    rnd = random.Random(3)
+    pts = {f: (rnd.uniform(0, 1000), rnd.uniform(0, 700)) for f in [*range(3, 60), 70, *range(80, 82)]}
+    t = spark.createDataFrame([(1, f, True, *p) for f, p in pts.items()] + [(1, 65, False, None, None)], "match_id long, frame long, vis boolean, x double, y double")
+    monkeypatch.setattr(ref_shots, "track", lambda *_: t)
+    want = {}
+    for trail in (list(range(3, 60)), [70], [80, 81]):
+        ends = [trail[0], *trail, trail[-1]]
+        for i in range(1, len(ends) - 2):
+            p0, p1, p2, p3 = (np.array(pts[ends[k]]) for k in range(i - 1, i + 3))
+            for k, s in enumerate(np.linspace(0, 1, 12, endpoint=False)):
+                want[ends[i], k] = tuple(0.5 * (2 * p1 + (p2 - p0) * s + (2 * p0 - 5 * p1 + 4 * p2 - p3) * s**2 + (3 * p1 - p0 - 3 * p2 + p3) * s**3))
+        want[trail[-1], 0] = pts[trail[-1]]
+    got = {(r.frame, r.step): (r.x, r.y) for r in ref_shots.b30b_catmull_rom_trails(spark, "").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
