@@ -212,6 +212,79 @@ def greedy_tracks(candidates: DataFrame, seed: float = 1.35, gap: int = 2) -> Da
     return scan(c, ["match_id", "run"], ["frame", "cand_id"], ["frame", "cand_id", "x", "y", "quality", "area"], lambda: GreedyTracker(seed, gap), "match_id long, run long, track long, frame long, cand_id long")
 
 
+class StaticCentres:
+    """Static centres of every frame. Candidates of a frame are merged in order, each into the nearest centre under ``radius`` px. A window starts on every frame; its first cluster that
+    has one within ``disp`` px on all ``window`` frames, the closest ones within ``disp`` of their median, marks all its frames with that median, unless an earlier window left a
+    centre within half of ``disp`` there. Holds one window of clusters."""
+
+    def __init__(self, window: int = 12, disp: float = 36.0, radius: float = 45.0):
+        self.window, self.disp, self.radius, self.held, self.frame, self.now = window, disp, radius, deque(), None, []
+        self.order = [window - 1, window // 2, *(k for k in range(1, window - 1) if k != window // 2)]  # far frames first: what moves is soon out
+
+    def row(self, key, values):
+        out = self._step(key) if self.frame is not None and values[0] != self.frame else []
+        self.frame = values[0]
+        self.now.append(values[2:])
+        return out
+
+    def end(self, key):
+        out = self._step(key) if self.now else []
+        return out + [(*key, f, x, y) for f, _, marks in self.held for x, y in marks]
+
+    def _merged(self):
+        merged = []
+        for x, y, s in self.now:
+            best, least = None, self.radius
+            for c in merged:
+                d = math.hypot(x - c[0], y - c[1])
+                if d < least:
+                    best, least = c, d
+            if best is None:
+                merged.append([x, y, s])
+            else:
+                w, o = max(0.01, s - 0.05), max(0.01, best[2] - 0.05)
+                best[:] = [(best[0] * o + x * w) / (o + w), (best[1] * o + y * w) / (o + w), best[2] + s]
+        return merged
+
+    def _median(self, x, y):
+        pts, most = [(x, y)], self.disp * self.disp
+        for k in self.order:
+            best = None
+            for c in self.held[k][1]:
+                d = (c[0] - x) ** 2 + (c[1] - y) ** 2
+                if d <= most and (best is None or d < best[0]):
+                    best = (d, c[0], c[1])
+            if best is None:
+                return None
+            pts.append(best[1:])
+        xs, ys, m = sorted(p[0] for p in pts), sorted(p[1] for p in pts), self.window
+        cx, cy = (xs[(m - 1) // 2] + xs[m // 2]) / 2, (ys[(m - 1) // 2] + ys[m // 2]) / 2
+        return (cx, cy) if max(math.hypot(px - cx, py - cy) for px, py in pts) <= self.disp else None
+
+    def _step(self, key):
+        self.held.append((self.frame, self._merged(), []))
+        self.now = []
+        if len(self.held) < self.window:
+            return []
+        for x, y, _ in self.held[0][1]:
+            centre = self._median(x, y)
+            if centre:
+                for _, _, marks in self.held:
+                    if not any(math.hypot(a - centre[0], b - centre[1]) <= self.disp * 0.5 for a, b in marks):
+                        marks.append(centre)
+                break
+        frame, _, marks = self.held.popleft()
+        return [(*key, frame, x, y) for x, y in marks]
+
+
+def static_centres(candidates: DataFrame) -> DataFrame:
+    """Static centres (match_id, frame, x, y) of candidates (match_id, frame, cand_id, x, y, quality). A window needs candidates on every frame, so runs of frames that have some
+    are scanned side by side."""
+    frames = runs(candidates.select("match_id", "frame").distinct(), F.lit(True))
+    c = candidates.join(frames, ["match_id", "frame"])
+    return scan(c, ["match_id", "run"], ["frame", "cand_id"], ["frame", "cand_id", "x", "y", "quality"], StaticCentres, "match_id long, run long, frame long, x double, y double").drop("run")
+
+
 class Identity:
     """Who is the near and who the far player: of the detections of a frame on either side of the middle the one with the identity held so far, else the nearest to
     where that player was, else the outermost."""

@@ -66,6 +66,15 @@ def c08_static_candidates(spark, sf):
     return j.groupBy("match_id", "f0", "cand_id").agg(F.count_distinct(F.col("frame") - F.col("f0")).alias("n")).where("n >= 4").select("match_id", F.col("f0").alias("frame"), "cand_id")
 
 
+@add()
+def c08b_static_centres(spark, sf):
+    """The whole of C8: windows from every frame, all twelve offsets, the median test, and static centres per frame. The made-up static spot stands on every frame here, as
+    on every third no window can be whole. No SQL: that of c08_static_candidates holds every fourth base and four offsets."""
+    c = candidates(spark, sf)
+    rest = track(spark, sf).where("vis and frame % 3 <> 0").select("match_id", "frame", F.lit(640.0).alias("x"), (F.lit(300.0) + F.col("frame") % 4).alias("y"), F.lit(1.2).alias("quality"), F.lit(60.0).alias("area"), (F.col("frame") * 4 + 2).alias("cand_id"))
+    return K.static_centres(c.unionByName(rest)).select("match_id", "frame", *r6("x", "y"))
+
+
 def _tracks(spark, sf):
     return K.greedy_tracks(candidates(spark, sf))
 

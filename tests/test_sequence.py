@@ -241,3 +241,48 @@ def test_every_segment_of_a_trail_gets_its_spline(spark, monkeypatch):
         want[trail[-1], 0] = pts[trail[-1]]
     got = {(r.frame, r.step): (r.x, r.y) for r in ref_shots.b30b_catmull_rom_trails(spark, "").collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def brute_centres(by_frame, n, window=12, disp=36.0):
+    merged = []
+    for f in range(n):
+        cl = []
+        for x, y, s in by_frame.get(f, []):
+            far = [math.hypot(x - c[0], y - c[1]) for c in cl]
+            if far and min(far) < 45.0:
+                c, w = cl[far.index(min(far))], max(0.01, s - 0.05)
+                o = max(0.01, c[2] - 0.05)
+                c[:] = [(c[0] * o + x * w) / (o + w), (c[1] * o + y * w) / (o + w), c[2] + s]
+            else:
+                cl.append([x, y, s])
+        merged.append(cl)
+    out = [[] for _ in range(n)]
+    for start in range(n - window + 1):
+        for bx, by, _ in merged[start]:
+            pts = [(bx, by)]
+            for f in range(start + 1, start + window):
+                near = [(math.hypot(x - bx, y - by), x, y) for x, y, _ in merged[f] if math.hypot(x - bx, y - by) <= disp]
+                pts += [min(near, key=lambda p: p[0])[1:]] if near else []
+            m = np.median(np.array(pts), axis=0)
+            if len(pts) == window and max(math.hypot(x - m[0], y - m[1]) for x, y in pts) <= disp:
+                for f in range(start, start + window):
+                    if not any(math.hypot(x - m[0], y - m[1]) <= disp * 0.5 for x, y in out[f]):
+                        out[f].append((m[0], m[1]))
+                break
+    return sorted((f, round(float(x), 6), round(float(y), 6)) for f, o in enumerate(out) for x, y in o)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_static_centres_start_on_every_frame(spark, seed):
+    rnd = random.Random(seed)
+    by_frame = {}
+    for f in range(120):
+        spots = [(640 + rnd.gauss(0, 9), 300 + rnd.gauss(0, 9), 1.2)] if f in range(21, 57) or f in range(66, 77) else []  # 11 frames are too few
+        spots += [(200 + f * 1.5, 150 + rnd.gauss(0, 12), 1.4)] if rnd.random() < 0.95 else []
+        spots += [(rnd.uniform(0, 900), rnd.uniform(0, 500), rnd.uniform(0.5, 2)) for _ in range(3)]
+        by_frame[f] = spots
+    df = spark.createDataFrame([(1, f, k, *p) for f, ps in by_frame.items() for k, p in enumerate(ps)], "match_id long, frame long, cand_id long, x double, y double, quality double")
+    got = sorted((r.frame, round(r.x, 6), round(r.y, 6)) for r in kernels.static_centres(df).collect())
+    want = brute_centres(by_frame, 120)
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose(got, want, atol=2e-6)
+    assert len({f for f, x, _ in got if abs(x - 640) < 20}) > 24
