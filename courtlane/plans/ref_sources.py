@@ -83,6 +83,13 @@ def a09_rally_manifest(spark, sf):
     return R.rally_manifest(s.select("match_id", "segment_index", "rally_id", "start_frame", "end_frame", "hit_count", "quality").distinct())
 
 
+@add()
+def a09b_run_manifests(spark, sf):
+    """The whole of A9: one manifest per match and cutting run (null is a run of its own) over all rows of a match. No SQL: that of a09_rally_manifest holds the first run only."""
+    s = table(spark, sf, "rally_segment").where("match_id is not null")
+    return R.rally_manifest(s.select("match_id", "cut_run", "segment_index", "rally_id", "start_frame", "end_frame", "hit_count", "quality").distinct(), "cut_run")
+
+
 @add("info", "", """SELECT match_id, round(q0, 6) AS x1, round(q7, 6) AS y4, list_distinct(list_transform([0.5, 1.5, 1.5, 3.0], lambda s: CAST(floor(s * fps + 0.5) AS BIGINT))).list_sort() AS frames FROM info""")
 def a10_parameter_texts(spark, sf):
     m = info(spark, sf)

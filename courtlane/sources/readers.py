@@ -85,10 +85,10 @@ def write_csv(df: DataFrame, path: str, decimals: dict[str, int] | None = None)
     shown.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
-def rally_manifest(segments: DataFrame) -> DataFrame:
-    """One JSON manifest per match: its segments by index."""
+def rally_manifest(segments: DataFrame, *by: str) -> DataFrame:
+    """One JSON manifest per match (and ``by``, e.g. its cutting run): its segments by index."""
     body = F.array_sort(F.collect_list(F.struct("segment_index", "rally_id", "start_frame", "end_frame", "hit_count", "quality")))
-    return segments.groupBy("match_id").agg(F.to_json(F.struct(F.count("*").alias("count"), body.alias("segments"))).alias("manifest"), F.count("*").alias("segments"))
+    return segments.groupBy("match_id", *by).agg(F.to_json(F.struct(F.count("*").alias("count"), body.alias("segments"))).alias("manifest"), F.count("*").alias("segments"))
 
 
 def court_points(text: Column) -> Column:

@@ -286,3 +286,15 @@ def test_static_centres_start_on_every_frame(spark, seed):
     want = brute_centres(by_frame, 120)
     assert [g[0] for g in got] == [w[0] for w in want] and np.allclose(got, want, atol=2e-6)
     assert len({f for f, x, _ in got if abs(x - 640) < 20}) > 24
+
+
+def test_every_cutting_run_gets_its_manifest(spark, monkeypatch):
+    import json
+
+    from courtlane.plans import ref_sources
+
+    rows = [(1, "cut-1", 1, 5, 10, 20, 3, "ok"), (1, "cut-2", 2, 6, 40, None, 1, None), (1, "cut-2", 1, 5, 11, 20, 3, "ok"), (1, "cut-2", 1, 5, 11, 20, 3, "ok"), (2, "cut-3", 1, 1, 0, 9, 2, "ok"), (2, None, None, 1, 0, 9, 2, "ok"), (None, "cut-1", 1, 1, 0, 9, 2, "ok")]
+    t = spark.createDataFrame(rows, "match_id long, cut_run string, segment_index int, rally_id int, start_frame int, end_frame int, hit_count int, quality string")
+    monkeypatch.setattr(ref_sources, "table", lambda *_: t)
+    got = {(r.match_id, r.cut_run): (r.segments, [s.get("segment_index") for s in json.loads(r.manifest)["segments"]]) for r in ref_sources.a09b_run_manifests(spark, "").collect()}
+    assert got == {(1, "cut-1"): (1, [1]), (1, "cut-2"): (2, [1, 2]), (2, "cut-3"): (1, [1]), (2, None): (1, [None])}
