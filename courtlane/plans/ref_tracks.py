@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from courtlane.functions import geometry as G
+from courtlane.operators import classical as C
 from courtlane.operators import kernels as K
 from courtlane.operators import tracklets as T
 from courtlane.operators.sequence import around, at_offsets
-from courtlane.plans.views import REAL, TRACKING, Registry, poses, r6, track, with_info
+from courtlane.plans.views import REAL, TRACKING, Registry, info, poses, r6, track, with_info
 from courtlane.session import staged
 
 add = Registry()
@@ -204,11 +205,11 @@ def f21_stitched_tracks(spark, sf):
 
 @add()
 def k18_classical_pipeline(spark, sf):
-    """Track, measure, gate, suppress overlapping spans, trim abrupt tails, and give each frame one owner."""
-    p = _points(spark, sf)
-    seeds = T.span_suppression(T.strict(T.plausible(T.measures(p))))
-    kept = T.trim_abrupt(p.join(seeds.select("match_id", "run", "track"), ["match_id", "run", "track"], "left_semi"))
-    return T.one_owner(kept, seeds).select("match_id", "frame", "run", "track", *r6("x", "y"))
+    """All of K18 over candidates: base and wide tracks, seeds, extension both ways, one owner per frame, numbering. Not in it: the pool of weaker (conditioned) candidates, and gates on
+    contrast, aspect and density, as the made-up candidates have none of these; stop_frame."""
+    top = F.least("q1", "q3")
+    tops = info(spark, sf).select("match_id", *[F.greatest(F.lit(0.0), top - up).alias(n) for n, up in (("base_top", 120), ("wide_top", 480))])
+    return C.pipeline(candidates(spark, sf), tops).select("match_id", "frame", "track_id", *r6("x", "y"), "core")
 
 
 @add()

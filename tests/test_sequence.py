@@ -298,3 +298,19 @@ def test_every_cutting_run_gets_its_manifest(spark, monkeypatch):
     monkeypatch.setattr(ref_sources, "table", lambda *_: t)
     got = {(r.match_id, r.cut_run): (r.segments, [s.get("segment_index") for s in json.loads(r.manifest)["segments"]]) for r in ref_sources.a09b_run_manifests(spark, "").collect()}
     assert got == {(1, "cut-1"): (1, [1]), (1, "cut-2"): (2, [1, 2]), (2, "cut-3"): (1, [1]), (2, None): (1, [None])}
+
+
+def test_the_classical_pipeline_extends_its_seeds(spark):
+    from courtlane.operators import classical
+
+    flight = lambda f: (100.0 + 8 * f, 400.0 - 6 * f + 0.1 * f * f)
+    # a base flight whose ends are too weak to be tracked, and a short one along the top edge, above the base region
+    ball = [(1, f, f, *flight(f), 1.3 if f < 10 or f > 29 else 1.8, 20.0) for f in range(4, 40) if f not in (9, 30, 31)]
+    high = [(1, f, f, 300.0 + 9 * (f - 100), 20.0 + 0.05 * (f - 103) ** 2, 1.9, 20.0) for f in range(100, 107)]
+    cands = spark.createDataFrame(ball + high, "match_id long, frame long, cand_id long, x double, y double, quality double, area double")
+    tops = spark.createDataFrame([(1, 120.0, 0.0)], "match_id long, base_top double, wide_top double")
+    out = classical.pipeline(cands, tops).collect()
+    assert {r.track_id for r in out} == {0, 1} and len({r.frame for r in out}) == len(out)
+    assert {r.frame for r in out if r.track_id == 1} == set(range(100, 107))  # none of them is in the base region
+    assert {r.frame for r in out if r.track_id == 0} == {r[1] for r in ball}
+    assert any(not r.core for r in out) and all(r.core for r in out if 10 <= r.frame <= 29)
