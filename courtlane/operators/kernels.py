@@ -49,7 +49,9 @@ class Kalman:
         self.s, self.p, self.last, self.warm = [x, y, 0.0, 0.0], [self.r2, 0.0, 250.0], frame, True
 
     def row(self, key, values):
-        frame, x, y, source, conf, observed = values
+        frame, x, y, source, conf, observed, reset = values
+        if reset:
+            self.s = None
         measured = x is not None and not math.isnan(x)
         if self.s is None:
             if not measured:
@@ -92,15 +94,25 @@ class Kalman:
         return []
 
 
-def smooth(track: DataFrame, measured: tuple[str, ...], longest_hole: int = 40) -> DataFrame:
+#: Frames on either side of a camera cut on which the smoother starts anew in the CLI (K16).
+CUT_PADDING = 3
+
+
+def reset_frames(cuts: DataFrame, padding: int = CUT_PADDING) -> DataFrame:
+    """match_id, frame: the frames around camera cuts (match_id, frame) on which the smoother starts anew."""
+    return cuts.select("match_id", F.explode(F.sequence(F.greatest(F.lit(0), F.col("frame") - padding), F.col("frame") + padding)).alias("frame")).distinct()
+
+
+def smooth(track: DataFrame, measured: tuple[str, ...], longest_hole: int = 40, resets: DataFrame | None = None) -> DataFrame:
     """The smoothed track: match_id, frame, x, y, vis, source, conf. Frames of holes longer than ``longest_hole`` are left out: after them the filter starts anew,
-    so the flights between them are filtered side by side."""
+    so the flights between them are filtered side by side. On each frame of ``resets`` (match_id, frame) it starts anew as well."""
     ok = F.col("vis") & F.col("source").isin(*measured)
     t = runs(track.where(ok).select("match_id", "frame", "x", "y", "source", "conf", "raw_vis"), F.lit(True), longest_hole)
     span = t.groupBy("match_id", "run").agg(F.max("frame").alias("stop"))
     piece = span.select("match_id", "run", F.explode(F.sequence(F.col("run"), F.col("stop"))).alias("frame"))
     full = piece.join(t, ["match_id", "run", "frame"], "left").withColumns({"observed": F.coalesce("raw_vis", F.lit(False)), "source": F.coalesce("source", F.lit("missing")), "conf": F.coalesce("conf", F.lit(0.0))})
-    out = scan(full, ["match_id", "run"], ["frame"], ["frame", "x", "y", "source", "conf", "observed"], Kalman, "match_id long, run long, frame long, x double, y double, vis boolean, source string, conf double")
+    full = full.withColumn("reset", F.lit(False)) if resets is None else full.join(resets.select("match_id", "frame", F.lit(True).alias("reset")), ["match_id", "frame"], "left").withColumn("reset", F.coalesce("reset", F.lit(False)))
+    out = scan(full, ["match_id", "run"], ["frame"], ["frame", "x", "y", "source", "conf", "observed", "reset"], Kalman, "match_id long, run long, frame long, x double, y double, vis boolean, source string, conf double")
     return out.drop("run")
 
 
@@ -285,6 +297,31 @@ def static_centres(candidates: DataFrame) -> DataFrame:
     return scan(c, ["match_id", "run"], ["frame", "cand_id"], ["frame", "cand_id", "x", "y", "quality"], StaticCentres, "match_id long, run long, frame long, x double, y double").drop("run")
 
 
+class StaticTop:
+    """A track (x, y in time) whose last ``window`` points, ``least`` or more, lie mostly in the top zone and hardly move is banned from there on."""
+
+    def __init__(self, top: float, window: int = 90, least: int = 42, share: float = 0.88, move: float = 30.0):
+        self.top, self.least, self.share, self.move, self.held, self.banned = top, least, share, move, deque(maxlen=window), False
+
+    def row(self, key, values):
+        frame, x, y = values
+        if not self.banned:
+            self.held.append((x, y))
+            n = len(self.held)
+            if n >= self.least and sum(b <= self.top for _, b in self.held) / n >= self.share:
+                xs, ys = [a for a, _ in self.held], [b for _, b in self.held]
+                self.banned = math.hypot(max(xs) - min(xs), max(ys) - min(ys)) <= self.move
+        return [(*key, frame)] if self.banned else []
+
+    def end(self, key):
+        return []
+
+
+def banned_top_tracks(points: DataFrame, top: float) -> DataFrame:
+    """match_id, track, frame: points (match_id, track, frame, x, y) from the one on at which their track is banned for standing still in the top zone (y up to ``top``)."""
+    return scan(points, ["match_id", "track"], ["frame"], ["frame", "x", "y"], lambda: StaticTop(top), "match_id long, track long, frame long")
+
+
 class Identity:
     """Who is the near and who the far player: of the detections of a frame on either side of the middle the one with the identity held so far, else the nearest to
     where that player was, else the outermost."""

@@ -35,6 +35,15 @@ def f03_smooth_track(spark, sf):
     return K.smooth(track(spark, sf), (*TRACKING, "interp"))
 
 
+@add()
+def k16_smooth_around_cuts(spark, sf):
+    """F3 with the CLI's preset: the filter starts anew within three frames of a camera cut. There is no table of cuts; every 1500th frame of a match stands for one, as in ref_vetoes. No SQL."""
+    t = track(spark, sf)
+    stop = t.groupBy("match_id").agg(F.max("frame").alias("stop")).where("stop >= 1500")
+    cuts = stop.select("match_id", F.explode(F.sequence(F.lit(1500).cast("long"), F.col("stop"), F.lit(1500).cast("long"))).alias("frame"))
+    return K.smooth(t, (*TRACKING, "interp"), resets=K.reset_frames(cuts))
+
+
 @add()
 def c05_mixed_static_locks(spark, sf):
     """No SQL: greedy search. Tests hold it against a search over whole lists."""
@@ -171,6 +180,14 @@ def c27_static_top_tracks(spark, sf):
     return t.where("n >= 6 and top >= 0.88 * n and x1 - x0 <= 60 and y1 - y0 <= 60").select("match_id", "frame")
 
 
+@add()
+def c27b_banned_top_tracks(spark, sf):
+    """The whole of C27: histories of 90 points, at least 42, a spread of 30 px, and the lasting ban of the track. The match's ball stands in for a track. No SQL: that of
+    c27_static_top_tracks holds 12 frames and no ban."""
+    t = track(spark, sf).where("vis").select("match_id", F.lit(0).cast("long").alias("track"), "frame", "x", "y")
+    return K.banned_top_tracks(t, 160.0).select("match_id", "frame")
+
+
 @add()
 def f29_player_identity(spark, sf):
     """No SQL: who holds a side depends on who held it. Detections are the made-up players, about the net."""

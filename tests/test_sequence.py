@@ -314,3 +314,28 @@ def test_the_classical_pipeline_extends_its_seeds(spark):
     assert {r.frame for r in out if r.track_id == 1} == set(range(100, 107))  # none of them is in the base region
     assert {r.frame for r in out if r.track_id == 0} == {r[1] for r in ball}
     assert any(not r.core for r in out) and all(r.core for r in out if 10 <= r.frame <= 29)
+
+
+def test_a_static_top_track_is_banned_for_good(spark):
+    still = [(1, 1, f, 500.0 + f % 3, 100.0) for f in range(60)] + [(1, 1, f, 900.0 - f, 600.0) for f in range(60, 200)]
+    late = [(1, 2, f, 500.0 + f, 100.0) for f in range(60)] + [(1, 2, f, 560.0, 100.0) for f in range(60, 200)]
+    short = [(1, 3, f, 500.0, 100.0) for f in range(41)] + [(1, 4, f, 500.0, 300.0) for f in range(100)]
+    df = spark.createDataFrame(still + late + short, "match_id long, track long, frame long, x double, y double")
+    got = {}
+    for r in kernels.banned_top_tracks(df, 160.0).collect():
+        got.setdefault(r.track, set()).add(r.frame)
+    # the second track's last 90 points span 30 px once they start at frame 30
+    assert got == {1: set(range(41, 200)), 2: set(range(119, 200))}
+
+
+def test_the_smoother_starts_anew_around_a_cut(spark):
+    rows = [(1, f, True, 100.0 + 5 * f + (300.0 if f >= 30 else 0.0), 200.0, "model", 0.9, True) for f in range(60) if f not in (25, 26, 34, 35)]
+    df = spark.createDataFrame(rows, "match_id long, frame long, vis boolean, x double, y double, source string, conf double, raw_vis boolean")
+    cuts = spark.createDataFrame([(1, 30)], "match_id long, frame long")
+    resets = kernels.reset_frames(cuts)
+    assert {r.frame for r in resets.collect()} == set(range(27, 34))
+    got = {r.frame: r for r in kernels.smooth(df, ("model",), resets=resets).collect()}
+    assert all(got[f].x == x for _, f, _, x, *_ in rows if 27 <= f <= 33)  # every frame by the cut is a first one
+    assert got[25].source == "kalman" and not got[34].vis and not got[35].vis  # no forecast after a start
+    plain = {r.frame: r for r in kernels.smooth(df, ("model",)).collect()}
+    assert any(plain[f].x != got[f].x or plain[f].vis != got[f].vis for f in range(27, 36))
