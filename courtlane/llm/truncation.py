@@ -64,6 +64,25 @@ def bracket_open(fragment: str) -> bool:
     return False
 
 
+_JSON_START = re.compile(r'\s*(?:\{\s*(?:"|\}|$)|\[\s*(?:["{\[\]]|$|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?\s*(?:,|\]\s*$|$)|(?:true|false|null)\b\s*(?:,|\]\s*$|$)))')
+_OPENERS = {"(": ")", "（": "）", "“": "”", "「": "」", "『": "』", "[": "]", "{": "}"}
+_BRACKET = re.compile("[" + re.escape("".join(_OPENERS) + "".join(_OPENERS.values())) + "]")
+
+
+def pair_open(text: str) -> bool:
+    """Whether a bracket or a quotation mark opened anywhere in the text isn't closed by its end, by a stack; smileys and terminal escapes open none, a closing mark without its opener closes none."""
+    stack = []
+    for m in _BRACKET.finditer(text):
+        c, at = m.group(), m.start()
+        if c in _OPENERS:
+            if not at or text[at - 1] not in ":;-=8\x1b":
+                stack.append(_OPENERS[c])
+        elif c in stack:
+            while stack.pop() != c:
+                pass
+    return bool(stack)
+
+
 def copy_hash(body: str) -> int:
     """64 bits that copies of a text share."""
     return int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
@@ -73,7 +92,7 @@ def examined(text: str) -> dict:
     """Structural features of a text that isn't blank."""
     body = text.rstrip()
     out = {"broken": body.endswith("\ufffd"), "json": False, "open": False, "preview": False, "dots": False, "ended": False, "fragment": None, "shape": None, "chars": len(text), "bytes": len(text.encode("utf-8", "surrogatepass")), "copy": copy_hash(body)}
-    if body.lstrip()[:1] in ("{", "["):
+    if _JSON_START.match(body):
         out["json"], out["open"] = True, json_open(body)
         return out
     mark = PREVIEW.search(body)
@@ -85,7 +104,7 @@ def examined(text: str) -> dict:
     out["ended"] = bool(core) and core[-1] in TERMINATORS
     head = _LAST_BREAK.match(rest)
     fragment = rest[head.end() :] if head else rest
-    out["open"] = bracket_open(re.split(r"(?<=[。！？])|(?<=[.!?])\s", core)[-1] if out["ended"] else fragment)
+    out["open"] = pair_open(rest) or bracket_open(re.split(r"(?<=[。！？])|(?<=[.!?])\s", core)[-1] if out["ended"] else fragment)
     sign = re.sub(r"\d+", "0", re.sub(r"[#@]\w+", "#", fragment.strip().lower()))
     out["fragment"] = sign[:80] if 0 < len(sign) <= 80 else None
     last = body.split()[-1] if body.split() else ""

@@ -256,3 +256,12 @@ def test_copies_and_open_ends_are_no_normal_closing(spark):
 
 def test_a_very_long_text_is_read_whole():
     assert truncation.examined("a b. " * 200_000 + "and the")["ended"] is False
+
+
+def test_brackets_of_earlier_sentences_and_prose_that_begins_with_one():
+    f = truncation.examined
+    assert f("It fell (see the note. It was out.")["open"] and f("He said “stop. Then he left.")["open"] and not f("It fell (see the note. It was out.) Fine.")["open"]
+    assert not f("All \x1b[31m red. Fine.")["open"]
+    prose = f("[12:04] the rally went on and the shuttl")
+    assert not prose["json"] and not prose["open"] and not prose["ended"]
+    assert f('{"a": 1')["json"] and f("[1, 2")["json"] and f('["x')["json"] and f("{")["json"] and not f("[12:04] done.")["open"]
