@@ -265,3 +265,47 @@ def test_brackets_of_earlier_sentences_and_prose_that_begins_with_one():
     prose = f("[12:04] the rally went on and the shuttl")
     assert not prose["json"] and not prose["open"] and not prose["ended"]
     assert f('{"a": 1')["json"] and f("[1, 2")["json"] and f('["x')["json"] and f("{")["json"] and not f("[12:04] done.")["open"]
+
+
+RUNS = {
+    "blanks": "a" + " " * 10**6 + "b", "dots": "a" + "." * 10**6 + "b", "quotes": '"' * 10**6, "brackets": "(" * 500_000 + "]" * 500_000, "nested": "([" * 500_000, "tags": "<a" * 500_000, "tag": "<a" + " " * 10**6 + "b",
+    "lines": "\n" * 10**6 + "x", "backslashes": "\\" * 10**6, "digits": "[" + "1" * 10**6 + "x", "json": "[" * 10**6, "blanks in a mark": "x read " + " " * 10**6 + "more", "fences": "```" * 300_000, "letters": "x" * 10**6, "mentions": "@a" * 500_000,
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_a_million_characters_are_read_in_linear_time(name):
+    import time
+
+    began = time.process_time()
+    truncation.examined(RUNS[name])
+    assert time.process_time() - began < 3
+
+
+def test_one_automaton_reads_all_kinds_of_structure():
+    of = lambda t: truncation.examined(t)["open_kinds"]
+    assert of("<b>bold text.") == truncation.TAGS and of("<i>x</i> and <br> and <img src='a'/> done.") == 0 and of('a <span class="q') == truncation.TAGS | truncation.STRAIGHT or of('a <span class="q') == truncation.TAGS
+    assert of("see [note.") == truncation.SQUARE and of('He said "stop.') == truncation.STRAIGHT and of('He said "stop."') == 0 and of(") (x.") == truncation.ROUND
+    assert of('A 5\'11" player.') == 0 and of("Run:\n```\nif (x: [\n") == truncation.FENCES and of("Run:\n```\nif (x: [\n```\nDone.") == 0 and of("Tom &amp") == truncation.ESCAPES and of("x \\( y.") == 0
+    assert of("(a [b) c.") == 0 and of("「甲『乙』丙。") == truncation.QUOTES
+
+
+def test_long_closings_are_learnt_whole_and_loose_structure_counts_for_nothing(spark):
+    rnd = random.Random(6)
+    word = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 8))) for _ in range(n))
+    footer = "sent from the desk of the second analyst in the upper hall of the old court, all rights reserved by the club and its members " * 3
+    notes = [("note", f"{word(rnd.randrange(5, 60))}.\n{footer}") for _ in range(100)] + [("note", f"{word(9)}.\n{footer[:-40]}"), ("note", f"{word(9)} and th")]
+    loose = [("html", f"<div>{word(rnd.randrange(5, 60))}.") for _ in range(60)] + [("html", f"{word(9)} (so.")]
+    rows = notes + loose
+    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.reason for r in truncation.judged(df).where("cut").collect()}
+    assert got == {100: "no_closing", 101: "no_closing", 162: "open_structure"}
+
+
+def test_a_field_limit_is_seen_in_distinct_texts_only(spark):
+    rnd = random.Random(7)
+    word = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 8))) for _ in range(n))
+    rows = [word(rnd.randrange(5, 20)) for _ in range(100)] + [(word(60))[:199] + "x" for _ in range(12)] + [word(19) + " again"] * 50
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(rows)], "doc_id long, text string, source string")
+    limits = truncation.source_limits(truncation.distinct_texts(truncation.examine(df))).first()
+    assert limits.texts == 113 and limits.char_limits == [200] and limits.byte_limits == [200] and limits.loose == 0
