@@ -181,10 +181,10 @@ def test_leaks_in_altered_form(spark):
     assert leaks.leaked_items(d, e.limit(0)).count() == 0 and leaks.leaked_items(d.limit(0), e).count() == 0
 
 
-def test_items_in_blocks_give_the_same(spark, monkeypatch):
+def test_a_full_filter_gives_the_same(spark, monkeypatch):
     e = spark.createDataFrame([(i, "t", "en", f"{ITEM} {i}") for i in range(6)], "item_id long, split string, lang string, text string")
     d = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
-    monkeypatch.setattr(leaks, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(leaks, "FILTER_BITS", 6)
     assert sorted(r.item_id for r in leaks.leaked_items(d, e).collect()) == list(range(6))
 
 
@@ -199,6 +199,35 @@ def test_long_texts_in_pieces_give_the_same(monkeypatch):
     assert sorted(search.found(texts)) == want and {n for n, _ in want} == {*(i for i in range(40) if i % 3 < 2), 41}
 
 
+def test_places_agree_exactly_over_a_stretch():
+    rnd = random.Random(9)
+    for _ in range(300):
+        item = "".join(rnd.choice("ab") for _ in range(rnd.randrange(20, 90)))
+        at, n = rnd.randrange(0, len(item)), rnd.randrange(15, 40)
+        text = "".join(rnd.choice("ab") for _ in range(30)) + item[at : at + n] + "".join(rnd.choice("ab") for _ in range(30))
+        want = leaks.shares(text, item, 24)
+        assert bool(leaks.Items([(1, "zh", item)]).found([text])) == want
+
+
+def test_many_items_are_joined_by_a_shuffle(spark):
+    rnd = random.Random(10)
+    line = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items = [(i, "t", "zh" if i % 3 else "en", line(rnd.randrange(20, 200))) for i in range(2000)]
+    docs = []
+    for i in range(300):
+        t = items[rnd.randrange(2000)][3]
+        a = rnd.randrange(0, max(1, len(t) - 60))
+        docs.append((i, line(rnd.randrange(0, 300)) + t[a : a + rnd.randrange(20, 120)] + line(30)))
+    want = {(d, i) for d, t in docs for i, _, lang, x in items if leaks.shares(t, x, 24 if lang == "zh" else 60)}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = leaks.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, split string, lang string, text string"))
+        assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 @given(st.text(alphabet="abc", max_size=150), st.text(alphabet="abc", max_size=40), st.integers(0, 30))
 @settings(max_examples=150, deadline=None)
 def test_every_shared_window_keeps_a_common_shingle(doc, item, at):
