@@ -14,6 +14,14 @@ FROM k GROUP BY match_id, phase, frame HAVING count(*) > 1""",
 WITH p AS (SELECT DISTINCT h.hit_id, h.frame AS hf, a.audio_id, CAST(a.frame - h.frame AS BIGINT) AS "offset" FROM hit_event h JOIN audio_impulse a ON h.match_id = a.match_id AND a.frame BETWEEN h.frame - 6 AND h.frame + 6)
 SELECT hit_id, audio_id, "offset" FROM p QUALIFY row_number() OVER (PARTITION BY hit_id, hf ORDER BY abs("offset"), "offset", audio_id) = 1""",
 }
+SQL["p2_merged"] = r"""
+WITH r AS (SELECT match_id, lower(trim(phase, E' \t\r\n')) AS phase, TRY_CAST(trim(frame) AS DOUBLE) AS f, TRY_CAST(trim(visibility) AS DOUBLE) AS v, row_id, exported_at,
+    CASE WHEN trim(source) = '' THEN NULL ELSE trim(source) END AS source, CASE WHEN isnan(confidence) THEN NULL ELSE confidence END AS confidence, x, y FROM ball_raw),
+s AS (SELECT *, CASE WHEN isfinite(v) AND trunc(v) = 1 THEN 2 WHEN isfinite(v) AND trunc(v) = 0 THEN 1 ELSE 0 END AS seen FROM r WHERE isfinite(f) AND phase IN ('primary', 'secondary') AND match_id IS NOT NULL),
+k AS (SELECT *, CAST(trunc(f) AS INTEGER) AS frame, row_number() OVER (PARTITION BY match_id, phase, trunc(f) ORDER BY seen DESC,
+    (x IS NOT NULL)::INT + (y IS NOT NULL)::INT + (source IS NOT NULL)::INT + (confidence IS NOT NULL)::INT DESC, exported_at DESC NULLS LAST, row_id DESC) AS n FROM s)
+SELECT match_id, phase, frame, count(*) AS records, arg_min(row_id, n) AS row_id, arg_min(seen, n) AS seen, arg_min(x, n) FILTER (x IS NOT NULL) AS x, arg_min(y, n) FILTER (y IS NOT NULL) AS y,
+  arg_min(source, n) FILTER (source IS NOT NULL) AS source, arg_min(confidence, n) FILTER (confidence IS NOT NULL) AS confidence FROM k GROUP BY match_id, phase, frame"""
 SQL["p6_found"] = f"SELECT hit_id, audio_id FROM ({SQL['p6_nearest']})"
 _P4 = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 SQL["p4_percentiles"] = f"""

@@ -12,23 +12,25 @@ def lenient_int(text: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) < F.lit(2.0**31)), v.cast("int"))
 
 
-def survivors(records: DataFrame, group: list[str], order: list[Column], roles: dict[str, Column], record_id: str) -> DataFrame:
+def survivors(records: DataFrame, group: list[str], rank: list[Column], roles: dict[str, Column], record_id: str) -> DataFrame:
     """Groups of two or more records: the id of the first record, and for each role that of the first record that qualifies.
 
-    ``order`` ranks the records and must end in a column that is unique within a group, so that ties are settled; ``roles`` maps the name
+    ``rank`` holds the columns that rank a record, the larger the better, nulls last; ``record_id``, larger first, settles ties. ``roles`` maps the name
     of an output column to the condition under which a record may serve in it (e.g. that the field has a value); -1 where none does.
 
-    Each record stands once for itself and once for each role it qualifies for; one window ranks them all by (group, role) and keeps
-    the first two. Spark cuts ranked windows with such a limit down to two rows per group and role in every task before the
-    shuffle, so a group that holds a third of the rows sends at most two rows per role from a task.
+    A record belongs to one of 2**len(roles) classes by the roles it can serve in, and in each class only the best of a group can be wanted. These are found in
+    an aggregation whose partial results shrink a hot group to one row per task before the only shuffle, where each record travels at most once; then single
+    records drop out and a window ranks what is left of each group, one record per class, in the same partitions.
     """
-    serves = F.array_compact(F.array(F.lit(0), *[F.when(cond, F.lit(i)) for i, cond in enumerate(roles.values(), 1)]))
-    tall = records.withColumn("__role", F.explode(F.transform(serves, lambda i: i.cast("byte"))))
-    w = Window.partitionBy(*group, "__role").orderBy(*order)
-    top = tall.withColumn("__n", F.row_number().over(w)).where("__n <= 2")
-    pick = lambda role: F.max(F.when((F.col("__role") == role) & (F.col("__n") == 1), F.col(record_id)))
-    out = top.groupBy(*group).agg(pick(0).alias(record_id), F.max(F.when(F.col("__role") == 0, F.col("__n"))).alias("__n"), *[F.coalesce(pick(i), F.lit(-1)).alias(r) for i, r in enumerate(roles, 1)])
-    return out.where("__n = 2").drop("__n")
+    have = sum([F.when(F.coalesce(cond, F.lit(False)), 1 << i).otherwise(0) for i, cond in enumerate(roles.values())], F.lit(0))
+    best = F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)], F.col(record_id).alias("id"))
+    classes = range(1 << len(roles))
+    g = records.select(*group, have.alias("__have"), best.alias("__best")).groupBy(*group).agg(F.count("*").alias("__n"), *[F.max(F.when(F.col("__have") == c, F.col("__best"))).alias(f"__{c}") for c in classes]).where("__n > 1")
+    left = F.array_compact(F.array(*[F.when(F.col(f"__{c}").isNotNull(), F.struct(F.lit(c).alias("have"), F.col(f"__{c}").alias("best"))) for c in classes]))
+    w = Window.partitionBy(*group).orderBy(F.desc("__r.best"))
+    ranked = g.select(*group, F.explode(left).alias("__r")).select(*group, F.row_number().over(w).alias("__k"), F.col("__r.have").alias("__have"), F.col("__r.best.id").alias("__id"))
+    first = lambda i: F.min_by("__id", F.when(F.col("__have").bitwiseAND(F.lit(1 << i)) != 0, F.col("__k")))
+    return ranked.groupBy(*group).agg(F.min_by("__id", "__k").alias(record_id), *[F.coalesce(first(i), F.lit(-1)).alias(r) for i, r in enumerate(roles)])
 
 
 def ranked_observations(ball_raw: DataFrame) -> DataFrame:
@@ -54,10 +56,9 @@ def best_observations(ball_raw: DataFrame) -> DataFrame:
     Records rank by visibility (1, 0, else), number of x, y, source, confidence that have a value, later exported_at (null last), larger row_id.
     An empty table gives an empty result.
     """
-    order = [F.desc("rank"), F.desc_nulls_last("exported_at"), F.desc("row_id")]
     # narrow rows for the shuffle: a flag for the phase, visibility and completeness in one byte
-    r = ranked_observations(ball_raw).withColumns({"second": F.col("phase") == "secondary", "rank": (F.col("seen") * 8 + F.col("filled")).cast("byte")}).select("match_id", "second", "frame", "rank", "exported_at", "row_id", "has_source", "has_confidence")
-    found = survivors(r, ["match_id", "second", "frame"], order, {"source_row_id": F.col("has_source"), "confidence_row_id": F.col("has_confidence")}, "row_id")
+    r = ranked_observations(ball_raw).withColumns({"second": F.col("phase") == "secondary", "rank": (F.col("seen") * 8 + F.col("filled")).cast("byte")})
+    found = survivors(r, ["match_id", "second", "frame"], [F.col("rank"), F.col("exported_at")], {"source_row_id": F.col("has_source"), "confidence_row_id": F.col("has_confidence")}, "row_id")
     return found.select("match_id", F.when(F.col("second"), "secondary").otherwise("primary").alias("phase"), "frame", "row_id", "source_row_id", "confidence_row_id")
 
 

@@ -45,6 +45,21 @@ def test_merged_fields_come_from_the_best_record_that_has_them(spark):
     assert got == {7: (2, 5, 9), 8: (4, None, None)}
 
 
+def test_survivors_equal_brute_force_and_a_hot_group_is_cut_before_the_shuffle(spark):
+    rnd = random.Random(12)
+    rows = [(i, rnd.choice([0, 0, 0, rnd.randrange(400)]), rnd.choice([None, 1, 2]), rnd.choice([None, "a"]), rnd.choice([None, 0.5])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g long, rank int, a string, b double").withColumns({c: F.lit(1) for c in ("__n", "__k", "__r", "__have", "__best")})
+    got = {r.g: (r.id, r.ra, r.rb) for r in survivors.survivors(df, ["g"], [F.col("rank")], {"ra": F.col("a").isNotNull(), "rb": F.col("b").isNotNull()}, "id").collect()}
+    want = {}
+    for g in {r[1] for r in rows}:
+        mine = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] or 0, r[0]), reverse=True)
+        if len(mine) > 1:
+            want[g] = (mine[0][0], *(next((r[0] for r in mine if r[k] is not None), -1) for k in (3, 4)))
+    assert got == want
+    plan = survivors.survivors(df, ["g"], [F.col("rank")], {"ra": F.col("a").isNotNull(), "rb": F.col("b").isNotNull()}, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 # --- percentiles -------------------------------------------------------------------------------------------------------
 
 
