@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from courtlane.llm.bpe import encoded
 from courtlane.llm.leaks import leaked_items
 from courtlane.llm.nearest import hits_with_impulse
-from courtlane.llm.quantiles import SPEED_PROBS, speed_digests, speed_percentiles
+from courtlane.llm.quantiles import SPEED_PROBS, checked_percentiles, coarse_percentiles, speed_digests, speed_percentiles
 from courtlane.llm.survivors import best_observations, merged_observations
 from courtlane.llm.truncation import cut_documents, cut_shares
 from courtlane.session import table
@@ -34,6 +34,16 @@ def p4_digests(spark: SparkSession, sf: str) -> DataFrame:
     return speed_digests(table(spark, sf, "sidecar"))
 
 
+def p4_percentiles_coarse(spark: SparkSession, sf: str) -> DataFrame:
+    """Folded digests: rank error 5 %. No SQL: p4_rank_errors holds these percentiles against the values."""
+    return coarse_percentiles(table(spark, sf, "sidecar"))
+
+
+def p4_rank_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the ranks of p4_percentiles_coarse are off by rank_error at most."""
+    return checked_percentiles(table(spark, sf, "sidecar"))
+
+
 def p6_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return hits_with_impulse(table(spark, sf, "hit_event"), table(spark, sf, "audio_impulse"))
 
@@ -58,4 +68,4 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return cut_shares(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_merged, p4_percentiles, p4_digests, p6_found, p6_nearest, p7_ids, p8_found, p9_found, p9_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_merged, p4_percentiles, p4_digests, p4_percentiles_coarse, p4_rank_errors, p6_found, p6_nearest, p7_ids, p8_found, p9_found, p9_shares)}

@@ -29,3 +29,5 @@ WITH v AS (SELECT rallyid, shotavgspeedkmh AS v, row_number() OVER (PARTITION BY
   FROM sidecar WHERE shotavgspeedkmh IS NOT NULL AND NOT isnan(shotavgspeedkmh))
 SELECT rallyid, n, {", ".join(f"round(max(CASE WHEN r = greatest(1, ceil(round({p} * n, 6))) THEN v END), 6) AS {c}" for c, p in _P4.items())}, CAST(44 * (n // 44000) AS BIGINT) AS rank_error
 FROM v GROUP BY rallyid, n"""
+SQL["p4_rank_errors"] = """
+SELECT shotspeedquality, count(*) AS n, CAST(24 * (count(*) // 480) AS BIGINT) AS rank_error, true AS within FROM sidecar WHERE shotavgspeedkmh IS NOT NULL AND NOT isnan(shotavgspeedkmh) GROUP BY shotspeedquality"""

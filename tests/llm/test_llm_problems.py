@@ -353,3 +353,17 @@ def test_a_field_limit_is_seen_in_distinct_texts_only(spark):
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(rows)], "doc_id long, text string, source string")
     limits = truncation.source_limits(truncation.distinct_texts(truncation.examine(df))).first()
     assert limits.texts == 113 and limits.char_limits == [200] and limits.byte_limits == [200] and limits.loose == 0
+
+
+def test_digests_keep_types_and_nulls_and_stored_ones_join(spark):
+    rnd = random.Random(13)
+    big = 2**60 + 1
+    rows = [(rnd.choice([None, big, big + 1]), rnd.choice([None, "a", "b"]), rnd.random() * 100) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "m long, t string, v double")
+    d = quantiles.digests(df, ["m", "t"], "v", eps=0.2, bits=24)
+    assert d.schema["m"].dataType == df.schema["m"].dataType and {(r.m, r.t) for r in d.select("m", "t").distinct().collect()} == {(m, t) for m, t, _ in rows}
+    by = lambda parts: {r.t: (r.n, r.p50, r.rank_error) for r in quantiles.percentiles(parts, ["t"], {"p50": 0.5}, eps=0.2, bits=24).collect()}
+    for t, (n, p50, e) in by(d).items():
+        v = sorted(x for _, q, x in rows if q == t)
+        assert n == len(v) and e == 24 * (n // 120) > 0 and abs(np.searchsorted(v, p50) - n / 2) <= e + 2
+    assert set(by(d)) == set(by(quantiles.partial_digests(df, ["t"], "v", eps=0.2, bits=24))) == {None, "a", "b"}
