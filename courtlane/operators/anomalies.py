@@ -21,8 +21,8 @@ from courtlane.session import join_small, staged
 class SpikeParams:
     """risk: share of a source's sound readings that the tail cutoff may flag. tail_from, tail_to: quantiles between which the tail is
     fitted; what lies above tail_to counts as censored, so that the spikes themselves don't shape it. shape_most: bound of the tail's
-    shape, as the fit looks far beyond its data. min_rows: a source with fewer
-    residuals gets plain_factor times its upper quartile instead. stuck: frames of an unchanged reading. unit_width: residuals are in
+    shape, as the fit looks far beyond its data. min_rows: a source leans on its own fit by n / (2 min_rows), from twice as many residuals on alone; the rest of the
+    weight is the usual cut of all sources in upper quartiles (plain_factor of them where no source has enough), so nothing jumps at a number of rows. stuck: frames of an unchanged reading. unit_width: residuals are in
     pixels of a picture of that width. block_bits, halo: frames of one task's block (a power of two) and of the overlap of blocks."""
 
     risk: float = 1e-6
@@ -81,26 +81,30 @@ def _quantile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
     return float(values[np.searchsorted(np.cumsum(counts), q * counts.sum())])
 
 
-def _cutoffs(p: SpikeParams):
+def _fits(p: SpikeParams):
+    """Per source and kind of distance (two, one, low, high): n, its upper quartile (scale), the tail's cut, and for one the 90 % quantile by that of two (ratio)."""
+
     def fit(source: tuple, bins: pd.DataFrame) -> pd.DataFrame:
-        out = {"source": source[0], "cut_two": np.inf, "cut_one": np.inf, "conf_low": -np.inf, "conf_high": np.inf}
+        rows = []
+
+        def add(kind: str, values: np.ndarray, counts: np.ndarray, mid: float = 0.0, ratio: float = 0.0) -> None:
+            if counts.sum():
+                rows.append((source[0], kind, counts.sum(), _quantile(values, counts, 0.75), gpd_cut(values, counts, p.risk, p.tail_from, p.tail_to, p.shape_most), mid, ratio))
+
         of = lambda kind: bins[bins["kind"] == kind].sort_values("bin")
         two, one, conf = of("two"), of("one"), of("conf")
         log = lambda b: np.exp((b["bin"].to_numpy() + 0.5) * _LOG_STEP) - _LOG_ZERO
+        count = lambda b: b["n"].to_numpy(dtype=float)
         if len(two):
-            v, n = log(two), two["n"].to_numpy(dtype=float)
-            out["cut_two"] = gpd_cut(v, n, p.risk, p.tail_from, p.tail_to, p.shape_most) if n.sum() >= p.min_rows else p.plain_factor * _quantile(v, n, 0.75)
-            ratio = _quantile(log(one), one["n"].to_numpy(dtype=float), p.tail_from) / _quantile(v, n, p.tail_from) if one["n"].sum() >= p.min_rows / 5 else 0
-            out["cut_one"] = out["cut_two"] * max(ratio, p.one_sided_factor)
+            enough = count(one).sum() >= p.min_rows / 5
+            add("two", log(two), count(two), ratio=_quantile(log(one), count(one), p.tail_from) / _quantile(log(two), count(two), p.tail_from) if enough else 0.0)
         if len(conf):
-            v, n = conf["bin"].to_numpy() * _CONF_STEP, conf["n"].to_numpy(dtype=float)
+            v, n = conf["bin"].to_numpy() * _CONF_STEP, count(conf)
             mid = _quantile(v, n, 0.5)
-            for name, sign in (("conf_low", -1), ("conf_high", 1)):
+            for kind, sign in (("low", -1), ("high", 1)):
                 side = sign * (v - mid) >= 0
-                d, m = np.abs(v - mid)[side][::sign], n[side][::sign]
-                far = gpd_cut(d, m, p.risk, p.tail_from, p.tail_to, p.shape_most) if m.sum() >= p.min_rows / 2 else p.plain_factor / 2 * _quantile(d, m, 0.75)
-                out[name] = mid + sign * max(far, 2 * _CONF_STEP)
-        return pd.DataFrame([out])
+                add(kind, np.abs(v - mid)[side][::sign], n[side][::sign], mid)
+        return pd.DataFrame(rows, columns=["source", "kind", "n", "scale", "cut", "mid", "ratio"])
 
     return fit
 
@@ -168,7 +172,16 @@ def source_limits(readings: DataFrame, p: SpikeParams = SpikeParams()) -> DataFr
         F.struct(F.lit("conf").alias("kind"), F.round(F.col("confidence") / _CONF_STEP).cast("long").alias("bin")),
     )).alias("b"))
     bins = tall.where("b.bin is not null").groupBy("source", F.col("b.kind").alias("kind"), F.col("b.bin").alias("bin")).agg(F.count("*").alias("n"))
-    cuts = bins.groupBy("source").applyInPandas(_cutoffs(p), "source string, cut_two double, cut_one double, conf_low double, conf_high double")
+    fits = staged(bins.groupBy("source").applyInPandas(_fits(p), "source string, kind string, n double, scale double, cut double, mid double, ratio double"), "fits")
+    # what the tails of all sources together say about a small one: how many times its own upper quartile the cut lies
+    least = F.when(F.col("kind") == "two", p.min_rows).otherwise(p.min_rows / 2)
+    usual = {r.kind: r.times for r in fits.where((F.col("n") >= least) & (F.col("scale") > 0)).groupBy("kind").agg(F.percentile(F.col("cut") / F.col("scale"), F.lit(0.5)).alias("times")).collect()}
+    times = F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(t))) for k, t in usual.items()], F.when(F.col("kind") == "two", p.plain_factor), F.lit(p.plain_factor / 2))
+    weight = F.least(F.lit(1.0), F.col("n") / (2 * least))
+    cut = weight * F.col("cut") + (1 - weight) * times * F.col("scale")
+    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, value))
+    far = F.greatest(cut, F.lit(2 * _CONF_STEP))
+    cuts = fits.groupBy("source").agg(F.coalesce(of("two", cut), F.lit(float("inf"))).alias("cut_two"), F.coalesce(of("two", cut * F.greatest(F.col("ratio"), F.lit(p.one_sided_factor))), F.lit(float("inf"))).alias("cut_one"), F.coalesce(of("low", F.col("mid") - far), F.lit(float("-inf"))).alias("conf_low"), F.coalesce(of("high", F.col("mid") + far), F.lit(float("inf"))).alias("conf_high"))
     moved = lambda k: F.coalesce(F.avg(F.when(F.col("linked") & ~F.col(f"stuck_{k}"), (~F.col(f"same_{k}")).cast("int"))) >= 0.5, F.lit(False)).alias(f"varies_{k}")
     return cuts.join(readings.groupBy("source").agg(moved("xy"), moved("conf")), "source")
 

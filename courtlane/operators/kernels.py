@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtlane.operators.sequence import runs
+from courtlane.operators.sequence import anchors, dense, runs
 
 
 def scan(df: DataFrame, keys: list[str], order: list[str], columns: list[str], machine: Callable[[], object], schema: str) -> DataFrame:
@@ -103,17 +103,49 @@ def reset_frames(cuts: DataFrame, padding: int = CUT_PADDING) -> DataFrame:
     return cuts.select("match_id", F.explode(F.sequence(F.greatest(F.lit(0), F.col("frame") - padding), F.col("frame") + padding)).alias("frame")).distinct()
 
 
-def smooth(track: DataFrame, measured: tuple[str, ...], longest_hole: int = 40, resets: DataFrame | None = None) -> DataFrame:
-    """The smoothed track: match_id, frame, x, y, vis, source, conf. Frames of holes longer than ``longest_hole`` are left out: after them the filter starts anew,
-    so the flights between them are filtered side by side. On each frame of ``resets`` (match_id, frame) it starts anew as well."""
+_FILTER_IN = ["frame", "x", "y", "source", "conf", "observed", "reset"]
+
+
+def _measured(track: DataFrame, measured: tuple[str, ...], resets: DataFrame | None) -> DataFrame:
+    """Every frame from 0 to the match's last with its measurement (a visible point whose source is in ``measured``) and whether it is in ``resets``."""
     ok = F.col("vis") & F.col("source").isin(*measured)
-    t = runs(track.where(ok).select("match_id", "frame", "x", "y", "source", "conf", "raw_vis"), F.lit(True), longest_hole)
-    span = t.groupBy("match_id", "run").agg(F.max("frame").alias("stop"))
-    piece = span.select("match_id", "run", F.explode(F.sequence(F.col("run"), F.col("stop"))).alias("frame"))
-    full = piece.join(t, ["match_id", "run", "frame"], "left").withColumns({"observed": F.coalesce("raw_vis", F.lit(False)), "source": F.coalesce("source", F.lit("missing")), "conf": F.coalesce("conf", F.lit(0.0))})
-    full = full.withColumn("reset", F.lit(False)) if resets is None else full.join(resets.select("match_id", "frame", F.lit(True).alias("reset")), ["match_id", "frame"], "left").withColumn("reset", F.coalesce("reset", F.lit(False)))
-    out = scan(full, ["match_id", "run"], ["frame"], ["frame", "x", "y", "source", "conf", "observed", "reset"], Kalman, "match_id long, run long, frame long, x double, y double, vis boolean, source string, conf double")
-    return out.drop("run")
+    t = dense(track).join(track.where(ok).select("match_id", "frame", "x", "y", "source", "conf"), ["match_id", "frame"], "left")
+    if resets is None:
+        return t.withColumn("reset", F.lit(False))
+    return t.join(resets.select("match_id", "frame", F.lit(True).alias("reset")).distinct(), ["match_id", "frame"], "left").withColumn("reset", F.coalesce("reset", F.lit(False)))
+
+
+def _filtered(t: DataFrame) -> DataFrame:
+    """The filter over rows of _FILTER_IN. It keeps its state over holes of any length, so only resets part the work: what lies between two of them is one stream."""
+    t = anchors(t, before={"piece": F.when(F.col("reset"), F.col("frame"))}, own=True).withColumn("piece", F.coalesce("piece", F.lit(-1)))
+    out = scan(t, ["match_id", "piece"], ["frame"], _FILTER_IN, Kalman, "match_id long, piece long, frame long, x double, y double, vis boolean, source string, conf double")
+    return out.drop("piece")
+
+
+def smooth(track: DataFrame, measured: tuple[str, ...], resets: DataFrame | None = None) -> DataFrame:
+    """The filter alone over a track (match_id, frame, x, y, vis, source, conf), one row for every frame from 0 to the match's last: match_id, frame, x, y, vis, source, conf; missing where
+    nothing is known. On each frame of ``resets`` (match_id, frame) it starts anew."""
+    t = _measured(track, measured, resets)
+    return _filtered(t.select("match_id", "frame", "x", "y", F.coalesce("source", F.lit("missing")).alias("source"), F.coalesce("conf", F.lit(0.0)).alias("conf"), (F.col("x").isNotNull() & (F.col("source") != "interp")).alias("observed"), "reset"))
+
+
+def smoothed_track(track: DataFrame, measured: tuple[str, ...], longest: int = 8, resets: DataFrame | None = None, top: float = 35.0) -> DataFrame:
+    """F3 whole: edge breaks, interpolation and the filter, columns as in ``smooth``.
+
+    Holes of at most ``longest`` frames between measurements are interpolated; a hole that ends a flight over the top edge (see fusion.edge_breaks) is not, the filter starts anew on its
+    first frame, as on every frame of ``resets``, and no hole that holds or ends in a reset is interpolated.
+    """
+    at, cut = F.when(F.col("x").isNotNull(), F.struct("frame", "x", "y")), F.when(F.col("reset"), F.col("frame"))
+    t = anchors(_measured(track, measured, resets), before={"l": at, "cut_before": cut}, after={"r": at, "cut_after": cut}, own=True)
+    gap, dy = F.col("r.frame") - F.col("l.frame") - 1, F.abs(F.col("r.y") - F.col("l.y"))
+    left, right, hole = F.col("l.y") <= top, F.col("r.y") <= top, F.col("x").isNull()
+    breaks = hole & F.coalesce((gap <= max(2, longest)) & ((dy >= 80) | (gap >= 2) & ((left | right) & (dy >= 70) | left & right)), F.lit(False))
+    crossed = F.coalesce(F.col("cut_before") > F.col("l.frame"), F.lit(False)) | F.coalesce(F.col("cut_after") <= F.col("r.frame"), F.lit(False))
+    fill = hole & F.coalesce(gap <= longest, F.lit(False)) & ~breaks & ~crossed
+    a = (F.col("frame") - F.col("l.frame")) / (F.col("r.frame") - F.col("l.frame"))
+    on = lambda c: F.when(fill, F.col(f"l.{c}") * (1 - a) + F.col(f"r.{c}") * a).otherwise(F.col(c)).alias(c)
+    opens = F.col("reset") | breaks & (F.col("frame") == F.col("l.frame") + 1)
+    return _filtered(t.select("match_id", "frame", on("x"), on("y"), F.when(fill, "interp").otherwise(F.coalesce("source", F.lit("missing"))).alias("source"), F.coalesce("conf", F.lit(0.0)).alias("conf"), (~hole).alias("observed"), opens.alias("reset")))
 
 
 class StaticLock:
@@ -216,12 +248,16 @@ class GreedyTracker:
         return out
 
 
-def greedy_tracks(candidates: DataFrame, seed: float = 1.35, gap: int = 2) -> DataFrame:
+def greedy_tracks(candidates: DataFrame, seed: float = 1.35, gap: int = 2, cap: int = 200) -> DataFrame:
     """Tracks of candidates (match_id, frame, cand_id, x, y, quality, area): match_id, run, track, frame, cand_id. A track can't outlive ``gap`` frames without candidates, so
-    runs of frames with smaller holes are tracked side by side; (run, track) names a track within its match."""
+    runs of frames with smaller holes are tracked side by side; (run, track) names a track within its match.
+
+    At most ``cap`` tracks are followed at once, the longest and best; it is part of the method (a frame has a bounded number of candidates). Points of a track that is given up
+    stay in the result, and its later candidates start a new track.
+    """
     frames = runs(candidates.select("match_id", "frame").distinct(), F.lit(True), gap)
     c = candidates.join(frames, ["match_id", "frame"])
-    return scan(c, ["match_id", "run"], ["frame", "cand_id"], ["frame", "cand_id", "x", "y", "quality", "area"], lambda: GreedyTracker(seed, gap), "match_id long, run long, track long, frame long, cand_id long")
+    return scan(c, ["match_id", "run"], ["frame", "cand_id"], ["frame", "cand_id", "x", "y", "quality", "area"], lambda: GreedyTracker(seed, gap, cap), "match_id long, run long, track long, frame long, cand_id long")
 
 
 class StaticCentres:
@@ -323,11 +359,13 @@ def banned_top_tracks(points: DataFrame, top: float) -> DataFrame:
 
 
 class Identity:
-    """Who is the near and who the far player: of the detections of a frame on either side of the middle the one with the identity held so far, else the nearest to
-    where that player was, else the outermost."""
+    """Who is the near and who the far player of each frame, by pools on either side of the net's line (they share a band): the one with the identity held so far, else the nearest to where
+    that player was, else the outermost. Where both sides want one detection it stays with the side that holds its identity, else with the side it is nearer to; the other side takes
+    the outermost of the rest. A far player of another identity may not jump too far, nor up."""
 
-    def __init__(self):
-        self.frame, self.now, self.held = None, [], {}
+    def __init__(self, band: float = 12.0, far_jump: float = 110.0, far_up: float = 30.0):
+        self.band, self.jump, self.up = band, far_jump, far_up
+        self.frame, self.now, self.near, self.far = None, [], None, None
 
     def row(self, key, values):
         out = self._step(key) if self.frame is not None and values[0] != self.frame else []
@@ -338,27 +376,49 @@ class Identity:
     def end(self, key):
         return self._step(key) if self.now else []
 
+    @staticmethod
+    def _away(d, was):
+        return math.hypot(d[2] - was[2], d[3] - was[3]) if was else math.inf
+
+    def _pick(self, pool, was, outermost):
+        if not pool:
+            return None
+        if was is None:
+            return outermost(pool)
+        same = next((d for d in pool if d[1] == was[1]), None)
+        return same or min(pool, key=lambda d: self._away(d, was))
+
     def _step(self, key):
-        frame, dets, self.now, out = self.frame, self.now, [], []
-        for side in ("far", "near"):
-            pool = [d for d in dets if (d[3] < 0) == (side == "far")]
-            if not pool:
-                continue
-            was = self.held.get(side)
-            pick = next((d for d in pool if was and d[1] == was[0]), None)
-            if pick is None and was:
-                pick = min(pool, key=lambda d: (math.hypot(d[2] - was[1], d[3] - was[2]), d[1]))
-            if pick is None:
-                pick = max(pool, key=lambda d: (abs(d[3]), -d[1]))
-            self.held[side] = (pick[1], pick[2], pick[3])
-            out.append((*key, frame, side, pick[1]))
-        return out
+        frame, dets, self.now = self.frame, sorted(self.now, key=lambda d: (d[3], d[1])), []
+        lowest, highest = (lambda p: max(p, key=lambda d: d[3])), (lambda p: min(p, key=lambda d: d[3]))
+        nears, fars = [d for d in dets if d[3] >= d[4] - self.band], [d for d in dets if d[3] <= d[4] + self.band]
+        near, far = self._pick(nears, self.near, lowest), self._pick(fars, self.far, highest)
+        if near and far and near[1] == far[1]:
+            holds_far, holds_near = bool(self.far and far[1] == self.far[1]), bool(self.near and near[1] == self.near[1])
+            to_far = holds_far if holds_far != holds_near else self._away(far, self.far) <= self._away(near, self.near)
+            rest = [d for d in (nears if to_far else fars) if d[1] != near[1]]
+            other = (lowest if to_far else highest)(rest) if rest else None
+            near, far = (other, far) if to_far else (near, other)
+        if far and self.far and far[1] != self.far[1] and (far[3] < self.far[3] - self.up or self._away(far, self.far) > self.jump):
+            far = None
+        self.near, self.far = near or self.near, far or self.far
+        return [(*key, frame, side, d[1]) for side, d in (("far", far), ("near", near)) if d]
+
+
+def player_identity(detections: DataFrame, x: str = "mx", y: str = "my", line: str = "0", band: float = 12.0, far_jump: float = 110.0, far_up: float = 30.0) -> DataFrame:
+    """Detections (match_id, frame, det_id and a position ``x``, ``y``) that are the near and the far player: match_id, frame, side, det_id. ``line`` is the y of the net's line.
+
+    Identities are held over holes of any length, so a match is one stream; its state is two detections.
+    """
+    d = detections.select("match_id", "frame", "det_id", F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"), F.expr(line).cast("double").alias("line"))
+    return scan(d, ["match_id"], ["frame", "det_id"], ["frame", "det_id", "x", "y", "line"], lambda: Identity(band, far_jump, far_up), "match_id long, frame long, side string, det_id long")
 
 
-def player_identity(detections: DataFrame, longest_hole: int = 90) -> DataFrame:
-    """Detections (match_id, frame, det_id, mx, my with the net at 0) that are the near and the far player: match_id, frame, side, det_id. Holes over ``longest_hole`` frames start anew."""
-    frames = runs(detections.select("match_id", "frame").distinct(), F.lit(True), longest_hole)
-    return scan(detections.join(frames, ["match_id", "frame"]), ["match_id", "run"], ["frame", "det_id"], ["frame", "det_id", "mx", "my"], Identity, "match_id long, run long, frame long, side string, det_id long").drop("run")
+def closest(candidates: DataFrame, reference: DataFrame) -> DataFrame:
+    """K15: of the candidates (match_id, frame, det_id, x, y) of a frame the one nearest to its reference point (match_id, frame, x, y), the smaller det_id on a tie: match_id, frame, det_id."""
+    r = reference.select("match_id", "frame", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    d = F.sqrt((F.col("x") - F.col("rx")) ** 2 + (F.col("y") - F.col("ry")) ** 2)
+    return candidates.join(r, ["match_id", "frame"]).where(d.isNotNull()).groupBy("match_id", "frame").agg(F.min_by("det_id", F.struct(d, "det_id")).alias("det_id"))
 
 
 class Selector:

@@ -19,28 +19,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (tests, one machine) a local one is set."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a local one is set, but only for a session on one machine: on a cluster
+    it would lose the data of other machines, so that is an error."""
     got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        import tempfile
-
-        got = f"file://{tempfile.gettempdir()}/courtlane-checkpoints"
-        spark.sparkContext.setCheckpointDir(got)
+    if got:
+        return got
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    import tempfile
+
+    got = f"file://{tempfile.gettempdir()}/courtlane-checkpoints"
+    spark.sparkContext.setCheckpointDir(got)
     return got
 
 
+def work_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, under one folder per application, which goes when the application ends or by `discard`."""
+    base = f"{shared_dir(spark).rstrip('/')}/courtlane-{spark.sparkContext.applicationId}"
+    fs, path = _hadoop(spark, base)
+    fs.deleteOnExit(path)
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application. Results that still read them must be taken or written first."""
+    fs, path = _hadoop(spark, f"{shared_dir(spark).rstrip('/')}/courtlane-{spark.sparkContext.applicationId}")
+    fs.delete(path, True)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: it cuts the lineage, survives lost executors, and is read
     by column, so that several consumers don't compute it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/staged-{label}-{uuid.uuid4().hex}"
+    path = work_path(spark, f"staged-{label}")
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input up to which a plan that only filters, projects and aggregates one table is small without a count.
+SMALL_INPUT = 1 << 20
+_SHRINKING = {"Project", "Filter", "Aggregate", "LogicalRelation", "Relation", "LocalRelation", "Distinct", "Deduplicate"}
+
+
+def _surely_small(df: DataFrame) -> bool:
+    """Whether ``df`` does nothing but filter, project and aggregate one small table, by the statistics of its files; starts no job."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while True:
+        if plan.nodeName().split(" ")[0] not in _SHRINKING:
+            return False
+        children = plan.children()
+        if children.size() == 0:
+            return int(str(plan.stats().sizeInBytes())) <= SMALL_INPUT
+        plan = children.apply(0)
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no further than that."""
     return df.limit(rows + 1).count() <= rows
@@ -49,9 +90,14 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a table that has hot keys with one that is usually small and has one row per key.
 
-    The small side is broadcast only after a count shows at most ``rows`` rows; beyond that it is copied ``SALTS`` times and
-    the big side is salted, so that a key with a third of the rows is spread over ``SALTS`` tasks. ``how``: left or inner.
+    The small side is broadcast only after its size is known: from the files' statistics, else by a count (of at most ``rows`` rows) over the side, written
+    once so that the join doesn't compute it again. Beyond that it is copied ``SALTS`` times and the big side is salted, so that a key with a third of the
+    rows is spread over ``SALTS`` tasks. ``how``: left or inner.
     """
+    if rows == BROADCAST_ROWS and _surely_small(small):
+        return big.join(F.broadcast(small), keys, how)
+    if small._jdf.queryExecution().optimizedPlan().children().size():
+        small = staged(small, "small")
     if fits_broadcast(small, rows):
         return big.join(F.broadcast(small), keys, how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -137,3 +137,18 @@ def test_a_salted_join_equals_a_broadcast_one(spark):
     small = spark.createDataFrame([(0, "a"), (1, "b")], "k long, w string")
     a, b = (sorted((r.k, r.v, r.w or "") for r in join_small(big, small, ["k"], rows=n).collect()) for n in (100, 1))
     assert a == b and len(a) == 1000
+
+
+def test_limits_of_small_sources_lean_on_all_sources_without_a_jump(spark):
+    rnd = np.random.default_rng(4)
+    big = [("big", 2, float(v), float(round(0.8 + c, 3))) for v, c in zip(rnd.exponential(2.0, 6000), np.clip(rnd.normal(0, 0.03, 6000), -0.09, 0.09))]
+    values, confs = rnd.exponential(4.0, 700), np.clip(rnd.normal(0, 0.02, 700), -0.06, 0.06)
+    cuts = {}
+    for n in (20, 150, 299, 300, 301, 599, 600, 601, 700):
+        small = [("small", 2, float(v), float(round(0.4 + c, 3))) for v, c in zip(values[:n], confs[:n])]
+        rows = [(s, sides, r, c, False, True, False, False, False, False) for s, sides, r, c in big + small]
+        df = spark.createDataFrame(rows, "source string, sides int, residual double, confidence double, impossible boolean, linked boolean, same_xy boolean, same_conf boolean, stuck_xy boolean, stuck_conf boolean")
+        cuts[n] = next(r for r in anomalies.source_limits(df).collect() if r.source == "small")
+    for a, b in ((299, 300), (300, 301), (599, 600), (600, 601)):
+        assert cuts[a].cut_two == pytest.approx(cuts[b].cut_two, rel=0.15) and cuts[a].conf_low == pytest.approx(cuts[b].conf_low, abs=0.01)
+    assert all(15 < c.cut_two < 150 and 0.05 < c.conf_low < 0.36 and 0.44 < c.conf_high < 0.75 for c in cuts.values())
