@@ -140,3 +140,9 @@ def axis_separation(ax: str, ay: str, bx: str, by: str) -> str:
 
 def timecode(seconds: str) -> str:
     return f"concat(lpad(CAST(CAST(floor(({seconds}) / 60) AS BIGINT) AS VARCHAR(9)), 2, '0'), ':', lpad(CAST(CAST(floor({seconds}) AS BIGINT) % 60 AS VARCHAR(9)), 2, '0'))"
+
+
+def orbit(t: str, radius: float, roll: float, zoom: float) -> dict[str, str]:
+    """Where a camera stands on an orbit at ``t`` (0 to 1, held there): shift in pixels across and down, roll in degrees, and scale."""
+    theta = f"(2 * pi() * {clip(t, 0, 1)})"
+    return {"dx": f"{radius} * cos({theta})", "dy": f"{radius} * 0.42 * sin({theta})", "roll": f"{roll} * sin({theta})", "scale": f"1 + ({zoom} - 1) * (0.55 + 0.45 * sin({theta} + pi() * 0.5))"}

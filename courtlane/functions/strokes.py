@@ -96,13 +96,13 @@ def route_family(origin: Column, receiver: Column, arc: Column, flight: Column,
     return F.when(~candidate | (points < 4), "unknown").when(first, "serve").when(origin == "front", front).when(origin == "back", back).otherwise("unknown")
 
 
-def evidence_score(confirmed: Column, points: Column, reliable: Column, origin: Column, receiver: Column, samples: Column, pose: Column, inferred: Column) -> Column:
-    """Sum of what speaks for a stroke, 20 to 88; the cap comes before the penalty for an inferred hitter."""
+def evidence_score(confirmed: Column, points: Column, reliable: Column, origin: Column, receiver: Column, samples: Column, pose: Column, inferred: Column, receiver_inferred: Column) -> Column:
+    """Sum of what speaks for a stroke, a whole number from 20 to 88; the cap comes before the penalties for an inferred hitter (12) and an inferred receiver's side (8)."""
     add = lambda cond, n: F.when(F.coalesce(cond, F.lit(False)), float(n)).otherwise(0.0)
     zones = ("front", "mid", "back")
     raw = 22.0 + add(confirmed, 20) + add(points >= 4, 17) + add(reliable, 10) + add(origin.isin(*zones), 13) + add(receiver.isin(*zones), 13) + add((samples >= 2) & (pose >= 0.45), 8)
-    capped = F.least(F.lit(88.0), F.greatest(F.lit(20.0), raw)) - add(inferred, 12)
-    return F.least(F.lit(88.0), F.greatest(F.lit(20.0), capped))
+    capped = F.least(F.lit(88.0), F.greatest(F.lit(20.0), raw)) - add(inferred, 12) - add(receiver_inferred, 8)
+    return F.bround(F.least(F.lit(88.0), F.greatest(F.lit(20.0), capped)))
 
 
 def capped_confidence(score: Column, family: Column, candidate: Column, confirmed: Column, reliable: Column) -> Column:

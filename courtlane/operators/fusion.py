@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,28 +66,38 @@ def merge_classical(both: DataFrame, agree: float = 20, good: float = 28, bad: f
     return p.select("match_id", "frame", F.when(F.col("chosen") == "model", F.col("a_x")).when(F.col("chosen") == "classical", F.col("b_x")).alias("x"), F.when(F.col("chosen") == "model", F.col("a_y")).when(F.col("chosen") == "classical", F.col("b_y")).alias("y"), "chosen")
 
 
-def fill_gaps(track: DataFrame, classical: DataFrame, longest: int = 12, reach: int = 8, support: int = 3, least_conf: float = 0.45, off: float = 72) -> DataFrame:
-    """Classical points that fill holes of the track of at most ``longest`` frames: match_id, frame, x, y, conf.
+def fill_gaps(track: DataFrame, classical: DataFrame, cut: Callable[[Column], Column] | None = None, longest: int = 12, support: int = 3, least_conf: float = 0.45, off: float = 72, step: float = 180) -> DataFrame:
+    """Classical points (match_id, frame, x, y, conf, track_id) that fill holes of the track of at most ``longest`` frames: match_id, frame, x, y, conf, track_id.
 
-    The nearest visible points on both sides must come from the model and lie within ``reach`` frames; the classical point's run must have ``support`` frames, its
-    confidence be ``least_conf`` or more, its distance from the bridge at most ``off``. The result has confidence min(0.45, 0.65 c).
+    The hole's edges must come from the model and not be parted from it by a camera cut (``cut`` tells whether a frame is one). Only classical points of confidence ``least_conf`` or more
+    count, of tracks with ``support`` of them; a point may be ``off`` px from the bridge over the hole, and ``step`` px a frame from either edge. Coordinates lose their fraction, the
+    confidence is min(0.45, 0.65 c). A frame without a row is a hole as well; a negative or null track_id supports nothing.
     """
     at = F.when(F.col("vis"), F.struct("frame", "x", "y", "source"))
-    t = anchors(track.select("match_id", "frame", "vis", "x", "y", "source"), before={"l": at}, after={"r": at}).where("not vis")
-    hole = F.col("r.frame") - F.col("l.frame") - 1
-    t = t.where((hole <= longest) & (F.col("l.source") == "model") & (F.col("r.source") == "model") & (F.col("frame") - F.col("l.frame") <= reach) & (F.col("r.frame") - F.col("frame") <= reach)).select("match_id", "frame", "l", "r")
-    c = runs(classical, F.lit(True))
-    strong = c.groupBy("match_id", "run").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    c = c.join(strong, ["match_id", "run"], "left_semi").where(F.col("conf") >= least_conf)
-    j = t.join(c.select("match_id", "frame", "x", "y", "conf"), ["match_id", "frame"])
-    return j.where(_bridge("l", "r", F.col("x"), F.col("y")) <= off).select("match_id", "frame", "x", "y", F.least(F.lit(0.45), 0.65 * F.col("conf")).alias("conf"))
-
-
-def interpolate(track: DataFrame, longest: int = 8) -> DataFrame:
-    """Frames of holes of at most ``longest`` frames between visible points, on the line between them: match_id, frame, x, y."""
-    at = F.when(F.col("vis"), F.struct("frame", "x", "y"))
-    t = anchors(track.select("match_id", "frame", "vis", "x", "y"), before={"l": at}, after={"r": at}).where("not vis")
-    t = t.where(F.col("r.frame") - F.col("l.frame") - 1 <= longest)
+    good = classical.where((F.col("conf") >= least_conf) & (F.col("track_id") >= 0) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    strong = good.groupBy("match_id", "track_id").agg(F.count_distinct("frame").alias("n")).where(F.col("n") >= support)
+    good = good.join(strong, ["match_id", "track_id"], "left_semi").groupBy("match_id", "frame").agg(F.max(F.struct("conf", "x", "y", "track_id")).alias("c"))
+    both = track.select("match_id", "frame", "vis", "x", "y", "source").join(good, ["match_id", "frame"], "full_outer").withColumn("vis", F.coalesce("vis", F.lit(False)))
+    t = anchors(both, before={"l": at}, after={"r": at}).where("not vis and c is not null")
+    ok = (F.col("r.frame") - F.col("l.frame") - 1 <= longest) & (F.col("l.source") == "model") & (F.col("r.source") == "model")
+    if cut is not None:
+        ok = ok & ~cut(F.col("l.frame") + 1) & ~cut(F.col("r.frame"))
+    reach = lambda e: _dist(F.col("c.x"), F.col("c.y"), F.col(f"{e}.x"), F.col(f"{e}.y")) / F.abs(F.col("frame") - F.col(f"{e}.frame"))
+    ok = ok & (_bridge("l", "r", F.col("c.x"), F.col("c.y")) <= off) & (reach("l") <= step) & (reach("r") <= step)
+    whole = lambda c: F.col(f"c.{c}").cast("long").cast("double").alias(c)
+    return t.where(ok).select("match_id", "frame", whole("x"), whole("y"), F.least(F.lit(0.45), 0.65 * F.col("c.conf")).alias("conf"), F.col("c.track_id").alias("track_id"))
+
+
+def interpolate(track: DataFrame, longest: int = 8, breaks: DataFrame | None = None) -> DataFrame:
+    """Frames of holes of at most ``longest`` frames between visible points, with or without a row, on the line between them: match_id, frame, x, y. A hole that holds a frame of ``breaks``
+    (match_id, frame), or ends at one, stays open."""
+    v = anchors(track.where("vis").select("match_id", "frame", "x", "y"), before={"l": F.struct("frame", "x", "y")})
+    v = v.where((F.col("frame") - F.col("l.frame") - 1).between(1, longest)).select("match_id", "l", F.struct("frame", "x", "y").alias("r"))
+    if breaks is not None:
+        inner = v.select("match_id", F.col("r.frame").alias("end"), F.explode(F.sequence(F.col("l.frame") + 1, F.col("r.frame"))).alias("frame"))
+        broken = inner.join(breaks.select("match_id", "frame"), ["match_id", "frame"], "left_semi").select("match_id", "end").distinct()
+        v = v.withColumn("end", F.col("r.frame")).join(broken, ["match_id", "end"], "left_anti").drop("end")
+    t = v.withColumn("frame", F.explode(F.sequence(F.col("l.frame") + 1, F.col("r.frame") - 1)))
     s = (F.col("frame") - F.col("l.frame")) / (F.col("r.frame") - F.col("l.frame"))
     return t.select("match_id", "frame", *[(F.col(f"l.{c}") + s * (F.col(f"r.{c}") - F.col(f"l.{c}"))).alias(c) for c in "xy"])
 

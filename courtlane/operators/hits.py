@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtlane.operators.sequence import anchors, around, at_offsets, percentiles_by
+from courtlane.operators.sequence import anchors, at_offsets, percentiles_by
 from courtlane.session import join_small, staged
 
 #: What a hit's source adds to its score where hits of several sources meet.
@@ -41,37 +41,42 @@ def edge_exits(track: DataFrame, real: tuple[str, ...], edge: tuple[str, ...], i
     return t.where((i1 >= incoming) & (i2 >= incoming) & (o1 <= -outgoing) & (o2 <= -outgoing)).select("match_id", "frame", "x", F.col("ry").alias("y"), score.alias("score"), F.greatest(vin, vout).alias("speed"))
 
 
-def evidence(hits: DataFrame, track: DataFrame, impulses: DataFrame, boxes: DataFrame, audio: int = 5, reach: int = 6, near: float = 45, margin: float = 8, most_off: float = 70) -> DataFrame:
-    """Each hit with its first reason to be rejected (accepted where none) and whether the ball was seen on its very frame: hit_id, match_id, frame, reason, ball_observed."""
+def evidence(hits: DataFrame, track: DataFrame, impulses: DataFrame, boxes: DataFrame, audio: int = 6, reach: int = 10, near: float = 45, margin: float = 8, most_off: float = 90, least: int = 2) -> DataFrame:
+    """Each hit with its first reason to be rejected (accepted where none) and whether the ball was seen on its very frame: hit_id, match_id, frame, reason, ball_observed.
+
+    The limits are those of the function; the command line takes 8 frames of audio and 18 of track. Only the track's rows within ``reach`` frames of a hit are met, by an equi join on the
+    frames that each hit can see. A frame beyond the match's last, or a hit without a position, is invalid.
+    """
     real = F.col("vis") & F.col("source").isin("model", "classical")
     at = F.struct("frame", "x", "y")
     t = track.select("match_id", "frame", "x", "y", "source", real.alias("real"))
-    keyed = hits.select("match_id", "frame").distinct().withColumn("asked", F.lit(True))
-    t = t.join(keyed, ["match_id", "frame"], "full_outer")
-    t = around(t, {"n": (F.count(F.when(F.col("real"), 1)), -reach, reach)})
-    t = anchors(t, before={"l": F.when(F.col("real"), at)}, after={"r": F.when(F.col("real"), at)}).where("asked")
-    t = t.withColumns({"l": F.when(F.col("frame") - F.col("l.frame") <= reach, F.col("l")), "r": F.when(F.col("r.frame") - F.col("frame") <= reach, F.col("r"))}).select("match_id", "frame", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("source").alias("tsource"), F.coalesce("real", F.lit(False)).alias("real"), "n", "l", "r")
+    stop = track.groupBy("match_id").agg(F.max("frame").alias("stop"))
+    asked = hits.select("hit_id", "match_id", F.col("frame").alias("hf"), F.explode(F.sequence(F.col("frame") - reach, F.col("frame") + reach)).alias("frame"))
+    seen = asked.join(t, ["match_id", "frame"]).groupBy("hit_id").agg(
+        F.count_if("real").alias("n"), F.max(F.when(F.col("real") & (F.col("frame") < F.col("hf")), at)).alias("l"), F.min(F.when(F.col("real") & (F.col("frame") > F.col("hf")), at)).alias("r"),
+        F.max(F.when(F.col("real") & (F.col("frame") == F.col("hf")), at)).alias("o"), F.max(F.when(F.col("frame") == F.col("hf"), F.col("source"))).alias("tsource"),
+    )
     heard = impulses.select("match_id", F.explode(F.sequence(F.col("frame") - audio, F.col("frame") + audio)).alias("frame")).distinct().withColumn("heard", F.lit(True))
     box = boxes.groupBy("match_id", "frame").agg(F.collect_list(F.struct("b0", "b1", "b2", "b3", F.col("kp")[9].alias("w1"), F.col("kp")[10].alias("w2"))).alias("boxes"))
-    h = hits.join(t, ["match_id", "frame"], "left").join(heard, ["match_id", "frame"], "left").join(box, ["match_id", "frame"], "left")
+    h = join_small(hits, stop, ["match_id"]).join(seen, "hit_id", "left").join(heard, ["match_id", "frame"], "left").join(box, ["match_id", "frame"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     inside = F.exists("boxes", lambda b: F.col("x").between(b["b0"] - margin, b["b2"] + margin) & F.col("y").between(b["b1"] - margin, b["b3"] + margin))
     touch = F.exists("boxes", lambda b: F.least(*[F.sqrt((F.col("x") - b[w]["x"]) ** 2 + (F.col("y") - b[w]["y"]) ** 2) for w in ("w1", "w2")]) <= near)
     a = (F.col("frame") - F.col("l.frame")) / (F.col("r.frame") - F.col("l.frame"))
     two = F.col("l").isNotNull() & F.col("r").isNotNull()
-    est = lambda c: F.when(F.col("real"), F.col(f"t{c}")).when(two, F.col(f"l.{c}") * (1 - a) + F.col(f"r.{c}") * a).otherwise(F.coalesce(F.col(f"l.{c}"), F.col(f"r.{c}")))
+    est = lambda c: F.when(F.col("o").isNotNull(), F.col(f"o.{c}")).when(two, F.col(f"l.{c}") * (1 - a) + F.col(f"r.{c}") * a).otherwise(F.coalesce(F.col(f"l.{c}"), F.col(f"r.{c}")))
     off = F.sqrt((F.col("x") - est("x")) ** 2 + (F.col("y") - est("y")) ** 2)
     reason = (
         F.when(F.col("source") == "audio_pose", "pose_only")
-        .when(F.col("tsource").isNull() | F.col("x").isNull() | F.col("y").isNull(), "invalid_frame_or_position")
+        .when((F.col("frame") < 0) | F.coalesce(F.col("frame") > F.col("stop"), F.lit(True)) | F.col("x").isNull() | F.col("y").isNull(), "invalid_frame_or_position")
         .when(F.col("tsource").isin("model_edge", "single_phase_edge", "classical_gap", "offscreen_bridge"), "edge_or_derived_event")
         .when(F.coalesce(inside & ~touch, F.lit(False)), "player_overlap")
         .when(F.col("heard").isNull(), "missing_audio")
-        .when(F.col("n") < 2, "insufficient_real_points")
-        .when(F.col("source").isin("curvature", "piecewise") & (~two | (F.col("n") < 3)), "missing_bidirectional_trajectory")
+        .when(F.col("n") < least, "insufficient_real_points")
+        .when(F.col("source").isin("curvature", "piecewise", "classical_piecewise") & (~two | (F.col("n") < max(3, least))), "missing_bidirectional_trajectory")
         .when(off > most_off, "trajectory_position_mismatch")
         .otherwise("accepted")
     )
-    return h.select("hit_id", "match_id", "frame", reason.alias("reason"), ((reason == "accepted") & F.col("real")).alias("ball_observed"))
+    return h.select("hit_id", "match_id", "frame", reason.alias("reason"), ((reason == "accepted") & F.col("o").isNotNull()).alias("ball_observed"))
 
 
 def uncertainty(hits: DataFrame, track: DataFrame, impulses: DataFrame, tolerance: int = 3, least_score: float = 0.72) -> DataFrame:
@@ -141,14 +146,40 @@ def infer_single_unknown(hits: DataFrame, least: float = 0.75, gap: int = 10) ->
     return h.where(ok).select("hit_id", F.when(F.col("p.hitter") == "near", "far").otherwise("near").alias("hitter"))
 
 
-def alternation(hits: DataFrame, threshold: float = 0.60) -> DataFrame:
-    """Repaired sides: exactly one hit between two consecutive anchors (confidence at ``threshold`` or more) of one side is the other side's, if it was unknown: hit_id, hitter, provenance."""
+def side_confidence(hitter: Column, confidence: Column) -> Column:
+    """K6: how sure a side is, 0 for none, a percentage read as such, 0.48 where nothing (or a negative number) is given."""
+    c = F.when(confidence > 1, confidence / 100).otherwise(confidence)
+    return F.when(~F.coalesce(hitter.isin("near", "far"), F.lit(False)), 0.0).when(c.isNull() | (c < 0), 0.48).otherwise(F.least(F.lit(1.0), c))
+
+
+def alternation(hits: DataFrame, threshold: float = 0.60, collision: int = 10, direction: tuple[str, str] | None = None) -> DataFrame:
+    """Sides repaired within rallies: hit_id, hitter, hitter_confidence, provenance.
+
+    Anchors are sides of confidence ``threshold`` or more, or 0.85 where the side is the sidecar's own (``hitter_source`` null or sidecar). Exactly one hit between two anchors of one side is
+    the other side's: if unknown it is inferred at 0.55; if it is weak, says otherwise and its direction (columns of side and confidence named by ``direction``, 0.45 or more) supports it, it
+    is corrected at 0.45 to 0.58. Not where the three collide: an edge exit or endpoint among them, or two at most ``collision`` frames apart.
+    """
     w = Window.partitionBy("match_id", "rally").orderBy("frame", "hit_id")
-    anchor = F.col("hitter").isin("near", "far") & (F.coalesce("hitter_confidence", F.lit(0.48)) >= threshold)
-    h = hits.where("rally > 0").withColumn("anchor", anchor).withColumn("row", F.struct("hitter", "anchor")).withColumns({"p": F.lag("row").over(w), "n": F.lead("row").over(w)})
-    fill = ~F.col("anchor") & F.col("p.anchor") & F.col("n.anchor") & (F.col("p.hitter") == F.col("n.hitter")) & (F.col("hitter") == "unknown")
-    side = F.when(F.coalesce(fill, F.lit(False)), F.when(F.col("p.hitter") == "near", "far").otherwise("near")).otherwise(F.col("hitter"))
-    return h.select("hit_id", side.alias("hitter"), F.when(F.coalesce(fill, F.lit(False)), "rally_alternation_inferred").when(F.col("hitter") == "unknown", "unknown").otherwise("sidecar").alias("provenance"))
+    conf = side_confidence(F.col("hitter"), F.col("hitter_confidence"))
+    source = F.lower(F.trim(F.coalesce("hitter_source", F.lit("sidecar"))))
+    h = hits.where("rally > 0").withColumns({"conf": conf, "own": source == "sidecar"})
+    anchor = F.col("hitter").isin("near", "far") & (F.col("conf") >= threshold) & (~F.col("own") | (F.col("conf") >= 0.85))
+    h = h.withColumn("row", F.struct("frame", "hitter", anchor.alias("anchor"), F.col("source").isin("edge_exit", "top_edge_exit", "endpoint", "classical_endpoint").alias("loose")))
+    h = h.withColumns({"p": F.lag("row").over(w), "n": F.lead("row").over(w)})
+    close = lambda a, b: (b - a).between(1, collision)
+    free = ~F.col("p.loose") & ~F.col("row.loose") & ~F.col("n.loose") & ~close(F.col("p.frame"), F.col("frame")) & ~close(F.col("frame"), F.col("n.frame"))
+    gap = F.coalesce(~F.col("row.anchor") & F.col("p.anchor") & F.col("n.anchor") & free & (F.col("p.hitter") == F.col("n.hitter")), F.lit(False))
+    other = F.when(F.col("p.hitter") == "near", "far").otherwise("near")
+    inferred = gap & (F.col("hitter") == "unknown")
+    says = F.lit(False)
+    if direction:
+        sure = F.when(F.col(direction[1]) > 1, F.col(direction[1]) / 100).otherwise(F.col(direction[1]))
+        says = F.coalesce((F.lower(F.trim(direction[0])) == other) & (sure >= 0.45), F.lit(False))
+    corrected = gap & (F.col("hitter") != "unknown") & (F.col("hitter") != other) & (F.col("conf") < threshold) & says
+    return h.select(
+        "hit_id", F.when(inferred | corrected, other).otherwise(F.col("hitter")).alias("hitter"), F.when(inferred, 0.55).when(corrected, F.least(F.lit(0.58), F.greatest(F.lit(0.45), F.col("conf")))).otherwise(F.col("conf")).alias("hitter_confidence"),
+        F.when(inferred, "rally_alternation_inferred").when(corrected, "rally_alternation_corrected").when(F.col("hitter") == "unknown", "unknown").otherwise(source).alias("provenance"),
+    )
 
 
 def receivers(hits: DataFrame) -> DataFrame:

@@ -147,3 +147,14 @@ def robust_z(series: DataFrame, value: str, radius: int = 100, guard: int = 5, f
     t = t.withColumn("med", F.expr("(ctx[cast(floor((size(ctx) - 1) / 2) as int)] + ctx[cast(floor(size(ctx) / 2) as int)]) / 2")).withColumn("dev", F.array_sort(F.transform("ctx", lambda v: F.abs(v - F.col("med")))))
     mad = F.expr("(dev[cast(floor((size(dev) - 1) / 2) as int)] + dev[cast(floor(size(dev) / 2) as int)]) / 2")
     return t.where("size(ctx) > 0").select("match_id", "frame", ((F.col(value) - F.col("med")) / (1.4826 * mad + floor)).alias("z"))
+
+
+def spline(track: DataFrame, steps: int = 12) -> DataFrame:
+    """Catmull-Rom points of every trail (consecutive visible frames): match_id, frame, step, x, y; ``steps`` for each segment and one for a trail's last point."""
+    t = at_offsets(track.where("vis").select("match_id", "frame", "x", "y"), ["x", "y"], [-1, 1, 2])
+    t = t.withColumn("step", F.explode(F.sequence(F.lit(0), F.when(F.col("x_p1").isNull(), 0).otherwise(steps - 1)))).withColumn("t", F.col("step") / steps)
+    for c in "xy":
+        p0, p1, p2 = F.coalesce(f"{c}_m1", c), F.col(c), F.coalesce(f"{c}_p1", c)
+        p3 = F.coalesce(F.when(F.col(f"{c}_p1").isNotNull(), F.col(f"{c}_p2")), f"{c}_p1", c)
+        t = t.withColumn(f"{c}_t", 0.5 * (2 * p1 + (p2 - p0) * F.col("t") + (2 * p0 - 5 * p1 + 4 * p2 - p3) * F.col("t") ** 2 + (3 * p1 - p0 - 3 * p2 + p3) * F.col("t") ** 3))
+    return t.select("match_id", "frame", F.col("step").cast("long").alias("step"), F.col("x_t").alias("x"), F.col("y_t").alias("y"))

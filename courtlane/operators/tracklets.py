@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 TRACK = ["match_id", "run", "track"]
 
 
+APPEARANCE = ("aspect", "density", "contrast")
+
+
+def with_appearance(df: DataFrame) -> DataFrame:
+    """``df`` with those of aspect, density and contrast that it lacks as nulls."""
+    return df.withColumns({c: F.lit(None).cast("double") for c in APPEARANCE if c not in df.columns})
+
+
 def measures(points: DataFrame) -> DataFrame:
-    """Per track of three points or more: start_frame, end_frame, n, median_speed, spread, fill, quality, rank, accel_p80, turn_p80, bend (path by displacement).
+    """Per track of three points or more: start_frame, end_frame, n, median_speed, spread, fill, quality, aspect, density, contrast (means), rank, accel_p80, turn_p80, bend (summed
+    speeds by displacement), min_y. Points need match_id, run, track, frame, x, y, quality, aspect, density, contrast.
 
     A track is as long as an unbroken flight, so windows and exact percentiles over it are small.
     """
     w = Window.partitionBy(*TRACK).orderBy("frame")
-    p = points.withColumns({"pf": F.lag("frame").over(w), "px": F.lag("x").over(w), "py": F.lag("y").over(w)})
+    p = with_appearance(points).withColumns({"pf": F.lag("frame").over(w), "px": F.lag("x").over(w), "py": F.lag("y").over(w)})
     p = p.withColumns({"vx": (F.col("x") - F.col("px")) / (F.col("frame") - F.col("pf")), "vy": (F.col("y") - F.col("py")) / (F.col("frame") - F.col("pf"))})
     p = p.withColumns({"wx": F.lag("vx").over(w), "wy": F.lag("vy").over(w), "v": F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2)})
     pv = F.sqrt(F.col("wx") ** 2 + F.col("wy") ** 2)
@@ -22,24 +31,19 @@ def measures(points: DataFrame) -> DataFrame:
     accel = F.sqrt((F.col("vx") - F.col("wx")) ** 2 + (F.col("vy") - F.col("wy")) ** 2)
     end = lambda f, c: f(F.col(c), F.col("frame"))
     g = p.groupBy(*TRACK).agg(
-        F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count("*").alias("n"), F.percentile("v", F.lit(0.5)).alias("median_speed"), (F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("spread"), F.avg("quality").alias("quality"),
+        F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count("*").alias("n"), F.percentile("v", F.lit(0.5)).alias("median_speed"), (F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("spread"), F.min("y").alias("min_y"), *[F.avg(c).alias(c) for c in ("quality", *APPEARANCE)],
         F.coalesce(F.percentile(accel, F.lit(0.8)), F.lit(0.0)).alias("accel_p80"), F.coalesce(F.percentile(turn, F.lit(0.8)), F.lit(0.0)).alias("turn_p80"), F.sum("v").alias("path"), end(F.min_by, "x").alias("x0"), end(F.min_by, "y").alias("y0"), end(F.max_by, "x").alias("x1"), end(F.max_by, "y").alias("y1"),
     ).where("n >= 3")
     g = g.withColumn("fill", F.col("n") / F.greatest(F.lit(1), F.col("end_frame") - F.col("start_frame") + 1))
     rank = F.col("quality") + 0.05 * F.least(F.col("n"), F.lit(20)) + 0.01 * F.least(F.col("spread"), F.lit(100.0)) - 0.03 * F.abs(F.col("median_speed") - 12.0) + 0.3 * F.col("fill")
     bend = F.col("path") / F.greatest(F.lit(1.0), F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2))
-    return g.select(*TRACK, "start_frame", "end_frame", "n", "median_speed", "spread", "fill", "quality", rank.alias("rank"), "accel_p80", "turn_p80", bend.alias("bend"))
+    return g.select(*TRACK, "start_frame", "end_frame", "n", "median_speed", "spread", "fill", "quality", "aspect", "density", "contrast", rank.alias("rank"), "accel_p80", "turn_p80", bend.alias("bend"), "min_y")
 
 
 def plausible(m: DataFrame) -> DataFrame:
     return m.where("median_speed between 2.5 and 90 and spread >= 25 and fill >= 0.55")
 
 
-def strict(m: DataFrame, n: int = 8, rank: float = 3.0, quality: float = 1.5, fill: float = 0.62, accel: float = 40.0, turn: float = 60.0, bend: float = 2.5) -> DataFrame:
-    """Tracks through the strict gates."""
-    return m.where((F.col("n") >= n) & (F.col("rank") >= rank) & (F.col("quality") >= quality) & (F.col("fill") >= fill) & (F.col("accel_p80") <= accel) & (F.col("turn_p80") <= turn) & (F.col("bend") <= bend))
-
-
 def trim_abrupt(points: DataFrame, most: float = 28.0, keep: int = 3) -> DataFrame:
     """Each track up to its first abrupt step after ``keep`` points: acceleration over ``most`` px, or a turn over 65 degrees at speeds over 10."""
     w = Window.partitionBy(*TRACK).orderBy("frame")
@@ -58,7 +62,8 @@ def one_owner(points: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def span_suppression(m: DataFrame, overlap: float = 0.42) -> DataFrame:
-    """Tracks by falling rank, each kept unless a kept one covers ``overlap`` of the shorter span; groups of overlapping spans are folded one by one. The window runs over tracks, not frames."""
+    """Tracks by falling rank, each kept unless a kept one covers ``overlap`` of the shorter span. Groups of overlapping spans are folded one by one; as many tracks can overlap as
+    a frame has candidates, and a group ends where no track goes on. The window runs over tracks, not frames."""
     w = Window.partitionBy("match_id").orderBy("start_frame", "end_frame", "run", "track")
     reach = F.max("end_frame").over(w.rowsBetween(Window.unboundedPreceding, -1))
     g = m.withColumn("o", F.when(reach.isNull() | (F.col("start_frame") > reach), 1).otherwise(0)).withColumn("g", F.sum("o").over(w))

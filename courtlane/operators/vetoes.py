@@ -93,24 +93,61 @@ def isolated_phase(phases: DataFrame, edge_y: float = 35, bridge: float = 110, r
     return p.where(~kept).select("match_id", "frame")
 
 
-def short_branches(track: DataFrame, jump: float = 240, longest: int = 3) -> DataFrame:
-    """Branches of at most ``longest`` frames that a jump of ``jump`` px or more cuts off inside a run of visible frames: match_id, frame, branch (its first frame)."""
-    t = at_offsets(track.where("vis").select("match_id", "frame", "x", "y"), ["x", "y"], [-1])
-    far = F.sqrt((F.col("x") - F.col("x_m1")) ** 2 + (F.col("y") - F.col("y_m1")) ** 2)
-    t = anchors(t, before={"branch": F.when(F.col("x_m1").isNull() | (far >= jump), F.col("frame"))}, own=True)
-    t = t.withColumn("cut", F.col("x_m1").isNotNull() & (F.col("frame") == F.col("branch")))
+def short_branches(track: DataFrame, jump: float = 240, longest: int = 3, acceleration: float = 45) -> DataFrame:
+    """Branches of at most ``longest`` frames that a split cuts off inside a run of visible frames: match_id, frame, branch (its first frame). A run splits at a step of ``jump`` px or more,
+    and where the velocity changes by ``acceleration`` px or more and turns back."""
+    t = at_offsets(track.where("vis").select("match_id", "frame", "x", "y"), ["x", "y"], [-2, -1])
+    vx, vy, ux, uy = F.col("x") - F.col("x_m1"), F.col("y") - F.col("y_m1"), F.col("x_m1") - F.col("x_m2"), F.col("y_m1") - F.col("y_m2")
+    turned = F.coalesce((F.sqrt((vx - ux) ** 2 + (vy - uy) ** 2) >= acceleration) & (vx * ux + vy * uy < 0), F.lit(False))
+    cut = F.coalesce((F.sqrt(vx**2 + vy**2) >= jump) | turned & F.col("x_m1").isNotNull(), F.lit(False))
+    t = t.withColumn("cut", cut)
+    t = anchors(t, before={"branch": F.when(F.col("x_m1").isNull() | F.col("cut"), F.col("frame"))}, own=True)
     small = t.groupBy("match_id", "branch").agg(F.count("*").alias("n"), F.max(F.col("cut").cast("int")).alias("cut")).where((F.col("n") <= longest) & (F.col("cut") == 1))
     return t.join(small, ["match_id", "branch"], "left_semi").select("match_id", "frame", "branch")
 
 
-def coherent_dual_motion(phases: DataFrame, agree: float = 25, least: int = 2, most: int = 8, median_step: float = 12, path: float = 80) -> DataFrame:
-    """Runs of ``least`` to ``most`` frames on which both phases agree and the ball moves on: match_id, start_frame, end_frame, path_px, step_px."""
-    ok = F.col("a_vis") & F.col("b_vis") & (F.sqrt((F.col("a_x") - F.col("b_x")) ** 2 + (F.col("a_y") - F.col("b_y")) ** 2) <= agree)
-    t = at_offsets(phases.where(ok).select("match_id", "frame", "a_x", "a_y"), ["a_x", "a_y"], [-1])
-    r = runs(t, F.lit(True))
-    step = F.when(F.col("frame") > F.col("run"), F.sqrt((F.col("a_x") - F.col("a_x_m1")) ** 2 + (F.col("a_y") - F.col("a_y_m1")) ** 2))
-    g = r.groupBy("match_id", "run").agg(F.max("frame").alias("end_frame"), F.count("*").alias("n"), F.sum(step).alias("path_px"), F.percentile(step, F.lit(0.5)).alias("step_px"))
-    return g.where((F.col("n").between(least, most)) & (F.col("step_px") >= median_step) & (F.col("path_px") >= path)).select("match_id", F.col("run").alias("start_frame"), "end_frame", "path_px", "step_px")
+def unsupported_branches(branches: DataFrame, track: DataFrame, players: DataFrame, wrong: float = 8, box: float = 42, contact: float = 90) -> DataFrame:
+    """Frames of branches (match_id, frame, branch) that no player explains: match_id, frame. A branch goes if its first point lies more than ``box`` px from every box and ``contact`` px
+    from every wrist of its nearest player (match_id, frame, side, b0..b3, kp), or there is none, or if it moves by more than ``wrong`` px a frame towards that player's own side."""
+    p = track.where("vis").select("match_id", "frame", "x", "y")
+    v = at_offsets(p, ["y"], [-1, 1])
+    size = branches.groupBy("match_id", "branch").agg(F.count("*").alias("n"))
+    first = size.withColumnRenamed("branch", "frame").join(v, ["match_id", "frame"])
+    first = first.withColumn("vy", F.when(F.col("n") >= 2, F.col("y_p1") - F.col("y")).otherwise(F.coalesce(F.col("y") - F.col("y_m1"), F.lit(0.0))))
+    out = lambda c, a, b: F.greatest(F.col(a) - F.col(c), F.lit(0.0), F.col(c) - F.col(b))
+    to_box = F.sqrt(out("x", "b0", "b2") ** 2 + out("y", "b1", "b3") ** 2)
+    wrist = F.least(*[F.expr(G.dist("x", "y", f"kp[{k}].x", f"kp[{k}].y")) for k in (9, 10)])
+    near = first.join(players.select("match_id", "frame", "side", "b0", "b1", "b2", "b3", "kp"), ["match_id", "frame"]).groupBy("match_id", "frame").agg(F.min(F.struct(F.least(to_box, wrist).alias("m"), "side", to_box.alias("box"), wrist.alias("wrist"))).alias("p"))
+    j = first.join(near, ["match_id", "frame"], "left")
+    back = F.coalesce((F.col("p.side") == "far") & (F.col("vy") < -wrong) | (F.col("p.side") == "near") & (F.col("vy") > wrong), F.lit(False))
+    gone = j.where(F.col("p").isNull() | (F.col("p.box") > box) & (F.col("p.wrist") > contact) | back).select("match_id", F.col("frame").alias("branch"))
+    return branches.join(gone, ["match_id", "branch"], "left_semi").select("match_id", "frame")
+
+
+def coherent_dual_motion(phases: DataFrame, merged: DataFrame, candidates: DataFrame, cut, excluded: DataFrame | None = None, agree: float = 25, least: int = 2, most: int = 8, median_step: float = 12, path: float = 80, spread: float = 35, support: float = 10, delta: float = 18, edge_y: float = 35) -> DataFrame:
+    """Short, fast flights that both phases saw by themselves, to be kept from vetoes: match_id, start_frame, end_frame, path_px, step_px, spread_px, delta_px.
+
+    ``phases`` has a_ and b_ columns, ``merged`` (match_id, frame, vis, x, y, label) their union, ``candidates`` (match_id, frame) the frames in question, ``cut`` is true on camera cuts and
+    ``excluded`` lists frames that may not take part. A run holds ``least`` to ``most`` neighbouring candidates of label model below the edge zone on which both phases agree, and the two frames
+    on either side agree too, in the same camera segment. Over all of them the median step, the path and the spread from the median point are large enough, the two frames of either side move by
+    ``support`` px, and the phases' steps differ by ``delta`` px at most (median).
+    """
+    both = F.col("a_vis") & F.col("b_vis") & (F.sqrt((F.col("a_x") - F.col("b_x")) ** 2 + (F.col("a_y") - F.col("b_y")) ** 2) <= agree)
+    seg = segments(phases.select("match_id", "frame", both.alias("both"), "a_x", "a_y", "b_x", "b_y"), cut).where("both").drop("both")
+    d = seg.join(merged.where("vis").select("match_id", "frame", "x", "y", "label"), ["match_id", "frame"])
+    if excluded is not None:
+        d = d.join(excluded.select("match_id", "frame").distinct(), ["match_id", "frame"], "left_anti")
+    on = d.join(candidates.select("match_id", "frame").distinct(), ["match_id", "frame"], "left_semi").where((F.col("label") == "model") & (F.col("y") > edge_y)).select("match_id", "frame", "segment")
+    r = runs(on, F.lit(True), by="segment").groupBy("match_id", "segment", "run").agg(F.max("frame").alias("end"), F.count("*").alias("n")).where(F.col("n").between(least, most))
+    local = r.withColumn("frame", F.explode(F.sequence(F.col("run") - 2, F.col("end") + 2))).join(d.drop("label"), ["match_id", "segment", "frame"])
+    g = local.groupBy("match_id", "run", "end", "n").agg(F.sort_array(F.collect_list(F.struct("frame", "x", "y", "a_x", "a_y", "b_x", "b_y"))).alias("p")).where("size(p) = n + 4")
+    step = lambda x, y: f"transform(sequence(0, size(p) - 2), i -> sqrt(power(p[i + 1].{x} - p[i].{x}, 2) + power(p[i + 1].{y} - p[i].{y}, 2)))"
+    middle = lambda a: f"(sort_array({a})[cast(floor((size({a}) - 1) / 2) as int)] + sort_array({a})[cast(floor(size({a}) / 2) as int)]) / 2"
+    g = g.withColumns({"v": F.expr(step("x", "y")), "dv": F.expr("transform(sequence(0, size(p) - 2), i -> sqrt(power((p[i + 1].a_x - p[i].a_x) - (p[i + 1].b_x - p[i].b_x), 2) + power((p[i + 1].a_y - p[i].a_y) - (p[i + 1].b_y - p[i].b_y), 2)))"), "xs": F.expr("transform(p, q -> q.x)"), "ys": F.expr("transform(p, q -> q.y)")})
+    g = g.withColumns({"step_px": F.expr(middle("v")), "delta_px": F.expr(middle("dv")), "mx": F.expr(middle("xs")), "my": F.expr(middle("ys")), "path_px": F.expr("aggregate(v, 0D, (a, e) -> a + e)")})
+    g = g.withColumn("spread_px", F.expr("array_max(transform(p, q -> sqrt(power(q.x - mx, 2) + power(q.y - my, 2))))"))
+    ok = (F.col("step_px") >= median_step) & (F.col("path_px") >= path) & (F.col("spread_px") >= spread) & (F.col("v")[0] >= support) & (F.element_at("v", -1) >= support) & (F.col("delta_px") <= delta)
+    return g.where(ok).select("match_id", F.col("run").alias("start_frame"), F.col("end").alias("end_frame"), "path_px", "step_px", "spread_px", "delta_px")
 
 
 def interstitial_branches(track: DataFrame, cut, top: float = 80, core: float = 35, most: int = 40, off: float = 110, span: float = 6) -> DataFrame:

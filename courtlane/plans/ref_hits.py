@@ -64,13 +64,14 @@ def f10_edge_exits(spark, sf):
 
 _EV = """ask AS (SELECT h.hit_id, h.match_id, h.frame, h.x, h.y, h.source FROM hits h),
 rp AS (SELECT match_id, frame, x, y FROM track WHERE vis AND source IN ('model', 'classical')),
-nr AS (SELECT a.hit_id, count(r.frame) AS n, arg_max(struct_pack(f := r.frame, x := r.x, y := r.y), r.frame) FILTER (r.frame < a.frame) AS l, arg_min(struct_pack(f := r.frame, x := r.x, y := r.y), r.frame) FILTER (r.frame > a.frame) AS r, any_value(r.x) FILTER (r.frame = a.frame) AS ox, any_value(r.y) FILTER (r.frame = a.frame) AS oy FROM ask a LEFT JOIN rp r ON r.match_id = a.match_id AND r.frame BETWEEN a.frame - 6 AND a.frame + 6 GROUP BY a.hit_id),
-au AS (SELECT DISTINCT a.hit_id FROM ask a JOIN impulses i ON i.match_id = a.match_id AND i.frame BETWEEN a.frame - 5 AND a.frame + 5),
+nr AS (SELECT a.hit_id, count(r.frame) AS n, arg_max(struct_pack(f := r.frame, x := r.x, y := r.y), r.frame) FILTER (r.frame < a.frame) AS l, arg_min(struct_pack(f := r.frame, x := r.x, y := r.y), r.frame) FILTER (r.frame > a.frame) AS r, any_value(r.x) FILTER (r.frame = a.frame) AS ox, any_value(r.y) FILTER (r.frame = a.frame) AS oy FROM ask a LEFT JOIN rp r ON r.match_id = a.match_id AND r.frame BETWEEN a.frame - 10 AND a.frame + 10 GROUP BY a.hit_id),
+au AS (SELECT DISTINCT a.hit_id FROM ask a JOIN impulses i ON i.match_id = a.match_id AND i.frame BETWEEN a.frame - 6 AND a.frame + 6),
 bx AS (SELECT a.hit_id, bool_or(a.x BETWEEN b0 - 8 AND b2 + 8 AND a.y BETWEEN b1 - 8 AND b3 + 8) AS inside, bool_or(least(sqrt((a.x - kp[10].x) * (a.x - kp[10].x) + (a.y - kp[10].y) * (a.y - kp[10].y)), sqrt((a.x - kp[11].x) * (a.x - kp[11].x) + (a.y - kp[11].y) * (a.y - kp[11].y))) <= 45) AS touch FROM ask a JOIN poses USING (match_id, frame) GROUP BY a.hit_id),
-al AS (SELECT a.*, t.source AS ts, n, l, r, ox, oy, au.hit_id IS NOT NULL AS heard, coalesce(inside AND NOT touch, false) AS body, (a.frame - l.f) / (r.f - l.f) AS w FROM ask a JOIN nr USING (hit_id) LEFT JOIN track t ON t.match_id = a.match_id AND t.frame = a.frame LEFT JOIN au ON au.hit_id = a.hit_id LEFT JOIN bx ON bx.hit_id = a.hit_id),
+mf AS (SELECT match_id, max(frame) AS stop FROM track GROUP BY match_id),
+al AS (SELECT a.*, stop, t.source AS ts, n, l, r, ox, oy, au.hit_id IS NOT NULL AS heard, coalesce(inside AND NOT touch, false) AS body, (a.frame - l.f) / (r.f - l.f) AS w FROM ask a JOIN nr USING (hit_id) LEFT JOIN track t ON t.match_id = a.match_id AND t.frame = a.frame LEFT JOIN mf ON mf.match_id = a.match_id LEFT JOIN au ON au.hit_id = a.hit_id LEFT JOIN bx ON bx.hit_id = a.hit_id),
 es AS (SELECT *, CASE WHEN ox IS NOT NULL THEN ox WHEN l IS NOT NULL AND r IS NOT NULL THEN l.x * (1 - w) + r.x * w ELSE coalesce(l.x, r.x) END AS ex, CASE WHEN ox IS NOT NULL THEN oy WHEN l IS NOT NULL AND r IS NOT NULL THEN l.y * (1 - w) + r.y * w ELSE coalesce(l.y, r.y) END AS ey FROM al),
-ev AS (SELECT hit_id, match_id, frame, ox IS NOT NULL AS seen, CASE WHEN source = 'audio_pose' THEN 'pose_only' WHEN ts IS NULL OR x IS NULL OR y IS NULL THEN 'invalid_frame_or_position' WHEN ts IN ('model_edge', 'single_phase_edge', 'classical_gap', 'offscreen_bridge') THEN 'edge_or_derived_event' WHEN body THEN 'player_overlap' WHEN NOT heard THEN 'missing_audio'
- WHEN n < 2 THEN 'insufficient_real_points' WHEN source IN ('curvature', 'piecewise') AND (l IS NULL OR r IS NULL OR n < 3) THEN 'missing_bidirectional_trajectory' WHEN sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey)) > 70 THEN 'trajectory_position_mismatch' ELSE 'accepted' END AS reason FROM es)"""
+ev AS (SELECT hit_id, match_id, frame, ox IS NOT NULL AS seen, CASE WHEN source = 'audio_pose' THEN 'pose_only' WHEN frame < 0 OR coalesce(frame > stop, true) OR x IS NULL OR y IS NULL THEN 'invalid_frame_or_position' WHEN ts IN ('model_edge', 'single_phase_edge', 'classical_gap', 'offscreen_bridge') THEN 'edge_or_derived_event' WHEN body THEN 'player_overlap' WHEN NOT heard THEN 'missing_audio'
+ WHEN n < 2 THEN 'insufficient_real_points' WHEN source IN ('curvature', 'piecewise') AND (l IS NULL OR r IS NULL OR n < 3) THEN 'missing_bidirectional_trajectory' WHEN sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey)) > 90 THEN 'trajectory_position_mismatch' ELSE 'accepted' END AS reason FROM es)"""
 
 
 @add("track hits impulses poses", _EV, "SELECT hit_id, match_id, frame, reason, reason = 'accepted' AND seen AS ball_observed FROM ev")
@@ -151,12 +152,17 @@ def f26_infer_single_unknown(spark, sf):
     return H.infer_single_unknown(hits(spark, sf))
 
 
-_ANCH = "struct_pack(h := hitter, a := hitter IN ('near', 'far') AND coalesce(hitter_confidence, 0.48) >= 0.6)"
+_ALT = """z0 AS (SELECT *, lower(trim(coalesce(hitter_source, 'sidecar'))) AS src, source IN ('edge_exit', 'top_edge_exit', 'endpoint', 'classical_endpoint') AS loose, CASE WHEN hitter NOT IN ('near', 'far') THEN 0 WHEN hitter_confidence IS NULL OR hitter_confidence < 0 THEN 0.48 WHEN hitter_confidence > 1 THEN least(1, hitter_confidence / 100) ELSE hitter_confidence END AS c FROM hits WHERE rally > 0),
+z1 AS (SELECT *, hitter IN ('near', 'far') AND c >= CASE WHEN src = 'sidecar' THEN 0.85 ELSE 0.6 END AS anchor FROM z0),
+z2 AS (SELECT *, lag(anchor) OVER w AND lead(anchor) OVER w AND NOT anchor AND lag(hitter) OVER w = lead(hitter) OVER w AND NOT loose AND NOT lag(loose) OVER w AND NOT lead(loose) OVER w AND NOT (frame - lag(frame) OVER w BETWEEN 1 AND 10) AND NOT (lead(frame) OVER w - frame BETWEEN 1 AND 10) AS gap, CASE lag(hitter) OVER w WHEN 'near' THEN 'far' ELSE 'near' END AS other FROM z1 WINDOW w AS (PARTITION BY match_id, rally ORDER BY frame, hit_id)),
+z3 AS (SELECT *, coalesce(gap AND hitter = 'unknown', false) AS inf, coalesce(gap AND hitter NOT IN ('unknown', other) AND c < 0.6 AND speed >= 45, false) AS cor FROM z2)"""
 
 
-@add("hits", f"z AS (SELECT *, lag({_ANCH}) OVER w AS p, lead({_ANCH}) OVER w AS n FROM hits WHERE rally > 0 WINDOW w AS (PARTITION BY match_id, rally ORDER BY frame, hit_id)), y AS (SELECT *, coalesce(hitter = 'unknown' AND p.a AND n.a AND p.h = n.h, false) AS fill FROM z)", "SELECT hit_id, CASE WHEN fill THEN CASE WHEN p.h = 'near' THEN 'far' ELSE 'near' END ELSE hitter END AS hitter, CASE WHEN fill THEN 'rally_alternation_inferred' WHEN hitter = 'unknown' THEN 'unknown' ELSE 'sidecar' END AS provenance FROM y")
+@add("hits", _ALT, "SELECT hit_id, CASE WHEN inf OR cor THEN other ELSE hitter END AS hitter, round(CASE WHEN inf THEN 0.55 WHEN cor THEN least(0.58, greatest(0.45, c)) ELSE c END, 6) AS hitter_confidence, CASE WHEN inf THEN 'rally_alternation_inferred' WHEN cor THEN 'rally_alternation_corrected' WHEN hitter = 'unknown' THEN 'unknown' ELSE src END AS provenance FROM z3")
 def f27_alternation(spark, sf):
-    return H.alternation(hits(spark, sf))
+    """With K6. There is no direction of flight per hit; the other side, as sure as the speed in percent, stands for it."""
+    h = hits(spark, sf).withColumns({"towards": F.when(F.col("hitter") == "near", "far").otherwise("near"), "sure": F.col("speed") / 100})
+    return H.alternation(h, direction=("towards", "sure")).withColumn("hitter_confidence", F.round("hitter_confidence", 6))
 
 
 @add("hits", "", "SELECT hit_id, CAST(row_number() OVER (PARTITION BY match_id, rally ORDER BY frame, hit_id) AS BIGINT) AS rally_hit_index FROM hits WHERE rally > 0")

@@ -267,28 +267,16 @@ def f33_trails(spark, sf):
     return r.groupBy("match_id", F.col("run").alias("start_frame")).agg(F.max("frame").alias("end_frame"), F.count("*").alias("points")).where("points >= 2")
 
 
-_CR = "c AS (SELECT match_id, frame, p[1] AS p0, x AS p1, p[2] AS p2, p[3] AS p3 FROM (SELECT a.match_id, a.frame, a.x, [z.x, b.x, c.x] AS p FROM track a JOIN track z ON z.match_id = a.match_id AND z.frame = a.frame - 1 JOIN track b ON b.match_id = a.match_id AND b.frame = a.frame + 1 JOIN track c ON c.match_id = a.match_id AND c.frame = a.frame + 2 WHERE a.vis AND z.vis AND b.vis AND c.vis AND a.frame % 50 = 0))"
+_CR = """tr AS (SELECT match_id, frame, x, y, frame - row_number() OVER (PARTITION BY match_id ORDER BY frame) AS g FROM track WHERE vis),
+cr AS (SELECT match_id, frame, lead(frame) OVER w IS NULL AS final, """ + ", ".join(f"coalesce(lag({c}) OVER w, {c}) AS {c}0, {c} AS {c}1, coalesce(lead({c}) OVER w, {c}) AS {c}2, coalesce(lead({c}, 2) OVER w, lead({c}) OVER w, {c}) AS {c}3" for c in "xy") + """ FROM tr WINDOW w AS (PARTITION BY match_id, g ORDER BY frame)),
+cs AS (SELECT *, k / 12 AS t FROM cr, (SELECT unnest(range(0, 12)) AS k) WHERE k = 0 OR NOT final)"""
+_CRE = lambda c: f"round(0.5 * (2 * {c}1 + ({c}2 - {c}0) * t + (2 * {c}0 - 5 * {c}1 + 4 * {c}2 - {c}3) * t * t + (3 * {c}1 - {c}0 - 3 * {c}2 + {c}3) * t * t * t), 6) AS {c}"
 
 
-@add("track", _CR, "SELECT match_id, frame, CAST(k AS BIGINT) AS step, round(0.5 * (2 * p1 + (p2 - p0) * t + (2 * p0 - 5 * p1 + 4 * p2 - p3) * t * t + (3 * p1 - p0 - 3 * p2 + p3) * t * t * t), 6) AS x FROM (SELECT *, k / 12 AS t FROM c, (SELECT unnest(range(0, 12)) AS k))")
+@add("track", _CR, f"SELECT match_id, frame, CAST(k AS BIGINT) AS step, {_CRE('x')}, {_CRE('y')} FROM cs")
 def b30_catmull_rom(spark, sf):
-    """Twelve spline points after every 50th frame: drawing points, made where asked for."""
-    t = at_offsets(track(spark, sf).where("vis").select("match_id", "frame", "x"), ["x"], [-1, 1, 2]).where("frame % 50 = 0 and x_m1 is not null and x_p1 is not null and x_p2 is not null")
-    t = t.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    e = "0.5D * (2 * x + (x_p1 - x_m1) * t + (2 * x_m1 - 5 * x + 4 * x_p1 - x_p2) * t * t + (3 * x - x_m1 - 3 * x_p1 + x_p2) * t * t * t)"
-    return t.withColumn("t", F.col("step") / 12).select("match_id", "frame", F.col("step").cast("long").alias("step"), F.round(F.expr(e), 6).alias("x"))
-
-
-@add()
-def b30b_catmull_rom_trails(spark, sf):
-    """The whole of B30, x and y: twelve points for every segment of every trail (consecutive visible frames) and its last point. A trail's ends stand in for the points beyond them.
-    No SQL: that of b30_catmull_rom holds every 50th inner segment."""
-    t = at_offsets(track(spark, sf).where("vis").select("match_id", "frame", "x", "y"), ["x", "y"], [-1, 1, 2])
-    t = t.withColumn("step", F.explode(F.sequence(F.lit(0), F.when(F.col("x_p1").isNull(), 0).otherwise(11)))).withColumn("t", F.col("step") / 12)
-    for c in "xy":
-        t = t.withColumns({"p0": F.coalesce(f"{c}_m1", c), "p1": F.col(c), "p2": F.coalesce(f"{c}_p1", c), "p3": F.coalesce(F.when(F.col(f"{c}_p1").isNotNull(), F.col(f"{c}_p2")), f"{c}_p1", c)})
-        t = t.withColumn(f"{c}_t", F.round(F.expr("0.5D * (2 * p1 + (p2 - p0) * t + (2 * p0 - 5 * p1 + 4 * p2 - p3) * t * t + (3 * p1 - p0 - 3 * p2 + p3) * t * t * t)"), 6))
-    return t.select("match_id", "frame", F.col("step").cast("long").alias("step"), F.col("x_t").alias("x"), F.col("y_t").alias("y"))
+    """Twelve points for every segment of every trail (consecutive visible frames) and its last point. A trail's ends stand in for the points beyond them."""
+    return S.spline(track(spark, sf)).select("match_id", "frame", "step", *r6("x", "y"))
 
 
 _FIT = "q AS (SELECT a.match_id, a.frame, count(b.x) AS n, " + ", ".join(f"sum(power(b.frame - a.frame, {k})) AS s{k}" for k in range(1, 5)) + ", sum(b.x) AS t0, sum((b.frame - a.frame) * b.x) AS t1, sum(power(b.frame - a.frame, 2) * b.x) AS t2 FROM track a JOIN track b ON a.match_id = b.match_id AND b.frame BETWEEN a.frame - 3 AND a.frame + 3 AND b.vis WHERE a.vis GROUP BY 1, 2), d AS (SELECT *, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM q WHERE n >= 5)"

@@ -73,19 +73,13 @@ def a08_coco_json(spark, sf):
     return R.coco_json(with_info(track(spark, sf), spark, sf), F.col("width"), F.col("height"))
 
 
-_SEG = "s AS (SELECT DISTINCT match_id, segment_index, rally_id, start_frame, end_frame, hit_count, quality FROM rally_segment WHERE cut_run = 'cut-1' AND match_id IS NOT NULL AND segment_index IS NOT NULL)"
+_SEG = "s AS (SELECT DISTINCT match_id, cut_run, segment_index, rally_id, start_frame, end_frame, hit_count, quality FROM rally_segment WHERE match_id IS NOT NULL)"
+_FIELD = lambda c, text=False: f"""CASE WHEN {c} IS NULL THEN NULL ELSE '"{c}":' || {f"'\"' || {c} || '\"'" if text else c} END"""
 
 
-@add("", _SEG, """SELECT match_id, CAST(count(*) AS BIGINT) AS segments, '{"count":' || count(*) || ',"segments":[' || string_agg('{"segment_index":' || segment_index || CASE WHEN rally_id IS NULL THEN '' ELSE ',"rally_id":' || rally_id END || CASE WHEN start_frame IS NULL THEN '' ELSE ',"start_frame":' || start_frame END ||
- CASE WHEN end_frame IS NULL THEN '' ELSE ',"end_frame":' || end_frame END || CASE WHEN hit_count IS NULL THEN '' ELSE ',"hit_count":' || hit_count END || CASE WHEN quality IS NULL THEN '' ELSE ',"quality":"' || quality || '"' END || '}', ',' ORDER BY segment_index, rally_id NULLS FIRST, start_frame NULLS FIRST, end_frame NULLS FIRST, hit_count NULLS FIRST, quality NULLS FIRST) || ']}' AS manifest FROM s GROUP BY match_id""")
+@add("", _SEG, "SELECT match_id, cut_run, CAST(count(*) AS BIGINT) AS segments, '{\"count\":' || count(*) || ',\"segments\":[' || string_agg('{' || concat_ws(',', " + ", ".join([*[_FIELD(c) for c in ("segment_index", "rally_id", "start_frame", "end_frame", "hit_count")], _FIELD("quality", True)]) + ") || '}', ',' ORDER BY segment_index NULLS FIRST, rally_id NULLS FIRST, start_frame NULLS FIRST, end_frame NULLS FIRST, hit_count NULLS FIRST, quality NULLS FIRST) || ']}' AS manifest FROM s GROUP BY match_id, cut_run")
 def a09_rally_manifest(spark, sf):
-    s = table(spark, sf, "rally_segment").where("cut_run = 'cut-1' and match_id is not null and segment_index is not null")
-    return R.rally_manifest(s.select("match_id", "segment_index", "rally_id", "start_frame", "end_frame", "hit_count", "quality").distinct())
-
-
-@add()
-def a09b_run_manifests(spark, sf):
-    """The whole of A9: one manifest per match and cutting run (null is a run of its own) over all rows of a match. No SQL: that of a09_rally_manifest holds the first run only."""
+    """One manifest per match and cutting run (null is a run of its own) over all rows of a match."""
     s = table(spark, sf, "rally_segment").where("match_id is not null")
     return R.rally_manifest(s.select("match_id", "cut_run", "segment_index", "rally_id", "start_frame", "end_frame", "hit_count", "quality").distinct(), "cut_run")
 
@@ -164,7 +158,7 @@ scalar("b18_target_half", "Whether a landing lies in the half that the hitter ai
 scalar("b19_zone", "Zone by the distance to the own net.", zone=G.zone(f"abs(({_Y}) - {G.COURT_L / 2})"))
 scalar("b13_detect_roi", "Detection window around the expanded court.", **{n: _R(e) for n, e in {"left_px": f"greatest(0, least(least({_WIDE[0]}, {_WIDE[2]}), least({_WIDE[4]}, {_WIDE[6]})))", "right_px": f"least(width, greatest(greatest({_WIDE[0]}, {_WIDE[2]}), greatest({_WIDE[4]}, {_WIDE[6]})))", "top_px": f"greatest(0, least(least({_WIDE[1]}, {_WIDE[3]}), least({_WIDE[5]}, {_WIDE[7]})))", "bottom_px": f"least(height, greatest(greatest({_WIDE[1]}, {_WIDE[3]}), greatest({_WIDE[5]}, {_WIDE[7]})))"}.items()})
 scalar("b23_timecode", "Timecode and seconds of a frame.", seconds=_R("frame / fps"), code=G.timecode("frame / fps"))
-scalar("b29_curves", "Smooth step over the first 100 frames and an orbit around it.", step=_R("({0}) * ({0}) * (3 - 2 * ({0}))".format("least(1, greatest(0, frame / 1e2))")), orbit=_R("0.5 + 0.5 * sin(frame / 5e1)"))
+scalar("b29_curves", "Smooth step over the first 100 frames, and where the orbit camera is on its way round (radius 36 px, roll 4 degrees, zoom 1.12).", step=_R("({0}) * ({0}) * (3 - 2 * ({0}))".format("least(1, greatest(0, frame / 1e2))")), **{n: f"{_R(e)} + 0" for n, e in G.orbit("frame / 1e2", 36, 4, 1.12).items()})
 
 
 @add("info", "", f"SELECT match_id, round({G.case((f'{_SCALE} IS NULL', '800'), other=G.clip(_SCALE, 400, 1800))}, 6) AS scale FROM info")

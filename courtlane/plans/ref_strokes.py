@@ -71,15 +71,15 @@ def h05_probability(spark, sf):
 _, _YM = G.project("x", "y")
 _XM = G.project("x", "y")[0]
 _STROKE = f"""st0 AS (SELECT h.*, {_XM} AS mx, {_YM} AS my FROM hits h JOIN info USING (match_id) WHERE rally > 0),
-st1 AS (SELECT *, {G.zone(f'abs(my - {G.COURT_L / 2})')} AS origin, row_number() OVER w AS idx, lead(mx) OVER w AS nx FROM st0 WINDOW w AS (PARTITION BY match_id, rally ORDER BY frame, hit_id)),
+st1 AS (SELECT *, {G.zone(f'abs(my - {G.COURT_L / 2})')} AS origin, row_number() OVER w AS idx, lead(mx) OVER w AS nx, lead(hitter) OVER w AS next_hitter FROM st0 WINDOW w AS (PARTITION BY match_id, rally ORDER BY frame, hit_id)),
 st AS (SELECT *, lead(origin) OVER (PARTITION BY match_id, rally ORDER BY frame, hit_id) AS receiver, coalesce(abs(nx - mx), 0) AS lat_m, 3 + hit_id % 8 AS points, (hit_id % 30) / 1e2 AS arc, (hit_id % 17) / 1e1 AS flight, (hit_id % 101) / 1e2 AS pct, hit_id % 3 <> 0 AS reliable, hit_id % 2 = 0 AS high, coalesce(score >= 0.55, false) AS candidate, coalesce(NOT uncertain AND score >= 0.6, false) AS confirmed FROM st1)"""
 
 
 def _strokes(spark, sf):
-    """Hits as strokes: zones and lateral distance from the court positions, the rest made from hit_id."""
+    """Hits as strokes: zones and lateral distance from the court positions, the rest made from hit_id; the receiver's side is inferred where the next hit's hitter is unknown."""
     h = with_info(hits(spark, sf).where("rally > 0"), spark, sf).withColumns({"mx": F.expr(_XM), "my": F.expr(_YM)})
     w = Window.partitionBy("match_id", "rally").orderBy("frame", "hit_id")
-    h = h.withColumn("origin", F.expr(G.zone(f"abs(my - {G.COURT_L / 2})"))).withColumns({"idx": F.row_number().over(w), "nx": F.lead("mx").over(w), "receiver": F.lead("origin").over(w)})
+    h = h.withColumn("origin", F.expr(G.zone(f"abs(my - {G.COURT_L / 2})"))).withColumns({"idx": F.row_number().over(w), "nx": F.lead("mx").over(w), "next_hitter": F.lead("hitter").over(w), "receiver": F.lead("origin").over(w)})
     n = F.col("hit_id")
     return h.withColumns({"lateral": F.coalesce(F.abs(F.col("nx") - F.col("mx")), F.lit(0.0)), "points": 3 + n % 8, "arc": (n % 30) / 100, "flight": (n % 17) / 10, "pct": (n % 101) / 100, "reliable": n % 3 != 0, "high": n % 2 == 0, "candidate": F.coalesce(F.col("score") >= 0.55, F.lit(False)), "confirmed": F.coalesce(~F.col("uncertain") & (F.col("score") >= 0.6), F.lit(False))})
 
@@ -88,7 +88,7 @@ _FAM = """fam AS (SELECT *, CASE WHEN NOT candidate OR points < 4 THEN 'unknown'
  WHEN origin = 'front' THEN CASE receiver WHEN 'back' THEN CASE WHEN arc >= 0.12 OR flight >= 1.1 THEN 'lift' ELSE 'push' END WHEN 'front' THEN CASE WHEN lat_m >= 1.15 THEN 'cross_net' ELSE 'net' END WHEN 'mid' THEN CASE WHEN reliable AND high AND pct >= 0.82 THEN 'net_kill' ELSE 'push' END ELSE 'front_unknown' END
  WHEN origin = 'back' THEN CASE receiver WHEN 'front' THEN CASE WHEN reliable AND high AND pct >= 0.85 THEN 'smash' ELSE 'drop' END WHEN 'back' THEN CASE WHEN arc >= 0.14 AND flight >= 1.1 THEN 'clear' WHEN arc < 0.14 THEN 'drive_clear' ELSE 'back_unknown' END WHEN 'mid' THEN CASE WHEN reliable AND high AND pct >= 0.85 THEN 'smash' WHEN arc < 0.12 THEN 'defensive_drive' ELSE 'drive_clear' END ELSE 'back_unknown' END ELSE 'unknown' END AS family FROM st),
 sc AS (SELECT *, least(88, 22 + CASE WHEN confirmed THEN 20 ELSE 0 END + CASE WHEN points >= 4 THEN 17 ELSE 0 END + CASE WHEN reliable THEN 10 ELSE 0 END + CASE WHEN origin IS NOT NULL THEN 13 ELSE 0 END + CASE WHEN receiver IS NOT NULL THEN 13 ELSE 0 END + CASE WHEN hit_id % 5 >= 2 AND pct >= 0.45 THEN 8 ELSE 0 END) AS raw FROM fam),
-se AS (SELECT *, greatest(20, raw - CASE WHEN hitter_source = 'rally_inference' THEN 12 ELSE 0 END) AS score0 FROM sc),
+se AS (SELECT *, round_even(greatest(20, raw - CASE WHEN hitter_source = 'rally_inference' THEN 12 ELSE 0 END - CASE WHEN receiver IS NOT NULL AND next_hitter = 'unknown' THEN 8 ELSE 0 END), 0) AS score0 FROM sc),
 fc AS (SELECT *, CASE WHEN candidate AND NOT confirmed OR family IN ('unknown', 'front_unknown', 'back_unknown') THEN 58 ELSE 100 END AS c1, CASE WHEN family IN ('cross_net', 'net', 'defensive_drive') THEN 74 ELSE 100 END AS c2, CASE WHEN NOT reliable AND family IN ('smash', 'net_kill', 'drive_clear') THEN 65 ELSE 100 END AS c3 FROM se)"""
 
 
@@ -97,7 +97,7 @@ def _classified(spark, sf):
     fast = {q: F.col("reliable") & F.col("high") & (F.col("pct") >= q) for q in (0.82, 0.85)}
     fam = S.route_family(F.col("origin"), F.col("receiver"), F.col("arc"), F.col("flight"), fast, F.col("lateral"), F.col("idx") == 1, F.col("points"), F.col("candidate"))
     s = s.withColumn("family", fam)
-    raw = S.evidence_score(F.col("confirmed"), F.col("points"), F.col("reliable"), F.col("origin"), F.col("receiver"), F.col("hit_id") % 5, F.col("pct"), F.coalesce(F.col("hitter_source") == "rally_inference", F.lit(False)))
+    raw = S.evidence_score(F.col("confirmed"), F.col("points"), F.col("reliable"), F.col("origin"), F.col("receiver"), F.col("hit_id") % 5, F.col("pct"), F.coalesce(F.col("hitter_source") == "rally_inference", F.lit(False)), F.col("receiver").isNotNull() & (F.col("next_hitter") == "unknown"))
     return s.withColumn("confidence", S.capped_confidence(raw, F.col("family"), F.col("candidate"), F.col("confirmed"), F.col("reliable")))
 
 

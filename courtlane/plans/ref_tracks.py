@@ -4,44 +4,81 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from courtlane.functions import geometry as G
 from courtlane.operators import classical as C
 from courtlane.operators import kernels as K
 from courtlane.operators import tracklets as T
-from courtlane.operators.sequence import around, at_offsets
-from courtlane.plans.views import REAL, TRACKING, Registry, info, poses, r6, track, with_info
+from courtlane.operators.sequence import at_offsets, runs
+from courtlane.plans.views import REAL, TRACKING, Registry, info, poses, r6, r6_sql, track, with_info
 from courtlane.session import staged
 
 add = Registry()
 
 
-def candidates(spark, sf):
-    """Detector candidates made from the track: the ball itself, a decoy mirrored to a fixed line on every second frame, and a static spot on every third."""
+def components(spark, sf):
+    """Components of a picture made from the track: the ball itself (k 0; a sliver on every 50th frame), a decoy mirrored to a fixed line on every second frame (1), and a static spot on every
+    third (2)."""
     t = track(spark, sf).where("vis")
-    ball = t.select("match_id", "frame", F.lit(0).alias("k"), "x", "y", (1 + F.col("conf")).alias("quality"), (20 + F.col("frame") % 5).cast("double").alias("area"))
-    decoy = t.where("frame % 2 = 0").select("match_id", "frame", F.lit(1).alias("k"), (F.col("x") * 0.5 + 200).alias("x"), (900 - F.col("y") * 0.5).alias("y"), F.lit(1.4).alias("quality"), F.lit(30.0).alias("area"))
-    spot = t.where("frame % 3 = 0").select("match_id", "frame", F.lit(2).alias("k"), F.lit(640.0).alias("x"), (F.lit(300.0) + F.col("frame") % 4).alias("y"), F.lit(1.2).alias("quality"), F.lit(60.0).alias("area"))
-    return ball.unionByName(decoy).unionByName(spot).withColumn("cand_id", F.col("frame") * 4 + F.col("k")).drop("k")
+    part = lambda df, k, x, y, width, height, area, motion, value, background: df.select("match_id", "frame", F.lit(k).alias("k"), *[F.expr(e).cast("double").alias(n) for n, e in (("x", x), ("y", y), ("width", width), ("height", height), ("area", area), ("motion", motion), ("value", value), ("background", background))])
+    ball = part(t, 0, "x", "y", "5 + frame % 4", "if(frame % 50 = 0, 1, 6 + frame % 3)", "floor(0.7 * (5 + frame % 4) * if(frame % 50 = 0, 1, 6 + frame % 3))", "42 + 20 * conf", "170", "130")
+    decoy = part(t.where("frame % 2 = 0"), 1, "x * 0.5 + 200", "900 - y * 0.5", "12", "7", "50", "22", "160", "140")
+    spot = part(t.where("frame % 3 = 0"), 2, "640", "300 + frame % 4", "9", "9", "60", "14", "180", "150")
+    return ball.unionByName(decoy).unionByName(spot).withColumn("cand_id", F.col("frame") * 4 + F.col("k"))
+
+
+def candidates(spark, sf):
+    return C.shape_candidates(components(spark, sf))
+
+
+CAND = """comp AS (SELECT match_id, frame, 0 AS k, x, y, 5 + frame % 4 AS w, CASE WHEN frame % 50 = 0 THEN 1 ELSE 6 + frame % 3 END AS h, NULL::DOUBLE AS given, 42 + 20 * conf AS motion, 170 AS value, 130 AS background FROM track WHERE vis
+ UNION ALL SELECT match_id, frame, 1, x * 0.5 + 200, 900 - y * 0.5, 12, 7, 50, 22, 160, 140 FROM track WHERE vis AND frame % 2 = 0
+ UNION ALL SELECT match_id, frame, 2, 640.0, 300.0 + frame % 4, 9, 9, 60, 14, 180, 150 FROM track WHERE vis AND frame % 3 = 0),
+comp1 AS (SELECT *, coalesce(given, floor(0.7 * w * h)) AS area FROM comp),
+comp2 AS (SELECT *, area / (w * h) AS density, CASE WHEN w < h THEN w / h ELSE h / w END AS aspect, value - background AS contrast FROM comp1 WHERE area >= 3 AND area <= 150 AND w >= 2 AND w <= 28 AND h >= 2 AND h <= 28),
+cand AS (SELECT match_id, frame, frame * 4 + k AS cand_id, x, y, CAST(area AS DOUBLE) AS area, aspect, density, CAST(contrast AS DOUBLE) AS contrast, 0.023 * motion + 0.014 * contrast + 0.0025 * value + sqrt(aspect * density) - 0.004 * abs(area - 45) AS quality FROM comp2 WHERE density >= 0.22 AND aspect >= 0.18)"""
+#: Two overlapping tracks in every stretch of consecutive visible frames: the ball, and a weaker copy from the fourth frame on.
+PTS = CAND + """, trail AS (SELECT match_id, frame, min(frame) OVER (PARTITION BY match_id, g) AS run FROM (SELECT match_id, frame, frame - row_number() OVER (PARTITION BY match_id ORDER BY frame) AS g FROM track WHERE vis)),
+pts AS (SELECT match_id, run, 0 AS track, frame, cand_id, x, y, quality, aspect, density, contrast FROM cand JOIN trail USING (match_id, frame) WHERE cand_id = frame * 4
+ UNION ALL SELECT match_id, run, 1, frame, cand_id, x + 40, y, quality - 0.1, aspect, density, contrast FROM cand JOIN trail USING (match_id, frame) WHERE cand_id = frame * 4 AND frame >= run + 3)"""
+_TW = "(PARTITION BY match_id, run, track ORDER BY frame)"
+MEAS = PTS + f""", m1 AS (SELECT *, (x - lag(x) OVER w) / (frame - lag(frame) OVER w) AS vx, (y - lag(y) OVER w) / (frame - lag(frame) OVER w) AS vy FROM pts WINDOW w AS {_TW}),
+m2 AS (SELECT *, lag(vx) OVER w AS wx, lag(vy) OVER w AS wy, sqrt(vx * vx + vy * vy) AS v FROM m1 WINDOW w AS {_TW}),
+m3 AS (SELECT match_id, run, track, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS n, median(v) AS median_speed, max(x) - min(x) + max(y) - min(y) AS spread, avg(quality) AS quality, avg(aspect) AS aspect, avg(density) AS density, avg(contrast) AS contrast, min(y) AS min_y,
+ coalesce(quantile_cont(sqrt(power(vx - wx, 2) + power(vy - wy, 2)), 0.8), 0) AS accel_p80, coalesce(quantile_cont(CASE WHEN v > 1 AND sqrt(wx * wx + wy * wy) > 1 THEN degrees(acos(greatest(-1, least(1, (vx * wx + vy * wy) / (v * sqrt(wx * wx + wy * wy)))))) END, 0.8), 0) AS turn_p80,
+ sum(v) / greatest(1, sqrt(power(arg_max(x, frame) - arg_min(x, frame), 2) + power(arg_max(y, frame) - arg_min(y, frame), 2))) AS bend FROM m2 GROUP BY match_id, run, track HAVING count(*) >= 3),
+meas AS (SELECT *, n / (end_frame - start_frame + 1) AS fill, quality + 0.05 * least(n, 20) + 0.01 * least(spread, 100) - 0.03 * abs(median_speed - 12) + 0.3 * n / (end_frame - start_frame + 1) AS rank FROM m3),
+good AS (SELECT * FROM meas WHERE median_speed >= 2.5 AND median_speed <= 90 AND spread >= 25 AND fill >= 0.55)"""
+
+
+def _points(spark, sf):
+    """Points of tracks without a tracker, so that SQL can hold what is measured on them: see PTS."""
+    c = candidates(spark, sf).where("cand_id = frame * 4")
+    r = runs(track(spark, sf).where("vis").select("match_id", "frame"), F.lit(True))
+    p = c.join(r, ["match_id", "frame"]).select("match_id", "run", F.lit(0).cast("long").alias("track"), "frame", "cand_id", "x", "y", "quality", "aspect", "density", "contrast")
+    return p.unionByName(p.where("frame >= run + 3").withColumns({"track": F.lit(1).cast("long"), "x": F.col("x") + 40, "quality": F.col("quality") - 0.1}))
+
+
+def _measured(spark, sf):
+    return T.plausible(T.measures(_points(spark, sf)))
 
 
-CAND = """cand AS (SELECT match_id, frame, frame * 4 AS cand_id, x, y, 1 + conf AS quality, 20.0 + frame % 5 AS area FROM track WHERE vis
- UNION ALL SELECT match_id, frame, frame * 4 + 1, x * 0.5 + 200, 900 - y * 0.5, 1.4, 30.0 FROM track WHERE vis AND frame % 2 = 0
- UNION ALL SELECT match_id, frame, frame * 4 + 2, 640.0, 300.0 + frame % 4, 1.2, 60.0 FROM track WHERE vis AND frame % 3 = 0)"""
+def _observed(spark, sf):
+    """The detectors' own observations as a track; a label that is no tracking source counts as the model's."""
+    return track(spark, sf).select("match_id", "frame", F.col("raw_vis").alias("vis"), F.col("raw_x").alias("x"), F.col("raw_y").alias("y"), F.when(F.col("raw_source").isin(*TRACKING), F.col("raw_source")).otherwise("model").alias("source"), "conf")
 
 
 @add()
 def f03_smooth_track(spark, sf):
-    """No SQL: a filter with a state. Tests hold it against a four-dimensional matrix filter."""
-    return K.smooth(track(spark, sf), (*TRACKING, "interp"))
+    """Edge breaks, interpolation and the filter over the raw observations, one row per frame. No SQL: a filter with a state. Tests hold it against a four-dimensional matrix filter."""
+    return K.smoothed_track(_observed(spark, sf), TRACKING)
 
 
 @add()
 def k16_smooth_around_cuts(spark, sf):
     """F3 with the CLI's preset: the filter starts anew within three frames of a camera cut. There is no table of cuts; every 1500th frame of a match stands for one, as in ref_vetoes. No SQL."""
-    t = track(spark, sf)
+    t = _observed(spark, sf)
     stop = t.groupBy("match_id").agg(F.max("frame").alias("stop")).where("stop >= 1500")
     cuts = stop.select("match_id", F.explode(F.sequence(F.lit(1500).cast("long"), F.col("stop"), F.lit(1500).cast("long"))).alias("frame"))
-    return K.smooth(t, (*TRACKING, "interp"), resets=K.reset_frames(cuts))
+    return K.smoothed_track(t, TRACKING, resets=K.reset_frames(cuts))
 
 
 @add()
@@ -62,26 +99,12 @@ def c07_prediction_locks(spark, sf):
     return K.static_locks(t.select("match_id", "frame", F.col("raw_x").alias("x"), F.col("raw_y").alias("y")), "prediction")
 
 
-_STAT = """b AS (SELECT match_id, frame, cand_id, x, y FROM cand WHERE frame % 4 = 0),
-pr AS (SELECT b.match_id, b.cand_id AS base, b.frame, c.frame - b.frame AS d, min((c.x - b.x) * (c.x - b.x) + (c.y - b.y) * (c.y - b.y)) AS q FROM b JOIN cand c ON c.match_id = b.match_id AND c.frame BETWEEN b.frame AND b.frame + 11 GROUP BY ALL)"""
-
-
-@add("track", CAND + ", " + _STAT, "SELECT match_id, frame, base AS cand_id FROM pr WHERE q <= 1296 GROUP BY ALL HAVING count(DISTINCT d) >= 4")
-def c08_static_candidates(spark, sf):
-    """Base candidates (of every fourth frame) that have a candidate within 36 px on four or more of the next twelve frames. Bases are spread over the frames they look at, so it is
-    an equi join on (match, frame), and each partial result is a set of twelve offsets at most."""
-    c = candidates(spark, sf).select("match_id", "frame", "x", "y")
-    b = candidates(spark, sf).where("frame % 4 = 0").select("match_id", F.col("frame").alias("f0"), "cand_id", F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(F.sequence(F.col("frame"), F.col("frame") + 11)).alias("frame"))
-    j = b.join(c, ["match_id", "frame"]).where((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2 <= 36 * 36)
-    return j.groupBy("match_id", "f0", "cand_id").agg(F.count_distinct(F.col("frame") - F.col("f0")).alias("n")).where("n >= 4").select("match_id", F.col("f0").alias("frame"), "cand_id")
-
-
 @add()
-def c08b_static_centres(spark, sf):
-    """The whole of C8: windows from every frame, all twelve offsets, the median test, and static centres per frame. The made-up static spot stands on every frame here, as
-    on every third no window can be whole. No SQL: that of c08_static_candidates holds every fourth base and four offsets."""
-    c = candidates(spark, sf)
-    rest = track(spark, sf).where("vis and frame % 3 <> 0").select("match_id", "frame", F.lit(640.0).alias("x"), (F.lit(300.0) + F.col("frame") % 4).alias("y"), F.lit(1.2).alias("quality"), F.lit(60.0).alias("area"), (F.col("frame") * 4 + 2).alias("cand_id"))
+def c08_static_candidates(spark, sf):
+    """C8: windows from every frame, all twelve offsets, the median test, and static centres per frame. The made-up static spot stands on every frame here, as on every third no window can
+    be whole. No SQL: which window marks a frame depends on those before. Tests hold it against a search over whole lists."""
+    c = candidates(spark, sf).select("match_id", "frame", "cand_id", "x", "y", "quality")
+    rest = track(spark, sf).where("vis and frame % 3 <> 0").select("match_id", "frame", (F.col("frame") * 4 + 2).alias("cand_id"), F.lit(640.0).alias("x"), (F.lit(300.0) + F.col("frame") % 4).alias("y"), F.lit(1.2).alias("quality"))
     return K.static_centres(c.unionByName(rest)).select("match_id", "frame", *r6("x", "y"))
 
 
@@ -89,7 +112,7 @@ def _tracks(spark, sf):
     return K.greedy_tracks(candidates(spark, sf))
 
 
-def _points(spark, sf):
+def _tracked(spark, sf):
     return staged(_tracks(spark, sf).join(candidates(spark, sf), ["match_id", "frame", "cand_id"]), "points")
 
 
@@ -99,60 +122,106 @@ def f19_greedy_tracks(spark, sf):
     return _tracks(spark, sf)
 
 
-@add()
+_M6 = ("median_speed", "spread", "fill", "quality", "aspect", "density", "contrast", "rank", "accel_p80", "turn_p80", "bend")
+
+
+@add("track", MEAS, f"SELECT match_id, run, track, start_frame, end_frame, n, {r6_sql(*_M6)} FROM meas")
 def e13_track_measures(spark, sf):
-    return T.measures(_points(spark, sf)).select("match_id", "run", "track", "start_frame", "end_frame", "n", *r6("median_speed", "spread", "fill", "quality", "rank", "accel_p80", "turn_p80", "bend"))
+    return T.measures(_points(spark, sf)).select("match_id", "run", "track", "start_frame", "end_frame", "n", *r6(*_M6))
 
 
-@add()
+@add("track", MEAS, "SELECT match_id, run, track, start_frame, end_frame, n, round(rank, 6) AS rank FROM good WHERE n >= 8 AND rank >= 4.45 AND quality >= 2.05 AND aspect >= 0.66 AND density >= 0.53 AND contrast >= 28 AND fill >= 0.62 AND accel_p80 <= 10 AND turn_p80 <= 36 AND bend <= 2.5")
 def c21_strict_tracks(spark, sf):
-    return T.strict(T.plausible(T.measures(_points(spark, sf)))).select("match_id", "run", "track", "start_frame", "end_frame", "n", *r6("rank"))
+    return C.strict(_measured(spark, sf)).select("match_id", "run", "track", "start_frame", "end_frame", "n", *r6("rank"))
 
 
-@add()
+@add("track", MEAS.replace("pts AS (", "pts AS (SELECT * REPLACE (y / 20 AS y) FROM (") .replace("frame >= run + 3)", "frame >= run + 3))"), "SELECT match_id, run, track, start_frame, end_frame, n, round(min_y, 6) AS min_y FROM good WHERE n >= 5 AND min_y <= 24 AND quality >= 3 AND aspect >= 0.5 AND density >= 0.48 AND contrast >= 35 AND fill >= 0.85 AND accel_p80 <= 10.5 AND turn_p80 <= 15 AND bend <= 1.25")
+def c21_edge_tracks(spark, sf):
+    """The gates of short flights that reach the top edge, on points drawn up to it (a twentieth of their y)."""
+    p = _points(spark, sf).withColumn("y", F.col("y") / 20)
+    return C.edge(T.plausible(T.measures(p))).select("match_id", "run", "track", "start_frame", "end_frame", "n", *r6("min_y"))
+
+
+_TRIM = PTS + f""", t1 AS (SELECT *, row_number() OVER w AS k, (x - lag(x) OVER w) / (frame - lag(frame) OVER w) AS vx, (y - lag(y) OVER w) / (frame - lag(frame) OVER w) AS vy FROM pts WINDOW w AS {_TW}),
+t2 AS (SELECT *, lag(vx) OVER w AS wx, lag(vy) OVER w AS wy FROM t1 WINDOW w AS {_TW}),
+t3 AS (SELECT *, coalesce(k > 3 AND (sqrt(power(vx - wx, 2) + power(vy - wy, 2)) > 28 OR (sqrt(vx * vx + vy * vy) > 10 AND sqrt(wx * wx + wy * wy) > 10 AND degrees(acos(greatest(-1, least(1, (vx * wx + vy * wy) / (sqrt(vx * vx + vy * vy) * sqrt(wx * wx + wy * wy)))))) > 65)), false) AS bad FROM t2)"""
+
+
+@add("track", _TRIM, f"SELECT match_id, run, track, frame, cand_id FROM t3 QUALIFY NOT bool_or(bad) OVER {_TW[:-1]} ROWS UNBOUNDED PRECEDING)")
 def f19b_trimmed_points(spark, sf):
     return T.trim_abrupt(_points(spark, sf)).select("match_id", "run", "track", "frame", "cand_id")
 
 
-@add()
+_SPAN = MEAS + """, sl AS (SELECT match_id, list(struct_pack(k := -rank, r := run, t := CAST(track AS BIGINT), a := start_frame, z := end_frame) ORDER BY -rank, run, track) AS c FROM good GROUP BY match_id),
+sk AS (SELECT match_id, unnest(list_reduce(list_prepend(CAST([] AS STRUCT(k DOUBLE, r BIGINT, t BIGINT, a BIGINT, z BIGINT)[]), list_transform(c, lambda e: [CAST(e AS STRUCT(k DOUBLE, r BIGINT, t BIGINT, a BIGINT, z BIGINT))])), lambda acc, e: CASE WHEN len(list_filter(acc, lambda q: least(q.z, e[1].z) - greatest(q.a, e[1].a) + 1 >= greatest(1, 0.42 * least(q.z - q.a + 1, e[1].z - e[1].a + 1)))) = 0 THEN list_concat(acc, e) ELSE acc END)) AS p FROM sl)"""
+
+
+@add("track", _SPAN, "SELECT match_id, p.r AS run, p.t AS track, p.a AS start_frame, p.z AS end_frame, round(-p.k, 6) AS rank FROM sk")
 def f20_span_suppression(spark, sf):
-    return T.span_suppression(T.plausible(T.measures(_points(spark, sf)))).withColumn("rank", F.round("rank", 6))
+    return T.span_suppression(_measured(spark, sf)).withColumn("rank", F.round("rank", 6))
 
 
-@add()
+_CONF = lambda rank, quality: f"round(least(0.96, greatest(0.52, 0.52 + 0.24 * least(1, greatest(0, ({rank} - 4.45) / 1.35)) + 0.20 * least(1, greatest(0, ({quality} - 1.35) / 3)))), 6)"
+
+
+@add("track", MEAS, f"SELECT p.match_id, p.frame, p.run, CAST(p.track AS BIGINT) AS track, round(p.x, 6) AS x, round(p.y, 6) AS y, {_CONF('g.rank', 'p.quality')} AS confidence FROM pts p JOIN good g USING (match_id, run, track) QUALIFY row_number() OVER (PARTITION BY p.match_id, p.frame ORDER BY g.rank DESC, p.run, p.track) = 1")
 def k08_classical_result(spark, sf):
     """With F19e and K9: one owner per frame, its position and a confidence from rank and quality."""
     p = _points(spark, sf)
-    owned = T.one_owner(p, T.plausible(T.measures(p)))
-    conf = F.least(F.lit(0.96), F.greatest(F.lit(0.52), 0.52 + 0.24 * F.least(F.lit(1.0), F.col("rank") / 6) + 0.20 * F.least(F.lit(1.0), F.col("quality") / 3)))
-    return owned.select("match_id", "frame", "run", "track", *r6("x", "y"), F.round(conf, 6).alias("conf"))
+    return C.owned_points(p, T.plausible(T.measures(p))).select("match_id", "frame", "run", "track", *r6("x", "y", "confidence"))
+
+
+@add("track info", MEAS + ", lp AS (SELECT *, row_number() OVER (PARTITION BY match_id, run, track ORDER BY frame DESC) AS k FROM pts)", f"SELECT z.match_id, z.run, CAST(z.track AS BIGINT) AS track, z.frame, round(z.x, 6) AS x, round(z.y, 6) AS y, {_CONF('g.rank', 'z.quality')} AS score, round(sqrt(power(z.x - p.x, 2) + power(z.y - p.y, 2)) / (z.frame - p.frame), 6) AS speed FROM lp z JOIN lp p ON p.match_id = z.match_id AND p.run = z.run AND p.track = z.track AND p.k = 2 AND z.k = 1 JOIN good g ON g.match_id = z.match_id AND g.run = z.run AND g.track = z.track JOIN info i ON i.match_id = z.match_id WHERE z.y >= least(q1, q3) AND z.x > 24 AND z.x < width - 25 AND z.y > 24 AND z.y < height - 25")
+def k08_endpoint_hits(spark, sf):
+    """The ends of tracks as possible contacts, not above the court's far edge nor at the picture's edge."""
+    p = _points(spark, sf)
+    m = with_info(T.plausible(T.measures(p)).select("match_id", "run", "track", "rank"), spark, sf)
+    return C.endpoint_hits(p, m, F.least("q1", "q3"), F.col("width"), F.col("height"), 24.0).select("match_id", "run", "track", "frame", *r6("x", "y", "score", "speed"))
 
 
-@add("track", CAND, "SELECT match_id, frame, cand_id, round(quality * 0.6 + 0.4 * least(1, area / 40), 6) AS score FROM cand WHERE area BETWEEN 3 AND 50 AND quality >= 1.3")
+@add("track", CAND, f"SELECT match_id, frame, cand_id, {r6_sql('aspect', 'density', 'contrast', 'quality')} FROM cand")
 def c22_shape_gates(spark, sf):
-    return candidates(spark, sf).where("area between 3 and 50 and quality >= 1.3").select("match_id", "frame", "cand_id", F.round(F.col("quality") * 0.6 + 0.4 * F.least(F.lit(1.0), F.col("area") / 40), 6).alias("score"))
+    return candidates(spark, sf).select("match_id", "frame", "cand_id", *r6("aspect", "density", "contrast", "quality"))
+
 
+def _weak(spark, sf):
+    """Candidates of a weaker pool: the decoys, and copies of the ball up to 19 px aside."""
+    c = candidates(spark, sf).select("match_id", "frame", "cand_id", "x", "y", "quality")
+    copies = c.where("cand_id = frame * 4").withColumns({"cand_id": F.col("cand_id") + 3, "x": F.col("x") + F.col("frame") % 20, "quality": F.lit(1.3)})
+    return c.where("cand_id = frame * 4 + 1").unionByName(copies)
 
-@add("track", CAND + ", s AS (SELECT * FROM cand WHERE quality >= 1.5), w AS (SELECT * FROM cand WHERE quality < 1.5)", "SELECT match_id, frame, cand_id, round(x, 6) AS x, round(y, 6) AS y FROM s UNION ALL SELECT match_id, frame, cand_id, round(x, 6), round(y, 6) FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.match_id = w.match_id AND s.frame = w.frame AND (s.x - w.x) * (s.x - w.x) + (s.y - w.y) * (s.y - w.y) <= 3600)")
+
+_WEAK = CAND + ", s AS (SELECT * FROM cand WHERE cand_id <> frame * 4 + 1), w AS (SELECT match_id, frame, cand_id, x, y FROM cand WHERE cand_id = frame * 4 + 1 UNION ALL SELECT match_id, frame, cand_id + 3, x + frame % 20, y FROM cand WHERE cand_id = frame * 4)"
+
+
+@add("track", _WEAK, "SELECT match_id, frame, cand_id, round(x, 6) AS x, round(y, 6) AS y FROM s UNION ALL SELECT match_id, frame, cand_id, round(x, 6), round(y, 6) FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.match_id = w.match_id AND s.frame = w.frame AND (s.x - w.x) * (s.x - w.x) + (s.y - w.y) * (s.y - w.y) <= 64)")
 def d17_fused_candidates(spark, sf):
-    """Radius 60 px, as the made-up candidates lie far apart."""
     c = candidates(spark, sf)
-    return T.fused_candidates(c.where("quality >= 1.5"), c.where("quality < 1.5"), 60.0).select("match_id", "frame", "cand_id", *r6("x", "y"))
+    return T.fused_candidates(c.where("cand_id <> frame * 4 + 1"), _weak(spark, sf)).select("match_id", "frame", "cand_id", *r6("x", "y"))
 
 
 @add()
 def d15_candidate_clusters(spark, sf):
-    """No SQL: the centres move as candidates join."""
-    return T.clusters(candidates(spark, sf), 150.0).select("match_id", "frame", "cluster", *r6("x", "y", "weight"), "n")
+    """No SQL: the centres move as candidates join. Tests hold it against a fold over lists."""
+    c = candidates(spark, sf).select("match_id", "frame", "cand_id", "x", "y", "quality").unionByName(_weak(spark, sf).where("cand_id = frame * 4 + 3"))
+    return T.clusters(c).select("match_id", "frame", "cluster", *r6("x", "y", "weight"), "n")
 
 
-@add("track", CAND, "SELECT match_id, frame, cand_id, rank FROM (SELECT match_id, frame, cand_id, CAST(row_number() OVER (PARTITION BY match_id, frame ORDER BY quality DESC, cand_id) AS BIGINT) AS rank FROM cand) WHERE rank <= 2")
+@add("track", _WEAK + ", u AS (SELECT match_id, frame, cand_id, quality FROM cand UNION ALL SELECT match_id, frame, cand_id + 3, 1.3 FROM cand WHERE cand_id = frame * 4)", "SELECT match_id, frame, cand_id, rank FROM (SELECT match_id, frame, cand_id, CAST(row_number() OVER (PARTITION BY match_id, frame ORDER BY quality DESC, cand_id) AS BIGINT) AS rank FROM u) WHERE rank <= 50")
 def g02_top_candidates(spark, sf):
-    """The two best candidates of a frame: a top-k operator (50 in production)."""
+    """The 50 best candidates of a frame: a top-k operator."""
     from pyspark.sql import Window
 
+    c = candidates(spark, sf).select("match_id", "frame", "cand_id", "quality").unionByName(_weak(spark, sf).where("cand_id = frame * 4 + 3").select("match_id", "frame", "cand_id", "quality"))
     w = Window.partitionBy("match_id", "frame").orderBy(F.desc("quality"), "cand_id")
-    return candidates(spark, sf).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 2").select("match_id", "frame", "cand_id", "rank")
+    return c.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 50").select("match_id", "frame", "cand_id", "rank")
+
+
+@add("track", CAND + ", kc AS (SELECT c.match_id, c.frame, c.cand_id, sqrt(power(c.x - t.x - 3, 2) + power(c.y - t.y - 4, 2)) AS d FROM cand c JOIN track t ON t.match_id = c.match_id AND t.frame = c.frame AND t.vis)", "SELECT match_id, frame, arg_min(cand_id, (d, cand_id)) AS det_id FROM kc GROUP BY match_id, frame")
+def k15_closest_candidates(spark, sf):
+    """The candidate nearest to a point 5 px beside the ball."""
+    ref = track(spark, sf).where("vis").select("match_id", "frame", (F.col("x") + 3).alias("x"), (F.col("y") + 4).alias("y"))
+    return K.closest(candidates(spark, sf).select("match_id", "frame", F.col("cand_id").alias("det_id"), "x", "y"), ref)
 
 
 @add("track", CAND + ", p AS (SELECT DISTINCT c.match_id, c.frame, c.cand_id FROM cand c JOIN cand o ON o.match_id = c.match_id AND o.frame BETWEEN c.frame - 3 AND c.frame - 1 AND (o.x - c.x) * (o.x - c.x) + (o.y - c.y) * (o.y - c.y) <= 3025)", "SELECT match_id, frame, cand_id FROM p")
@@ -170,30 +239,25 @@ def f22_prediction(spark, sf):
     return t.select("match_id", (F.col("frame") + 1).alias("frame"), F.round(2 * F.col("x") - F.col("x_m1"), 6).alias("px"), F.round(2 * F.col("y") - F.col("y_m1"), 6).alias("py"))
 
 
-_TOPT = "tz AS (SELECT match_id, frame, count(*) FILTER (vis) OVER w AS n, count(*) FILTER (vis AND y <= 160) OVER w AS top, max(x) OVER w - min(x) OVER w AS sx, max(y) OVER w - min(y) OVER w AS sy FROM track WINDOW w AS (PARTITION BY match_id ORDER BY frame RANGE BETWEEN 11 PRECEDING AND CURRENT ROW))"
+_TOPT = """pt AS (SELECT match_id, 0 AS track, frame, x, y FROM track WHERE vis UNION ALL SELECT match_id, 1, frame, 640 + frame % 3, 150 FROM track WHERE vis),
+tz AS (SELECT match_id, track, frame, count(*) OVER w AS n, avg((y <= 178)::INT) OVER w AS top, sqrt(power(max(x) OVER w - min(x) OVER w, 2) + power(max(y) OVER w - min(y) OVER w, 2)) AS spread FROM pt WINDOW w AS (PARTITION BY match_id, track ORDER BY frame ROWS BETWEEN 89 PRECEDING AND CURRENT ROW)),
+ban AS (SELECT match_id, track, min(frame) AS since FROM tz WHERE n >= 42 AND top >= 0.88 AND spread <= 30 GROUP BY match_id, track)"""
 
 
-@add("track", _TOPT, "SELECT match_id, frame FROM tz WHERE n >= 6 AND top >= 0.88 * n AND sx <= 60 AND sy <= 60")
+@add("track", _TOPT, "SELECT match_id, CAST(track AS BIGINT) AS track, frame FROM pt JOIN ban USING (match_id, track) WHERE frame >= since")
 def c27_static_top_tracks(spark, sf):
-    """Over the last 12 frames (90 in production): mostly in the top zone and hardly moving."""
-    t = around(track(spark, sf).select("match_id", "frame", "vis", "x", "y"), {"n": (F.count(F.when(F.col("vis"), 1)), -11, 0), "top": (F.count(F.when(F.col("vis") & (F.col("y") <= 160), 1)), -11, 0), "x0": (F.min("x"), -11, 0), "x1": (F.max("x"), -11, 0), "y0": (F.min("y"), -11, 0), "y1": (F.max("y"), -11, 0)})
-    return t.where("n >= 6 and top >= 0.88 * n and x1 - x0 <= 60 and y1 - y0 <= 60").select("match_id", "frame")
-
-
-@add()
-def c27b_banned_top_tracks(spark, sf):
-    """The whole of C27: histories of 90 points, at least 42, a spread of 30 px, and the lasting ban of the track. The match's ball stands in for a track. No SQL: that of
-    c27_static_top_tracks holds 12 frames and no ban."""
+    """Histories of 90 points, at least 42, 88 % of them in the top zone (18 px below y 160), a spread of 30 px, and the lasting ban of the track. The match's ball stands in for one track, a
+    judge's chair for another."""
     t = track(spark, sf).where("vis").select("match_id", F.lit(0).cast("long").alias("track"), "frame", "x", "y")
-    return K.banned_top_tracks(t, 160.0).select("match_id", "frame")
+    chair = t.select("match_id", F.lit(1).cast("long").alias("track"), "frame", (F.lit(640.0) + F.col("frame") % 3).alias("x"), F.lit(150.0).alias("y"))
+    return K.banned_top_tracks(t.unionByName(chair), 178.0)
 
 
 @add()
 def f29_player_identity(spark, sf):
-    """No SQL: who holds a side depends on who held it. Detections are the made-up players, about the net."""
-    x, y = G.project("(b0 + b2) / 2 + 250", "b3 + 250")
-    p = with_info(poses(spark, sf), spark, sf).select("match_id", "frame", F.col("frame").alias("det_id"), F.expr(x).alias("mx"), (F.expr(y) - G.COURT_L / 2).alias("my")).where("mx is not null")
-    return K.player_identity(p)
+    """No SQL: who holds a side depends on who held it. Detections are the made-up players, the line the middle of the picture. Tests hold the rules."""
+    p = with_info(poses(spark, sf), spark, sf).select("match_id", "frame", F.col("frame").alias("det_id"), ((F.col("b0") + F.col("b2")) / 2 + 250).alias("fx"), (F.col("b3") + 250).alias("fy"), (F.col("height") / 2).alias("line"))
+    return K.player_identity(p, "fx", "fy", "line")
 
 
 @add()
@@ -207,23 +271,29 @@ def f18_selected_track(spark, sf):
 
 @add()
 def f19c_forward_extensions(spark, sf):
-    return K.extensions(_points(spark, sf), candidates(spark, sf))
+    return K.extensions(_tracked(spark, sf), candidates(spark, sf))
 
 
 @add()
 def f19d_backward_extensions(spark, sf):
-    return K.extensions(_points(spark, sf), candidates(spark, sf), forward=False)
+    return K.extensions(_tracked(spark, sf), candidates(spark, sf), forward=False)
 
 
-@add()
+_STITCH = PTS + """, e1 AS (SELECT *, row_number() OVER (PARTITION BY match_id, run, track ORDER BY frame) AS i, count(*) OVER (PARTITION BY match_id, run, track) AS n FROM pts WHERE track = 0),
+e2 AS (SELECT match_id, run, track, max(frame) FILTER (i = 1) AS af, max(x) FILTER (i = 1) AS ax, max(y) FILTER (i = 1) AS ay, max(frame) FILTER (i = 3) AS bf, max(x) FILTER (i = 3) AS bx, max(y) FILTER (i = 3) AS by_, max(frame) FILTER (i = n) AS zf, max(x) FILTER (i = n) AS zx, max(y) FILTER (i = n) AS zy, max(frame) FILTER (i = n - 2) AS yf, max(x) FILTER (i = n - 2) AS yx, max(y) FILTER (i = n - 2) AS yy FROM e1 WHERE n >= 3 GROUP BY match_id, run, track),
+e3 AS (SELECT *, (zx - yx) / (zf - yf) AS vx, (zy - yy) / (zf - yf) AS vy, (bx - ax) / (bf - af) AS ux, (by_ - ay) / (bf - af) AS uy FROM e2),
+e4 AS (SELECT *, lead(run) OVER w AS next_run, lead(track) OVER w AS next_track, lead(af) OVER w - zf AS gap, lead(ax) OVER w AS nx, lead(ay) OVER w AS ny, lead(ux) OVER w AS nux, lead(uy) OVER w AS nuy FROM e3 WINDOW w AS (PARTITION BY match_id ORDER BY af, zf, run, track)),
+e5 AS (SELECT *, sqrt(power(zx + gap * vx - nx, 2) + power(zy + gap * vy - ny, 2)) AS error, sqrt(power(nx - gap * nux - zx, 2) + power(ny - gap * nuy - zy, 2)) AS back, sqrt(vx * vx + vy * vy) * sqrt(nux * nux + nuy * nuy) AS s FROM e4)"""
+
+
+@add("track", _STITCH, "SELECT match_id, run, CAST(track AS BIGINT) AS track, next_run, CAST(next_track AS BIGINT) AS next_track, gap, round(error, 6) AS error FROM e5 WHERE gap BETWEEN 1 AND 18 AND error <= greatest(45, 6 * gap) AND back <= 1.35 * greatest(45, 6 * gap) AND (s < 1e-6 OR vx * nux + vy * nuy >= cos(radians(28)) * s)")
 def f21_stitched_tracks(spark, sf):
-    return T.stitched(_points(spark, sf)).withColumn("error", F.round("error", 6))
+    return T.stitched(_points(spark, sf).where("track = 0")).withColumn("error", F.round("error", 6))
 
 
 @add()
 def k18_classical_pipeline(spark, sf):
-    """All of K18 over candidates: base and wide tracks, seeds, extension both ways, one owner per frame, numbering. Not in it: the pool of weaker (conditioned) candidates, and gates on
-    contrast, aspect and density, as the made-up candidates have none of these; stop_frame."""
+    """All of K18 over candidates: base and wide tracks, seeds, extension both ways, one owner per frame, numbering. Not in it: the pool of weaker (conditioned) candidates and stop_frame."""
     top = F.least("q1", "q3")
     tops = info(spark, sf).select("match_id", *[F.greatest(F.lit(0.0), top - up).alias(n) for n, up in (("base_top", 120), ("wide_top", 480))])
     return C.pipeline(candidates(spark, sf), tops).select("match_id", "frame", "track_id", *r6("x", "y"), "core")

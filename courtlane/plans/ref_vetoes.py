@@ -95,25 +95,45 @@ def c16_top_entry_lead(spark, sf):
     return V.top_entry_lead(track(spark, sf), top=120)
 
 
-_BRANCH = """b0 AS (SELECT match_id, frame, x, y, max(x) OVER o AS px, max(y) OVER o AS py FROM track WHERE vis WINDOW o AS (PARTITION BY match_id ORDER BY frame RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING)),
-b1 AS (SELECT *, px IS NOT NULL AND sqrt((x - px) * (x - px) + (y - py) * (y - py)) >= 240 AS cut, px IS NULL OR sqrt((x - px) * (x - px) + (y - py) * (y - py)) >= 240 AS opens FROM b0),
-b2 AS (SELECT *, max(CASE WHEN opens THEN frame END) OVER (PARTITION BY match_id ORDER BY frame) AS branch FROM b1)"""
+_BRANCH = """b0 AS (SELECT match_id, frame, x, y, max(x) OVER o AS px, max(y) OVER o AS py, max(x) OVER p AS qx, max(y) OVER p AS qy, max(y) OVER n AS ny FROM track WHERE vis WINDOW o AS (PARTITION BY match_id ORDER BY frame RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), p AS (PARTITION BY match_id ORDER BY frame RANGE BETWEEN 2 PRECEDING AND 2 PRECEDING), n AS (PARTITION BY match_id ORDER BY frame RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING)),
+b1 AS (SELECT *, coalesce(sqrt(power(x - px, 2) + power(y - py, 2)) >= 240, false) OR coalesce(sqrt(power(x - 2 * px + qx, 2) + power(y - 2 * py + qy, 2)) >= 45 AND (x - px) * (px - qx) + (y - py) * (py - qy) < 0, false) AS cut FROM b0),
+b2 AS (SELECT *, max(CASE WHEN px IS NULL OR cut THEN frame END) OVER (PARTITION BY match_id ORDER BY frame) AS branch FROM b1),
+b3 AS (SELECT *, count(*) OVER (PARTITION BY match_id, branch) AS n FROM b2 QUALIFY count(*) OVER (PARTITION BY match_id, branch) <= 3 AND bool_or(cut) OVER (PARTITION BY match_id, branch))"""
 
 
-@add("track", _BRANCH, "SELECT match_id, frame, branch FROM b2 QUALIFY count(*) OVER (PARTITION BY match_id, branch) <= 3 AND bool_or(cut) OVER (PARTITION BY match_id, branch)")
+@add("track", _BRANCH, "SELECT match_id, frame, branch FROM b3")
 def c17_short_branches(spark, sf):
     return V.short_branches(track(spark, sf))
 
 
-_DUAL = """d0 AS (SELECT match_id, frame, a_x, a_y, frame - row_number() OVER (PARTITION BY match_id ORDER BY frame) AS g FROM phases WHERE a_vis AND b_vis AND sqrt((a_x - b_x) * (a_x - b_x) + (a_y - b_y) * (a_y - b_y)) <= 25),
-d1 AS (SELECT *, lag(a_x) OVER w AS px, lag(a_y) OVER w AS py FROM d0 WINDOW w AS (PARTITION BY match_id, g ORDER BY frame)),
-d2 AS (SELECT match_id, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS n, sum(sqrt((a_x - px) * (a_x - px) + (a_y - py) * (a_y - py))) AS path_px, median(sqrt((a_x - px) * (a_x - px) + (a_y - py) * (a_y - py))) AS step_px FROM d1 GROUP BY match_id, g)"""
+_UNSUP = _BRANCH + """, u0 AS (SELECT match_id, frame, x, y, CASE WHEN n >= 2 THEN ny - y ELSE coalesce(y - py, 0) END AS vy FROM b3 WHERE frame = branch),
+u1 AS (SELECT u0.match_id, u0.frame, vy, p.side, sqrt(power(greatest(b0 - x, 0, x - b2), 2) + power(greatest(b1 - y, 0, y - b3), 2)) AS box, least(sqrt(power(x - kp[10].x, 2) + power(y - kp[10].y, 2)), sqrt(power(x - kp[11].x, 2) + power(y - kp[11].y, 2))) AS wrist FROM u0 LEFT JOIN poses p USING (match_id, frame)),
+u2 AS (SELECT * FROM u1 QUALIFY row_number() OVER (PARTITION BY match_id, frame ORDER BY least(box, wrist), side, box, wrist) = 1)"""
 
 
-@add("phases", _DUAL, "SELECT match_id, start_frame, end_frame, round(path_px, 6) AS path_px, round(step_px, 6) AS step_px FROM d2 WHERE n BETWEEN 2 AND 8 AND step_px >= 3 AND path_px >= 5")
-def c18_coherent_dual_motion(spark, sf):
-    d = V.coherent_dual_motion(phases(spark, sf), median_step=3, path=5)
-    return d.select("match_id", "start_frame", "end_frame", *r6("path_px", "step_px"))
+@add("track poses", _UNSUP, "SELECT b3.match_id, b3.frame FROM b3 JOIN u2 ON u2.match_id = b3.match_id AND u2.frame = b3.branch WHERE side IS NULL OR (box > 42 AND wrist > 90) OR (side = 'far' AND vy < -8) OR (side = 'near' AND vy > 8)")
+def c17_unsupported_branches(spark, sf):
+    """The branches that no player explains."""
+    t = track(spark, sf)
+    return V.unsupported_branches(V.short_branches(t), t, poses(spark, sf))
+
+
+DUALS = lambda step, path, spread, support: f"""d0 AS (SELECT p.match_id, p.frame, p.a_x, p.a_y, p.b_x, p.b_y, coalesce(max(CASE WHEN p.frame > 0 AND p.frame % 1500 = 0 THEN p.frame END) OVER (PARTITION BY p.match_id ORDER BY p.frame), -1) AS seg, coalesce(a_vis AND b_vis AND sqrt(power(a_x - b_x, 2) + power(a_y - b_y, 2)) <= 25, false) AS same FROM phases p),
+d1 AS (SELECT d0.*, g.x, g.y, g.label FROM d0 JOIN merged g USING (match_id, frame) WHERE same AND g.vis),
+d2 AS (SELECT match_id, seg, frame, frame - row_number() OVER (PARTITION BY match_id, seg ORDER BY frame) AS g FROM d1 WHERE label = 'model' AND y > 35 AND EXISTS (SELECT 1 FROM hits h WHERE h.match_id = d1.match_id AND d1.frame BETWEEN h.frame - 2 AND h.frame + 2)),
+d3 AS (SELECT match_id, seg, min(frame) AS a, max(frame) AS z, count(*) AS n FROM d2 GROUP BY match_id, seg, g HAVING count(*) BETWEEN 2 AND 8),
+d4 AS (SELECT d3.match_id, a, z, n, d1.frame, x, y, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS v, sqrt(power((a_x - lag(a_x) OVER w) - (b_x - lag(b_x) OVER w), 2) + power((a_y - lag(a_y) OVER w) - (b_y - lag(b_y) OVER w), 2)) AS dv, median(x) OVER (PARTITION BY d3.match_id, a) AS mx, median(y) OVER (PARTITION BY d3.match_id, a) AS my FROM d3 JOIN d1 ON d1.match_id = d3.match_id AND d1.seg = d3.seg AND d1.frame BETWEEN a - 2 AND z + 2 WINDOW w AS (PARTITION BY d3.match_id, a ORDER BY d1.frame)),
+d5 AS (SELECT match_id, a AS start_frame, z AS end_frame, sum(v) AS path_px, median(v) AS step_px, max(sqrt(power(x - mx, 2) + power(y - my, 2))) AS spread_px, median(dv) AS delta_px, max(v) FILTER (frame = a - 1) AS first, max(v) FILTER (frame = z + 2) AS last FROM d4 GROUP BY match_id, a, z, n HAVING count(*) = n + 4),
+dual AS (SELECT * FROM d5 WHERE step_px >= {step} AND path_px >= {path} AND spread_px >= {spread} AND first >= {support} AND last >= {support} AND delta_px <= 18)"""
+_D6 = ("path_px", "step_px", "spread_px", "delta_px")
+
+
+def dual_motion(spark, sf, merge, **limits):
+    """Candidates are the frames within two of a hit."""
+    near = hits(spark, sf).select("match_id", F.explode(F.sequence(F.col("frame") - 2, F.col("frame") + 2)).alias("frame"))
+    p = phases(spark, sf)
+    d = V.coherent_dual_motion(p, merge(p), near, F.expr(CUT), **limits)
+    return d.select("match_id", "start_frame", "end_frame", *r6(*_D6))
 
 
 _INTER = f"""z0 AS (SELECT match_id, frame, x, y, coalesce(seg, -1) AS seg FROM (SELECT *, max(CASE WHEN {CUT} THEN frame END) OVER (PARTITION BY match_id ORDER BY frame) AS seg FROM track) WHERE vis AND source IN ('model', 'model_edge', 'single_phase_edge') AND y <= 200),

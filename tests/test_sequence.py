@@ -239,7 +239,7 @@ def test_every_segment_of_a_trail_gets_its_spline(spark, monkeypatch):
             for k, s in enumerate(np.linspace(0, 1, 12, endpoint=False)):
                 want[ends[i], k] = tuple(0.5 * (2 * p1 + (p2 - p0) * s + (2 * p0 - 5 * p1 + 4 * p2 - p3) * s**2 + (3 * p1 - p0 - 3 * p2 + p3) * s**3))
         want[trail[-1], 0] = pts[trail[-1]]
-    got = {(r.frame, r.step): (r.x, r.y) for r in ref_shots.b30b_catmull_rom_trails(spark, "").collect()}
+    got = {(r.frame, r.step): (r.x, r.y) for r in ref_shots.b30_catmull_rom(spark, "").collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
 
 
@@ -296,7 +296,7 @@ def test_every_cutting_run_gets_its_manifest(spark, monkeypatch):
     rows = [(1, "cut-1", 1, 5, 10, 20, 3, "ok"), (1, "cut-2", 2, 6, 40, None, 1, None), (1, "cut-2", 1, 5, 11, 20, 3, "ok"), (1, "cut-2", 1, 5, 11, 20, 3, "ok"), (2, "cut-3", 1, 1, 0, 9, 2, "ok"), (2, None, None, 1, 0, 9, 2, "ok"), (None, "cut-1", 1, 1, 0, 9, 2, "ok")]
     t = spark.createDataFrame(rows, "match_id long, cut_run string, segment_index int, rally_id int, start_frame int, end_frame int, hit_count int, quality string")
     monkeypatch.setattr(ref_sources, "table", lambda *_: t)
-    got = {(r.match_id, r.cut_run): (r.segments, [s.get("segment_index") for s in json.loads(r.manifest)["segments"]]) for r in ref_sources.a09b_run_manifests(spark, "").collect()}
+    got = {(r.match_id, r.cut_run): (r.segments, [s.get("segment_index") for s in json.loads(r.manifest)["segments"]]) for r in ref_sources.a09_rally_manifest(spark, "").collect()}
     assert got == {(1, "cut-1"): (1, [1]), (1, "cut-2"): (2, [1, 2]), (2, "cut-3"): (1, [1]), (2, None): (1, [None])}
 
 
@@ -309,7 +309,8 @@ def test_the_classical_pipeline_extends_its_seeds(spark):
     high = [(1, f, f, 300.0 + 9 * (f - 100), 20.0 + 0.05 * (f - 103) ** 2, 1.9, 20.0) for f in range(100, 107)]
     cands = spark.createDataFrame(ball + high, "match_id long, frame long, cand_id long, x double, y double, quality double, area double")
     tops = spark.createDataFrame([(1, 120.0, 0.0)], "match_id long, base_top double, wide_top double")
-    out = classical.pipeline(cands, tops).collect()
+    weak = classical.options(rank=3.0, quality=1.5, acceleration=40.0, turn=60.0, edge_quality=1.5)  # the made-up candidates are weaker than real ones
+    out = classical.pipeline(cands, tops, weak).collect()
     assert {r.track_id for r in out} == {0, 1} and len({r.frame for r in out}) == len(out)
     assert {r.frame for r in out if r.track_id == 1} == set(range(100, 107))  # none of them is in the base region
     assert {r.frame for r in out if r.track_id == 0} == {r[1] for r in ball}
