@@ -141,12 +141,12 @@ def coherent_dual_motion(phases: DataFrame, merged: DataFrame, candidates: DataF
     r = runs(on, F.lit(True), by="segment").groupBy("match_id", "segment", "run").agg(F.max("frame").alias("end"), F.count("*").alias("n")).where(F.col("n").between(least, most))
     local = r.withColumn("frame", F.explode(F.sequence(F.col("run") - 2, F.col("end") + 2))).join(d.drop("label"), ["match_id", "segment", "frame"])
     g = local.groupBy("match_id", "run", "end", "n").agg(F.sort_array(F.collect_list(F.struct("frame", "x", "y", "a_x", "a_y", "b_x", "b_y"))).alias("p")).where("size(p) = n + 4")
-    step = lambda x, y: f"transform(sequence(0, size(p) - 2), i -> sqrt(power(p[i + 1].{x} - p[i].{x}, 2) + power(p[i + 1].{y} - p[i].{y}, 2)))"
-    middle = lambda a: f"(sort_array({a})[cast(floor((size({a}) - 1) / 2) as int)] + sort_array({a})[cast(floor(size({a}) / 2) as int)]) / 2"
-    g = g.withColumns({"v": F.expr(step("x", "y")), "dv": F.expr("transform(sequence(0, size(p) - 2), i -> sqrt(power((p[i + 1].a_x - p[i].a_x) - (p[i + 1].b_x - p[i].b_x), 2) + power((p[i + 1].a_y - p[i].a_y) - (p[i + 1].b_y - p[i].b_y), 2)))"), "xs": F.expr("transform(p, q -> q.x)"), "ys": F.expr("transform(p, q -> q.y)")})
+    step = lambda x, y: f"transform(sequence(0, size(p) - 2), i -> sqrt(power(get(p, i + 1).{x} - get(p, i).{x}, 2) + power(get(p, i + 1).{y} - get(p, i).{y}, 2)))"
+    middle = lambda a: f"(get(sort_array({a}), cast(floor((size({a}) - 1) / 2) as int)) + get(sort_array({a}), cast(floor(size({a}) / 2) as int))) / 2"
+    g = g.withColumns({"v": F.expr(step("x", "y")), "dv": F.expr("transform(sequence(0, size(p) - 2), i -> sqrt(power((get(p, i + 1).a_x - get(p, i).a_x) - (get(p, i + 1).b_x - get(p, i).b_x), 2) + power((get(p, i + 1).a_y - get(p, i).a_y) - (get(p, i + 1).b_y - get(p, i).b_y), 2)))"), "xs": F.expr("transform(p, q -> q.x)"), "ys": F.expr("transform(p, q -> q.y)")})
     g = g.withColumns({"step_px": F.expr(middle("v")), "delta_px": F.expr(middle("dv")), "mx": F.expr(middle("xs")), "my": F.expr(middle("ys")), "path_px": F.expr("aggregate(v, 0D, (a, e) -> a + e)")})
     g = g.withColumn("spread_px", F.expr("array_max(transform(p, q -> sqrt(power(q.x - mx, 2) + power(q.y - my, 2))))"))
-    ok = (F.col("step_px") >= median_step) & (F.col("path_px") >= path) & (F.col("spread_px") >= spread) & (F.col("v")[0] >= support) & (F.element_at("v", -1) >= support) & (F.col("delta_px") <= delta)
+    ok = (F.col("step_px") >= median_step) & (F.col("path_px") >= path) & (F.col("spread_px") >= spread) & (F.get("v", F.lit(0)) >= support) & (F.get("v", F.size("v") - 1) >= support) & (F.col("delta_px") <= delta)
     return g.where(ok).select("match_id", F.col("run").alias("start_frame"), F.col("end").alias("end_frame"), "path_px", "step_px", "spread_px", "delta_px")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from courtlane.functions import geometry as G
 from courtlane.functions.strokes import posture_signals
 from courtlane.operators import landing as L
+from courtlane.operators import players as P
 from courtlane.plans.ref_strokes import _FAM, _STROKE, _classified
 from courtlane.plans.views import Registry, hits, impulses, info, phases, poses, r6, r6_sql, table, track, with_info
 
@@ -35,57 +36,81 @@ def f24_rest_evidence(spark, sf):
     return _rest(spark, sf).select("match_id", "run", "event_frame", "x", "y", *r6("approach", "settle_px"))
 
 
-_CALLX, _CALLY = G.project("x", "y")
-_CALL = _REST + f""", fin AS (SELECT match_id, rally, max(frame) AS frame, min(frame) AS ff, arg_max(hitter, (frame, hit_id)) AS hitter FROM hits WHERE rally > 0 GROUP BY match_id, rally),
-fn AS (SELECT f.*, (SELECT min(ff) FROM fin g WHERE g.match_id = f.match_id AND g.ff > f.frame) AS next_frame FROM fin f),
-ev AS (SELECT fn.match_id, rally, min(event_frame) AS event_frame, arg_min(struct_pack(x := r.x, y := r.y), event_frame) AS p FROM fn JOIN rest r ON r.match_id = fn.match_id AND event_frame > fn.frame AND (next_frame IS NULL OR event_frame < next_frame) GROUP BY ALL),
-cl AS (SELECT fn.match_id, rally, hitter, event_frame, p.x AS x, p.y AS y FROM fn LEFT JOIN ev USING (match_id, rally)),
-cm AS (SELECT cl.*, {_CALLX} AS xm, {_CALLY} AS ym FROM cl JOIN info USING (match_id)),
-cn AS (SELECT *, {G.line_distance('xm', 'ym')} AS line_m FROM cm),
-calls AS (SELECT match_id, rally, event_frame, line_m, CASE WHEN event_frame IS NULL THEN 'no_rest' WHEN line_m IS NULL THEN 'no_projection' WHEN NOT coalesce({G.target_half('hitter', 'ym')}, true) THEN 'wrong_half' ELSE 'visible_rest' END AS reason FROM cn)"""
+_CALLX, _CALLY = G.project("rx", "ry")
+_REST1 = _REST.replace("track WHERE vis AND source IN ('model', 'classical')", "(SELECT match_id, rally, frame, x, y, conf FROM tail)").replace("PARTITION BY match_id ORDER BY frame) <= 2", "PARTITION BY match_id, rally ORDER BY frame) <= 2").replace("sum(op) OVER (PARTITION BY match_id ORDER BY frame)", "rally * 1000000 + sum(op) OVER (PARTITION BY match_id, rally ORDER BY frame)").replace("SELECT match_id, frame, x, y, conf, CASE", "SELECT match_id, rally, frame, x, y, conf, CASE").replace("3 * least(12,", "least(12,").replace("/ 3 AS lo", "AS lo").replace("0.012 * scale)) / 3 AND", "0.012 * scale)) AND")
+_HITS = f"""fr AS (SELECT match_id, rally, frame, CASE WHEN raw_vis AND raw_source IN ('model', 'classical') THEN raw_x END AS x, CASE WHEN raw_vis AND raw_source IN ('model', 'classical') THEN raw_y END AS y, CASE WHEN vis THEN conf ELSE 0.65 END AS conf FROM track WHERE rally > 0),
+he AS (SELECT match_id, frame, arg_max(struct_pack(u := uncertain, c := hitter_confidence, s := hitter_source), hit_id) AS e FROM hits GROUP BY 1, 2),
+sc AS (SELECT match_id, fps, coalesce(least(1800, greatest(400, sqrt(abs({G.shoelace([f'q{k}' for k in range(8)])})))), 800) AS scale FROM info),
+hr AS (SELECT t.match_id, t.rally, t.frame, coalesce(hitscore, 0) AS score, lower(trim(hitsource)) AS src, hitter, NOT coalesce(e.u, false) AND raw_vis AS sure, raw_vis AS seen, coalesce(e.c, 0) AS hc, lower(trim(coalesce(e.s, ''))) AS hs, shot_end, scale FROM track t LEFT JOIN he USING (match_id, frame) JOIN sc USING (match_id) WHERE t.rally > 0 AND t.hit),
+h1 AS (SELECT *, NOT sure AND seen AND ((hs = 'pose_contact' AND hc >= 0.85 AND score >= 0.7) OR (coalesce(src IN ('curvature', 'edge_exit'), false) AND score >= 0.88) OR (score >= 0.9 AND hc >= 0.9)) AS strong FROM hr),
+w0 AS (SELECT h.match_id, h.rally, h.frame, max(scale) AS scale, list(struct_pack(f := f.frame, x := f.x, y := f.y) ORDER BY f.frame) AS p FROM h1 h JOIN fr f ON f.match_id = h.match_id AND f.rally = h.rally AND f.frame BETWEEN h.frame - 6 AND h.frame + 6 AND f.x IS NOT NULL AND f.y IS NOT NULL WHERE strong GROUP BY 1, 2, 3),
+w1 AS (SELECT match_id, rally, frame, scale, list_filter(p, lambda q: q.f < frame)[-3:] AS b, list_filter(p, lambda q: q.f = frame)[1] AS e, list_filter(p, lambda q: q.f > frame)[1:4] AS a FROM w0),
+w2 AS (SELECT *, list_concat(b, [e], a) AS way, len(b) AS n FROM w1 WHERE len(b) >= 2 AND len(a) >= 3 AND e IS NOT NULL),
+w3 AS (SELECT *, list_transform(range(1, len(way)), lambda i: way[i + 1].f - way[i].f) AS gaps, list_transform(range(1, len(way)), lambda i: sqrt(power(way[i + 1].x - way[i].x, 2) + power(way[i + 1].y - way[i].y, 2)) / greatest(1, way[i + 1].f - way[i].f)) AS v FROM w2),
+w4 AS (SELECT *, (v[n - 1] + v[n]) / 2 AS pre, list_median([v[n + 1], v[n + 2], v[n + 3]]) AS post, sqrt(power(a[3].x - e.x, 2) + power(a[3].y - e.y, 2)) AS away, (e.x - b[n].x) * (a[1].x - e.x) + (e.y - b[n].y) * (a[1].y - e.y) AS dot, sqrt(power(e.x - b[n].x, 2) + power(e.y - b[n].y, 2)) * sqrt(power(a[1].x - e.x, 2) + power(a[1].y - e.y, 2)) AS size FROM w3 WHERE list_max(gaps) <= 2),
+two AS (SELECT match_id, rally, frame FROM w4 WHERE pre >= greatest(4, 0.008 * scale) AND post >= greatest(4, 0.008 * scale) AND away >= greatest(8, 0.018 * scale) AND size > 1e-12 AND (dot <= 0.65 * size OR post >= 1.35 * pre OR post <= 0.55 * pre))"""
+_CALL = _HITS + f""", r0 AS (SELECT match_id, rally, max(frame) FILTER (sure) AS hit_frame, arg_max(hitter, frame) FILTER (sure) AS hitter, arg_max(hs, frame) FILTER (sure) AS hs, max(frame) FILTER (strong) AS strong_at FROM h1 GROUP BY 1, 2),
+r1 AS (SELECT r0.*, h1.shot_end, coalesce(h1.shot_end > hit_frame, false) AS goes FROM r0 LEFT JOIN h1 ON h1.match_id = r0.match_id AND h1.rally = r0.rally AND h1.frame = r0.hit_frame),
+r2 AS (SELECT *, goes AND (NOT EXISTS (SELECT 1 FROM fr WHERE fr.match_id = r1.match_id AND fr.rally = r1.rally AND fr.frame = r1.shot_end) OR EXISTS (SELECT 1 FROM two WHERE two.match_id = r1.match_id AND two.rally = r1.rally AND two.frame = r1.shot_end) OR EXISTS (SELECT 1 FROM h1 WHERE h1.match_id = r1.match_id AND h1.rally = r1.rally AND h1.frame = r1.shot_end AND sure)) AS continues, coalesce(strong_at > hit_frame, false) AS later,
+  CASE WHEN hitter IN ('near', 'far') AND hs NOT IN ('rally_alternation_inferred', 'rally_alternation_corrected') THEN hitter ELSE 'unknown' END AS who FROM r1),
+tail AS (SELECT fr.*, hit_frame FROM fr JOIN r2 USING (match_id, rally) WHERE hit_frame IS NOT NULL AND NOT continues AND NOT later AND x IS NOT NULL AND y IS NOT NULL AND frame > hit_frame AND (NOT goes OR frame <= shot_end)),
+{_REST1},
+g0 AS (SELECT match_id, rally, min(frame) AS run, max(frame) AS z, count(*) AS n, avg(conf) AS mean FROM (SELECT o1.*, g FROM o1) GROUP BY match_id, rally, g),
+g1 AS (SELECT match_id, rally, count(*) AS al, count(*) FILTER (n >= 3) AS coherent, arg_min(struct_pack(run := run, n := n, z := z, mean := mean), run) FILTER (n >= 3) AS t FROM g0 GROUP BY 1, 2),
+k0 AS (SELECT r2.*, al, coherent, t, rest.x AS rx, rest.y AS ry, info.* EXCLUDE (match_id) FROM r2 LEFT JOIN g1 USING (match_id, rally) JOIN info USING (match_id) LEFT JOIN rest ON rest.match_id = r2.match_id AND rest.run = t.run),
+k1 AS (SELECT *, {_CALLX} AS x_m, {_CALLY} AS y_m, greatest(fps, 1) AS rate, coalesce(coherent - 1, 0) AS rejected, t.z - hit_frame AS flight FROM k0),
+k2 AS (SELECT *, {G.line_distance('x_m', 'y_m')} AS line_m, {G.target_half('who', 'y_m')} AS target FROM k1),
+k3 AS (SELECT *, who = 'unknown' OR rejected > 0 AS held, round_even(100 * (0.38 * least(1, t.n / 5) + 0.25 * t.mean + 0.22 * least(1, flight / greatest(1, rate * 0.7)) + 0.15 * CASE WHEN target THEN 1 ELSE 0.68 END), 0) AS score FROM k2),
+k4 AS (SELECT *, CASE WHEN held THEN least(79, score) ELSE score END AS conf FROM k3),
+calls AS (SELECT *, CASE WHEN hit_frame IS NULL THEN 'no_confirmed_hit' WHEN continues THEN 'shot_continues_to_next_contact' WHEN later THEN 'later_hit_unconfirmed' WHEN al IS NULL THEN 'no_post_hit_observation' WHEN coherent = 0 THEN 'discontinuous_terminal_track' WHEN flight < greatest(3, round_even(rate * 0.18, 0)) THEN 'flight_too_short'
+ WHEN rx IS NULL THEN 'no_landing_evidence' WHEN line_m IS NULL THEN 'projection_failed' WHEN line_m < -1 THEN 'landing_out_of_bounds' WHEN NOT coalesce(target, true) THEN 'wrong_target_half' WHEN conf < 66 THEN 'low_confidence' END AS reason FROM k4)"""
+
+
+def _rally_rows(spark, sf):
+    """The rows of positive rallies with what a detector saw, and the hit rows with what the hit events know of them."""
+    t = track(spark, sf).where("rally > 0")
+    real = F.col("raw_vis") & F.col("raw_source").isin("model", "classical")
+    frames = t.select("match_id", "rally", "frame", F.when(real, F.col("raw_x")).alias("x"), F.when(real, F.col("raw_y")).alias("y"), F.when(F.col("vis"), F.col("conf")).otherwise(0.65).alias("conf"))
+    e = hits(spark, sf).groupBy("match_id", "frame").agg(F.max_by(F.struct("uncertain", "hitter_confidence", "hitter_source"), "hit_id").alias("e"))
+    h = t.where("hit").join(e, ["match_id", "frame"], "left")
+    return frames, h.select("match_id", "rally", "frame", F.col("hitscore").alias("score"), F.col("hitsource").alias("source"), "hitter", "e.uncertain", F.col("raw_vis").alias("ball_observed"), "e.hitter_confidence", "e.hitter_source", "shot_end")
 
 
 def _calls(spark, sf):
-    f = hits(spark, sf).where("rally > 0").groupBy("match_id", "rally").agg(F.max("frame").alias("frame"), F.min("frame").alias("ff"), F.max_by("hitter", F.struct("frame", "hit_id")).alias("hitter"))
-    # the next rally's first hit after this one's last: a window over rallies, looking from the back
-    w = Window.partitionBy("match_id").orderBy("at", "kind")
-    marks = f.select("match_id", F.explode(F.array(F.struct(F.col("frame").alias("at"), F.lit(1).alias("kind"), F.col("rally").alias("rally")), F.struct(F.col("ff").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rally")))).alias("m")).select("match_id", "m.*")
-    nxt = marks.withColumn("n", F.min(F.when(F.col("kind") == 0, F.col("at"))).over(w.rowsBetween(1, Window.unboundedFollowing))).where("kind = 1").select("match_id", "rally", F.col("n").alias("next_frame"))
-    return L.rally_calls(_rest(spark, sf), f.join(nxt, ["match_id", "rally"]).drop("ff"), info(spark, sf))
+    return L.rally_calls(*_rally_rows(spark, sf), info(spark, sf))
 
 
-@add("track hits info", _CALL, f"SELECT match_id, rally, event_frame, round(line_m, 6) AS line_m, CASE WHEN reason = 'visible_rest' THEN {G.line_call('line_m')} END AS call, reason FROM calls")
+@add("track hits info", _CALL, f"SELECT match_id, rally, reason, hit_frame, CASE WHEN reason IS NULL THEN t.z END AS frame, who AS hitter, round(CASE WHEN reason IS NULL THEN line_m END, 6) AS line_m, CASE WHEN reason IS NULL THEN CASE WHEN held THEN 'review' ELSE {G.line_call('line_m')} END END AS decision, CASE WHEN reason IS NULL THEN conf END AS confidence, CAST(rejected AS BIGINT) AS rejected_runs FROM calls")
 def f25_rally_calls(spark, sf):
-    return _calls(spark, sf).select("match_id", "rally", "event_frame", *r6("line_m"), "call", "reason")
+    """With C23. Landings are rare in this data: rallies are mostly cut by the next hit."""
+    return _calls(spark, sf).select("match_id", "rally", "reason", "hit_frame", "frame", "hitter", *r6("line_m"), "decision", "confidence", "rejected_runs")
 
 
-@add("track hits info", _CALL, "SELECT reason, CAST(count(*) AS BIGINT) AS rallies, CASE reason WHEN 'visible_rest' THEN 1 WHEN 'wrong_half' THEN 2 WHEN 'no_projection' THEN 3 ELSE 4 END AS priority FROM calls GROUP BY reason")
+@add("track hits info", _CALL, "SELECT coalesce(reason, 'called') AS reason, CAST(count(*) AS BIGINT) AS rallies, CAST(list_position([" + ", ".join(f"'{r}'" for r in L.REASONS) + "], reason) AS BIGINT) AS priority FROM calls GROUP BY ALL")
 def e21_landing_diagnostics(spark, sf):
-    prio = F.when(F.col("reason") == "visible_rest", 1).when(F.col("reason") == "wrong_half", 2).when(F.col("reason") == "no_projection", 3).otherwise(4)
-    return _calls(spark, sf).groupBy("reason").agg(F.count("*").alias("rallies")).withColumn("priority", prio)
+    prio = F.coalesce(*[F.when(F.col("reason") == r, F.lit(i).cast("long")) for i, r in enumerate(L.REASONS, 1)])
+    return _calls(spark, sf).groupBy("reason").agg(F.count("*").alias("rallies")).select(F.coalesce("reason", F.lit("called")).alias("reason"), "rallies", prio.alias("priority"))
 
 
-@add("track hits", "n AS (SELECT h.hit_id, count(*) FILTER (t.frame < h.frame) AS b, count(*) FILTER (t.frame > h.frame) AS a FROM hits h JOIN track t ON t.match_id = h.match_id AND t.frame BETWEEN h.frame - 6 AND h.frame + 6 AND t.frame <> h.frame AND t.vis AND t.source IN ('model', 'classical') GROUP BY h.hit_id)", "SELECT h.hit_id, coalesce(score >= 0.6 AND NOT uncertain AND hitter IN ('near', 'far'), false) AS confirmed, coalesce(score >= 0.75 AND NOT (NOT uncertain AND hitter IN ('near', 'far')), false) AS strong, coalesce(b >= 2 AND a >= 2, false) AS two_sided FROM hits h LEFT JOIN n USING (hit_id)")
+@add("track hits info", _HITS, "SELECT match_id, rally, h1.frame, sure AS confirmed, strong, two.frame IS NOT NULL AS two_sided FROM h1 LEFT JOIN two USING (match_id, rally, frame)")
 def c23_confirmed_hits(spark, sf):
-    h = hits(spark, sf)
-    near = h.select("hit_id", "match_id", F.col("frame").alias("hf"), F.explode(F.sequence(F.col("frame") - 6, F.col("frame") + 6)).alias("frame")).where("frame <> hf")
-    t = track(spark, sf).where(F.col("vis") & F.col("source").isin("model", "classical")).select("match_id", "frame")
-    n = near.join(t, ["match_id", "frame"]).groupBy("hit_id").agg(F.count_if(F.col("frame") < F.col("hf")).alias("b"), F.count_if(F.col("frame") > F.col("hf")).alias("a"))
-    sure = ~F.col("uncertain") & F.col("hitter").isin("near", "far")
-    no = lambda e: F.coalesce(e, F.lit(False))
-    return h.join(n, "hit_id", "left").select("hit_id", no((F.col("score") >= 0.6) & sure).alias("confirmed"), no((F.col("score") >= 0.75) & ~sure).alias("strong"), no((F.col("b") >= 2) & (F.col("a") >= 2)).alias("two_sided"))
+    """Confirmed hits, strong unconfirmed ones, and which of these have flight on both sides."""
+    frames, h = _rally_rows(spark, sf)
+    h = with_info(h, spark, sf).withColumns({"confirmed": L.confirmed_hit(F.col("uncertain"), F.col("ball_observed")), "strong": L.strong_unconfirmed(*[F.col(c) for c in ("uncertain", "ball_observed", "score", "source", "hitter_confidence", "hitter_source")]), "scale": L.court_scale([f"q{k}" for k in range(8)])})
+    two = L.two_sided(h.where("strong"), frames.where("x is not null and y is not null")).withColumn("two", F.lit(True))
+    return h.select("match_id", "rally", "frame", "confirmed", "strong").join(two, ["match_id", "rally", "frame"], "left").select("match_id", "rally", "frame", "confirmed", "strong", F.coalesce("two", F.lit(False)).alias("two_sided"))
 
 
-@add("hits", "", "SELECT hit_id, list_filter([CASE WHEN score < 0.6 THEN 'low_score' END, CASE WHEN uncertain THEN 'uncertain' END, CASE WHEN hitter = 'unknown' THEN 'unknown_hitter' END, CASE WHEN coalesce(hitter_confidence, 0) < 0.6 THEN 'weak_attribution' END], lambda r: r IS NOT NULL) AS reasons FROM hits")
-def c25_coaching_gates(spark, sf):
-    """Reason codes that keep a hit from being coached, in a fixed order."""
-    why = {"low_score": F.col("score") < 0.6, "uncertain": F.col("uncertain"), "unknown_hitter": F.col("hitter") == "unknown", "weak_attribution": F.coalesce("hitter_confidence", F.lit(0.0)) < 0.6}
-    return hits(spark, sf).select("hit_id", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in why.items()])).alias("reasons"))
+_FOOT = lambda base: f"CASE WHEN kp[{15 + base}].conf >= 0.22 AND kp[{16 + base}].conf >= 0.22 THEN (kp[{15 + base}].x + kp[{16 + base}].x) / 2 WHEN kp[{15 + base}].conf >= 0.22 THEN kp[{15 + base}].x WHEN kp[{16 + base}].conf >= 0.22 THEN kp[{16 + base}].x ELSE (b0 + b2) / 2 END"
+_FOOTY = lambda base: f"CASE WHEN kp[{15 + base}].conf >= 0.22 AND kp[{16 + base}].conf >= 0.22 THEN greatest(kp[{15 + base}].y, kp[{16 + base}].y) WHEN kp[{15 + base}].conf >= 0.22 THEN kp[{15 + base}].y WHEN kp[{16 + base}].conf >= 0.22 THEN kp[{16 + base}].y ELSE b3 END"
+_INNER = P.inner_quad([f"q{k}" for k in range(8)])
 
 
-@add("poses", "", "SELECT match_id, frame, side, (b2 - b0) >= 100 AND (b3 - b1) >= 100 AS large_enough FROM poses WHERE b1 < b3")
+@add("poses info", f"ft AS (SELECT match_id, frame, side, b2 - b0 AS w, b3 - b1 AS h, {_FOOT(1)} AS fx, {_FOOTY(1)} AS fy, info.* EXCLUDE (match_id) FROM poses JOIN info USING (match_id))", f"SELECT match_id, frame, side, round(fx, 6) AS fx, round(fy, 6) AS fy FROM ft WHERE w >= 10 AND h >= 20 AND {G.in_quad('fx', 'fy', [f'q{k}' for k in range(8)])} AND {G.in_quad('fx', 'fy', _INNER)}")
 def c28_player_filters(spark, sf):
-    return poses(spark, sf).where("b1 < b3").select("match_id", "frame", "side", F.expr("(b2 - b0) >= 100 AND (b3 - b1) >= 100").alias("large_enough"))
+    """With B13: boxes of 10 x 20 px or more whose foot stands in the court and in the inner quadrilateral; nobody is followed here, so no earlier far player excuses one."""
+    p = with_info(poses(spark, sf), spark, sf).withColumns({"fx": F.expr(_FOOT(0)), "fy": F.expr(_FOOTY(0))})
+    return P.player_candidates(p, [f"q{k}" for k in range(8)]).select("match_id", "frame", "side", *r6("fx", "fy"))
 
 
 @add("", "", "SELECT doc_id, CASE WHEN lower(trim(lang)) IN ('en', 'zh', 'es', 'de', 'id', 'ja') THEN lower(trim(lang)) ELSE 'other' END AS lang, substring(text, 1, 80) AS title, CAST(least(5000, greatest(0, n_chars)) AS BIGINT) AS n_chars FROM documents")
