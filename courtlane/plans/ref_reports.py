@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from courtlane.functions import geometry as G
 from courtlane.functions.strokes import posture_signals
+from courtlane.operators import coaching as K
 from courtlane.operators import landing as L
 from courtlane.operators import players as P
 from courtlane.plans.ref_strokes import _FAM, _STROKE, _classified
@@ -255,3 +256,57 @@ def h10_posture_signals(spark, sf):
     mid = lambda c: F.percentile(c, F.lit(0.5)).alias(c)
     g = h.join(m, ["match_id", "frame"]).groupBy("hit_id", "family").agg(F.count("*").alias("n"), F.avg("conf").alias("conf"), mid("knee"), mid("stance"), mid("elbow"), mid("reach"), F.avg("high").alias("hs"))
     return g.select("hit_id", posture_signals(*[F.col(c) for c in ("family", "n", "conf", "knee", "stance", "elbow", "reach", "hs")]).alias("signals"))
+
+
+#: What a review knows of a stroke, made from hit_id; the same input in both engines.
+_KNOWN = {
+    "contact_samples": "hit_id % 6", "pose_confidence": "(hit_id % 21) / 2e1", "knee": "150e0 + hit_id % 30", "knee_samples": "hit_id % 5", "stance": "4e-1 + (hit_id % 11) / 2e1", "stance_samples": "(hit_id + 1) % 5", "elbow": "120e0 + hit_id % 50", "elbow_samples": "(hit_id + 2) % 5",
+    "reach": "8e-1 + (hit_id % 9) / 1e1", "reach_samples": "(hit_id + 3) % 5", "contact_distance": "5e-1 + (hit_id % 13) / 2e1", "contact_distance_samples": "(hit_id + 4) % 5", "post_motion_m": "(hit_id % 10) / 2e1", "arm": "CASE hit_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'unknown' END",
+    "arm_above_share": "(hit_id % 7) / 6e0", "arm_above_samples": "hit_id % 6", "prep_samples": "hit_id % 5", "prep_knee": "150e0 + hit_id % 25", "prep_knee_samples": "hit_id % 5", "prep_stance": "4e-1 + (hit_id % 8) / 2e1", "prep_stance_samples": "(hit_id + 1) % 5", "prep_wrist": "(hit_id % 5) / 2e1 - 2e-1",
+    "contact_wrist": "(hit_id % 7) / 2e1", "contact_wrist_samples": "hit_id % 4", "peak_wrist_speed": "(hit_id % 9) / 4e0", "flight_seconds": "(hit_id % 17) / 1e1", "recovery_intervals": "hit_id % 6", "recovery_observed": "(hit_id % 11) / 1e1", "recovery_stable": "hit_id % 4 = 0", "recovery_stable_seconds": "(hit_id % 10) / 1e1",
+    "phase_confidence": "8e-1 + (hit_id % 9) / 4e1", "real_points": "3 + hit_id % 8",
+}
+
+
+def _reviewed(spark, sf):
+    n = F.col("hit_id") % 5
+    given = F.when(n == 0, F.array(F.lit("arm_unresolved"))).when(n == 1, F.array(F.lit("prep_samples_low"))).when(n == 2, F.array(F.lit("recovery_samples_low"))).otherwise(F.array().cast("array<string>"))
+    h = _classified(spark, sf).select("hit_id", "match_id", "rally", "idx", "frame", "family", "confidence", F.col("confirmed").alias("event_confirmed"), "candidate", given.alias("phase_reasons"), *[F.expr(e).alias(c) for c, e in _KNOWN.items()])
+    return K.reviewed(h)
+
+
+_LIST = lambda rules: "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in rules.items()) + "], lambda v: v IS NOT NULL)"
+_OVER = "'clear', 'drive_clear', 'drop', 'smash'"
+_LOW = lambda k, s: f"((knee_samples >= 3 AND knee >= {k}) OR (stance_samples >= 3 AND stance < {s}))"
+_GATES = _STROKE + ", " + _FAM + f""", kn AS (SELECT fc.hit_id, match_id, rally, idx, frame, family, least(least(score0, c1), least(c2, c3)) AS confidence, confirmed, candidate, {', '.join(f'{e} AS {c}' for c, e in _KNOWN.items())} FROM fc),
+s1 AS (SELECT *, contact_samples >= 2 AND pose_confidence >= 0.45 AS shown, """ + _LIST({
+    "serve_preparation": f"family = 'serve' AND {_LOW(165, 0.52)}", "serve_first_step": "family = 'serve' AND post_motion_m < 0.18", "front_support": f"family IN ({_FRONT}) AND {_LOW(168, 0.48)}", "front_contact_space": f"family IN ({_FRONT}) AND contact_distance_samples >= 3 AND contact_distance < 0.78",
+    "overhead_extension": f"family IN ({_OVER}) AND arm <> 'unknown' AND arm_above_share >= 0.67 AND arm_above_samples >= 3 AND elbow_samples >= 3 AND elbow < 145 AND reach_samples >= 3 AND reach < 1.05", "back_support": f"family IN ({_BACK}) AND knee_samples >= 3 AND knee >= 170",
+}) + " AS sig, " + _LIST({
+    "preparation_support": "prep_samples >= 3 AND ((prep_knee_samples >= 3 AND prep_knee >= 165) OR (prep_stance_samples >= 3 AND prep_stance < 0.52))", "overhead_preparation": "prep_samples >= 3 AND prep_wrist < -0.08 AND contact_wrist >= 0.05 AND contact_wrist_samples >= 2 AND peak_wrist_speed >= 1",
+    "recovery_stability": "flight_seconds >= 0.75 AND recovery_intervals >= 3 AND recovery_observed >= 0.7 AND (NOT recovery_stable OR recovery_stable_seconds > 0.65)",
+}) + " AS psig FROM kn), s2 AS (SELECT * EXCLUDE (sig, psig), CASE WHEN shown THEN sig ELSE [] END AS signals, CASE WHEN shown THEN psig ELSE [] END AS phase_signals FROM s1), s3 AS (SELECT *, " + _LIST({
+    "stroke_family_unknown": "family IN ('unknown', 'front_unknown', 'back_unknown')", "stroke_confidence_low": "confidence < 72", "contact_samples_low": "contact_samples < 3", "pose_confidence_low": "pose_confidence < 0.8", "trajectory_points_low": "real_points < 6", "no_actionable_signal": "len(signals) = 0",
+}) + " AS type_reasons, " + _LIST({
+    "event_unconfirmed": "NOT confirmed", "contact_samples_low": "contact_samples < 3", "phase_pose_confidence_low": "phase_confidence < 0.8", "trajectory_points_low": "real_points < 6", "arm_unresolved": "hit_id % 5 = 0", "prep_samples_low": "hit_id % 5 = 1 AND (list_contains(phase_signals, 'preparation_support') OR list_contains(phase_signals, 'overhead_preparation'))",
+    "recovery_samples_low": "hit_id % 5 = 2 AND list_contains(phase_signals, 'recovery_stability')", "no_actionable_phase_signal": "len(phase_signals) = 0",
+}) + " AS phase_reasons FROM s2), s4 AS (SELECT *, list_concat(CASE WHEN len(type_reasons) = 0 THEN signals ELSE [] END, CASE WHEN len(phase_reasons) = 0 THEN phase_signals ELSE [] END) AS eligible FROM s3)"
+
+
+@add("hits info", _GATES, "SELECT hit_id, signals, phase_signals, type_reasons, phase_reasons, eligible AS eligible_signals FROM s4")
+def c25_coaching_gates(spark, sf):
+    """With H10: the signals of a stroke and of its phases, and what keeps either from counting, in a fixed order. What a review knows of a stroke is made from hit_id."""
+    return _reviewed(spark, sf).select("hit_id", "signals", "phase_signals", "type_reasons", F.col("phase_reasons_all").alias("phase_reasons"), "eligible_signals")
+
+
+_ADVICE = _GATES + """, rv AS (SELECT * FROM s4 WHERE candidate),
+torn AS (SELECT match_id, rally, idx FROM rv JOIN (SELECT match_id, frame FROM rv GROUP BY ALL HAVING count(DISTINCT (rally, idx)) > 1) USING (match_id, frame)),
+ones AS (SELECT match_id, rally, idx, max(family) AS family, unnest(arg_min(eligible, hit_id)) AS signal FROM rv WHERE (match_id, rally, idx) NOT IN (SELECT (match_id, rally, idx) FROM torn) GROUP BY match_id, rally, idx),
+fits AS (SELECT * FROM ones WHERE signal IN ('preparation_support', 'overhead_preparation', 'recovery_stability') OR (signal LIKE 'serve%' AND family = 'serve') OR (signal LIKE 'front%' AND family IN ('net', 'lift', 'push', 'cross_net', 'net_kill')) OR (signal = 'overhead_extension' AND family IN ('clear', 'drive_clear', 'drop', 'smash')) OR (signal = 'back_support' AND family IN ('clear', 'drive_clear', 'drop', 'smash', 'defensive_drive'))),
+adv AS (SELECT match_id, CASE WHEN signal LIKE 'serve%' THEN 'serve' WHEN signal LIKE 'front%' THEN 'frontcourt' WHEN signal LIKE 'overhead%' THEN 'overhead' WHEN signal LIKE 'back%' THEN 'backcourt' WHEN signal LIKE 'prep%' THEN 'preparation' ELSE 'recovery' END AS coach_group, signal, count(*) AS hits FROM fits GROUP BY ALL HAVING count(*) >= 3)"""
+
+
+@add("hits info", _ADVICE, "SELECT match_id, coach_group, signal, hits, CAST(row_number() OVER w AS BIGINT) AS place, CASE WHEN hits >= 5 THEN 'high' ELSE 'medium' END AS priority FROM adv WINDOW w AS (PARTITION BY match_id ORDER BY hits DESC, coach_group, signal) QUALIFY row_number() OVER w <= 3")
+def e15_recommendations(spark, sf):
+    """With C26 and K13: the three commonest signals of a match that three independent hits show: a top-k report."""
+    return K.recommendations(K.independent_hits(_reviewed(spark, sf).where("candidate"))).select("match_id", "coach_group", "signal", "hits", "place", "priority")
