@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from courtlane.functions import geometry as G
 from courtlane.operators.sequence import runs
-from courtlane.session import join_small
+from courtlane.session import join_small, staged
 
 #: Share of the court's size in pixels (held within 400 to 1800): settled, motion, approach, and resumed motion.
 SETTLE, MOTION, APPROACH_LEAST, APPROACH_MOST = 0.012, 0.012, 0.012, 0.050
@@ -85,9 +85,11 @@ def two_sided(hits: DataFrame, obs: DataFrame, reach: int = 6, most_gap: int = 2
     j = near.join(obs.select("match_id", "rally", "frame", "x", "y"), ["match_id", "rally", "frame"])
     g = j.groupBy("match_id", "rally", F.col("hf").alias("frame")).agg(F.max("scale").alias("scale"), F.sort_array(F.collect_list(F.struct(F.col("frame").alias("f"), "x", "y"))).alias("p"))
     g = g.withColumns({"b": F.expr("filter(p, q -> q.f < frame)"), "e": F.expr("get(filter(p, q -> q.f = frame), 0)"), "a": F.expr("slice(filter(p, q -> q.f > frame), 1, 4)")})
-    g = g.where("size(b) >= 2 and size(a) >= 3 and e is not null").withColumn("b", F.expr("slice(b, greatest(1, size(b) - 2), 3)"))
-    g = g.withColumn("way", F.expr("concat(b, array(e), a)")).where(f"forall(sequence(1, size(way) - 1), i -> get(way, i).f - get(way, i - 1).f <= {most_gap})")
+    apart = lambda df: df.repartition("match_id", "rally")  # noqa: E731  # few rows; keeps the optimiser from writing the arrays out in all that use them
+    g = apart(g.where("size(b) >= 2 and size(a) >= 3 and e is not null")).withColumn("b", F.expr("slice(b, greatest(1, size(b) - 2), 3)"))
+    g = apart(g.withColumn("way", F.expr("concat(b, array(e), a)"))).where(f"forall(sequence(1, size(way) - 1), i -> get(way, i).f - get(way, i - 1).f <= {most_gap})")
     g = g.withColumn("v", F.expr("transform(sequence(1, size(way) - 1), i -> sqrt(power(get(way, i).x - get(way, i - 1).x, 2) + power(get(way, i).y - get(way, i - 1).y, 2)) / greatest(1, get(way, i).f - get(way, i - 1).f))"))
+    g = apart(g)
     n = F.size("b")
     at = lambda i: F.get("v", i - 1)
     before = (at(n - 1) + at(n)) / 2
@@ -113,6 +115,7 @@ def rally_calls(frames: DataFrame, hits: DataFrame, info: DataFrame, review: boo
     q = [f"q{k}" for k in range(8)]
     h = join_small(hits, info, ["match_id"], "inner").withColumn("scale", court_scale(q))
     h = h.withColumns({"sure": confirmed_hit(F.col("uncertain"), F.col("ball_observed")), "strong": strong_unconfirmed(*[F.col(c) for c in ("uncertain", "ball_observed", "score", "source", "hitter_confidence", "hitter_source")])})
+    h = staged(h.select("match_id", "rally", "frame", "scale", "hitter", "hitter_source", "shot_end", "sure", "strong"), "hits")
     obs = frames.where("x is not null and y is not null")
     rallies = h.groupBy("match_id", "rally").agg(F.max(F.when(F.col("sure"), F.struct("frame", "hitter", "hitter_source", "shot_end"))).alias("last"), F.max(F.when(F.col("strong"), F.col("frame"))).alias("strong_at"))
     r = rallies.select("match_id", "rally", "strong_at", F.col("last.frame").alias("hit_frame"), F.lower(F.trim(F.coalesce("last.hitter", F.lit("unknown")))).alias("hitter"), F.lower(F.trim(F.coalesce("last.hitter_source", F.lit("")))).alias("from"), F.col("last.shot_end").alias("shot_end"))
@@ -125,15 +128,19 @@ def rally_calls(frames: DataFrame, hits: DataFrame, info: DataFrame, review: boo
     r = r.withColumns({"continues": goes_on & (F.col("end_row").isNull() | F.coalesce("end_real", F.lit(False)) | F.coalesce("end_sure", F.lit(False))), "bound": F.when(goes_on, F.col("shot_end")), "later": F.coalesce(F.col("strong_at") > F.col("hit_frame"), F.lit(False))})
     known = F.col("hitter").isin("near", "far") & ~F.col("from").isin(*REVIEW_ONLY)
     r = r.select("match_id", "rally", "hit_frame", "continues", "bound", "later", F.when(known, F.col("hitter")).otherwise("unknown").alias("hitter"))
+    r = staged(r, "rallies")
     after = obs.join(r.where("hit_frame is not null and not continues and not later").select("match_id", "rally", "hit_frame", "bound"), ["match_id", "rally"]).where("frame > hit_frame and (bound is null or frame <= bound)")
-    run = runs(after.select("match_id", "rally", "frame", "x", "y", "conf"), F.lit(True), 2, by="rally")
+    run = staged(runs(after.select("match_id", "rally", "frame", "x", "y", "conf"), F.lit(True), 2, by="rally"), "tails")
     g = run.groupBy("match_id", "rally", "run").agg(F.count("*").alias("n"), F.max("frame").alias("end"), F.avg("conf").alias("mean"))
     tail = g.groupBy("match_id", "rally").agg(F.count("*").alias("all"), F.count_if(F.col("n") >= 3).alias("coherent"), F.min(F.when(F.col("n") >= 3, F.struct("run", "n", "end", "mean"))).alias("t"))
     rest = rest_evidence(run.drop("rally"), info, span_seconds).select("match_id", F.col("run").alias("rest_run"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    k = join_small(r.join(tail, ["match_id", "rally"], "left"), info, ["match_id"], "inner").withColumn("rest_run", F.col("t.run")).join(rest, ["match_id", "rest_run"], "left")
+    k = join_small(r.join(tail, ["match_id", "rally"], "left"), info, ["match_id"], "inner").withColumn("rest_run", F.col("t.run"))
+    k = staged(k.join(rest, ["match_id", "rest_run"], "left"), "landings")
     x, y = G.project("rx", "ry")
     k = k.withColumns({"x_m": F.expr(x), "y_m": F.expr(y), "flight": F.col("t.end") - F.col("hit_frame"), "fps": F.greatest("fps", F.lit(1.0)), "rejected": F.coalesce(F.col("coherent") - 1, F.lit(0))})
-    k = k.withColumns({"line_m": F.expr(G.line_distance("x_m", "y_m")), "target": F.expr(G.target_half("hitter", "y_m"))})
+    # one row per rally; a shuffle of these keeps the optimiser from writing each expression out in all that use it
+    apart = lambda df: df.repartition("match_id", "rally")
+    k = apart(apart(k).withColumns({"line_m": F.expr(G.line_distance("x_m", "y_m")), "target": F.expr(G.target_half("hitter", "y_m"))}))
     fallback = F.col("rejected") > 0
     score = 100.0 * (0.38 * F.least(F.lit(1.0), F.col("t.n") / 5) + 0.25 * F.col("t.mean") + 0.22 * F.least(F.lit(1.0), F.col("flight") / F.greatest(F.lit(1.0), F.col("fps") * 0.70)) + 0.15 * F.when(F.coalesce("target", F.lit(False)), 1.0).otherwise(0.68))
     held = F.lit(review) | (F.col("hitter") == "unknown") | fallback
@@ -143,7 +150,7 @@ def rally_calls(frames: DataFrame, hits: DataFrame, info: DataFrame, review: boo
         .when(F.col("coherent") == 0, "discontinuous_terminal_track").when(F.col("flight") < F.greatest(F.lit(3), F.bround(F.col("fps") * 0.18)), "flight_too_short").when(F.col("rx").isNull(), "no_landing_evidence")
         .when(F.col("line_m").isNull(), "projection_failed").when(F.col("line_m") < -1.0, "landing_out_of_bounds").when(~F.coalesce("target", F.lit(True)), "wrong_target_half").when(F.col("confidence") < 66, "low_confidence")
     )
-    k = k.withColumn("reason", reason)
+    k = apart(k.withColumn("reason", reason))
     call = F.when(held, "review").otherwise(F.expr(G.line_call("line_m")))
     of = lambda c: F.when(F.col("reason").isNull(), c)
     return k.select("match_id", "rally", "reason", "hit_frame", of(F.col("t.end")).alias("frame"), "hitter", of(F.col("x_m")).alias("x_m"), of(F.col("y_m")).alias("y_m"), of(F.col("line_m")).alias("line_m"), of(call).alias("decision"), of(F.col("confidence")).alias("confidence"), F.col("rejected").alias("rejected_runs"))

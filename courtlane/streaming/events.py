@@ -7,16 +7,15 @@ query (``late_rows``). State is kept per match, except for sessions, whose state
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from courtlane.session import shared_dir
+from courtlane.session import work_path
 
 
 def read_stream(spark: SparkSession, sf: str, name: str, files_per_batch: int = 8) -> DataFrame:
@@ -29,7 +28,7 @@ def read_stream(spark: SparkSession, sf: str, name: str, files_per_batch: int =
 def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Runs the stream over what is there now and gives its result as a table in the shared folder; in complete mode the last result only."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{label}-{uuid.uuid4().hex}"
+    base = work_path(spark, f"stream-{label}")
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").option("path", f"{base}/out").start()
@@ -44,18 +43,22 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
 
 
-def count_windows(frames: DataFrame, length: int, offset: int = 0) -> DataFrame:
-    """Tumbling windows of ``length`` frames that begin at ``offset``: match_id, window_start, frames, visible. The same for batch and stream."""
-    start = F.floor((F.col("frame") - offset) / length) * length + offset
-    return frames.groupBy("match_id", start.cast("long").alias("window_start")).agg(F.count("*").alias("frames"), F.sum(F.coalesce(F.col("visibility"), F.lit(0)).cast("long")).alias("visible"))
+def count_windows(frames: DataFrame, length: int, offset: int = 0, slide: int | None = None) -> DataFrame:
+    """Windows of ``length`` frames, one every ``slide`` frames (tumbling where it isn't given), that begin at ``offset`` plus multiples: match_id, window_start, frames, visible. The same for
+    batch and stream; ``slide`` must divide ``length``. Windows at a match's ends hold fewer frames."""
+    slide = slide or length
+    last = F.floor((F.col("frame") - offset) / slide) * slide + offset
+    starts = F.explode(F.array(*[(last - k * slide).cast("long") for k in range(length // slide)]))
+    w = frames.select("match_id", "visibility", starts.alias("window_start"))
+    return w.groupBy("match_id", "window_start").agg(F.count("*").alias("frames"), F.sum(F.coalesce(F.col("visibility"), F.lit(0)).cast("long")).alias("visible"))
 
 
-def sessions(hits: DataFrame, fps: int, seconds: int = 5, delay: str = "1 hour") -> DataFrame:
-    """Stretches of hits with at most ``seconds`` in between, as session windows: match_id, start_frame, end_frame.
+def sessions(hits: DataFrame, fps: int | Column, seconds: int = 5, delay: str = "1 hour") -> DataFrame:
+    """Stretches of hits with at most ``seconds`` in between, as session windows: match_id, start_frame, end_frame. ``fps`` is a number or a column of ``hits``.
 
     Session windows part at a gap of the given length, the operator only at a longer one, so a microsecond is added.
     """
-    at = F.timestamp_seconds(F.col("frame") / F.lit(float(fps)))
+    at = F.timestamp_seconds(F.col("frame") / (fps if isinstance(fps, Column) else F.lit(float(fps))))
     e = hits.withColumn("at", at).withWatermark("at", delay)
     return e.groupBy("match_id", F.session_window("at", f"{seconds} seconds 1 microsecond").alias("w")).agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame")).select("match_id", "start_frame", "end_frame")
 
