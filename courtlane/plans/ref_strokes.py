@@ -229,7 +229,15 @@ def h09_type_choice(spark, sf):
     return h.select("hit_id", status.alias("status"), family.alias("family"))
 
 
-@add()
+@add("logits hits", _D10, "SELECT h.hit_id, coalesce(any_value(label), '') AS label FROM hits h LEFT JOIN (SELECT match_id, frame, arg_min(label, event) AS label FROM cs GROUP BY 1, 2) c ON c.match_id = h.match_id AND c.frame = h.frame GROUP BY h.hit_id")
+def d11_labels_on_frames(spark, sf):
+    """D11: the label on a hit's own frame, the first event's where several stand there, an empty text where none does."""
+    c = logits(spark, sf).withColumn("t", S.top_classes(F.col("logits"), 1)[0])
+    c = c.groupBy((F.col("truth") + 1001).alias("match_id"), F.col("event").alias("frame")).agg(F.min_by(S.without_side(F.col("t.raw_label")), "event").alias("label"))
+    return hits(spark, sf).select("hit_id", "match_id", "frame").join(c, ["match_id", "frame"], "left").select("hit_id", F.coalesce("label", F.lit("")).alias("label"))
+
+
+@add("logits", "", "SELECT event, CAST(list_position(logits, list_max(logits)) - 1 AS BIGINT) AS class_id FROM logits")
 def j01_predictor_hook(spark, sf):
     """J1: a model as a pandas function of feature batches, here the index of the largest score."""
     from courtlane.functions.hooks import predicted
