@@ -59,16 +59,16 @@ def options(base: Options | None = None, **changed: object) -> Options:
     return replace(base, **changed)
 
 
-def shape_candidates(components: DataFrame, o: Options = Options()) -> DataFrame:
+def shape_candidates(components: DataFrame, o: Options = Options(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Components (match_id, frame, cand_id, x, y, width, height, area, motion, value, background) through the shape gates, with aspect, density, contrast and quality.
 
-    motion and value are means over the component's pixels, background the median around it. A null measure fails its gate.
+    motion and value are means over the component's pixels, background the median around it. A null measure fails its gate. ``keep`` names further columns to hand on.
     """
     short, long = F.least("width", "height"), F.greatest("width", "height")
     c = components.withColumns({"density": F.col("area") / (F.col("width") * F.col("height")), "aspect": short / long, "contrast": F.col("value") - F.col("background")})
     c = c.where(F.col("area").between(o.area_least, o.area_most) & (short >= o.side_least) & (long <= o.side_most) & (F.col("density") >= o.density_least) & (F.col("aspect") >= o.aspect_least))
     quality = 0.023 * F.col("motion") + 0.014 * F.greatest(F.lit(0.0), F.col("contrast")) + 0.0025 * F.col("value") + F.sqrt(F.greatest(F.lit(0.0), F.col("aspect") * F.col("density"))) - 0.004 * F.abs(F.col("area") - 45)
-    return c.select("match_id", "frame", "cand_id", "x", "y", "area", "aspect", "density", "contrast", quality.alias("quality"))
+    return c.select("match_id", "frame", "cand_id", "x", "y", "area", "aspect", "density", "contrast", quality.alias("quality"), *keep)
 
 
 def _seen(measure: str, least: float) -> Column:

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from courtlane.operators.sequence import anchors, dense, runs
 
 
-def scan(df: DataFrame, keys: list[str], order: list[str], columns: list[str], machine: Callable[[], object], schema: str) -> DataFrame:
-    """Rows of each key, in order, through a fresh ``machine()``: ``row(key, values)`` and ``end(key)`` give lists of result tuples."""
+def scan(df: DataFrame, keys: list[str], order: list[str], columns: list[str], machine: Callable[[], object], schema: str, grow: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Rows of each key, in order, through a fresh ``machine()``: ``row(key, values)`` and ``end(key)`` give lists of result tuples. ``grow`` makes the rows out of those of ``df``
+    behind the shuffle, so that it moves only what they are made of; it must keep the keys."""
     names = [f.strip().split(" ")[0] for f in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,7 +37,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], columns: list[str], m
         if state is not None:
             yield pd.DataFrame(state.end(at), columns=names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return grow(df.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 class Kalman:
@@ -510,17 +511,20 @@ class Extender:
         if self.done or len(self.pts) < 3:
             return []
         (f0, x0, y0), (f1, x1, y1) = self.pts[-2], self.pts[-1]
-        t = np.array([p[0] - f1 for p in self.pts], dtype=float)
-        deg, dt = 2 if len(self.pts) >= 5 else 1, self.frame - f1
-        px, py = (float(np.polyval(np.polyfit(t, [p[i] for p in self.pts], deg), dt)) for i in (1, 2))
-        vx, vy = (x1 - x0) / (f1 - f0), (y1 - y0) / (f1 - f0)
-        speed, best = math.hypot(vx, vy), None
-        gate = min(30.0, 10.0 + 0.30 * speed + 4.0 * (dt - 1))
-        for cand, x, y, quality in cands:
-            d, wx, wy = math.hypot(x - px, y - py), (x - x1) / dt, (y - y1) / dt
-            bend, now = math.hypot(wx - vx, wy - vy), math.hypot((x - x1) / dt, (y - y1) / dt)
-            straight = speed <= 3.0 or now <= 3.0 or (vx * wx + vy * wy) >= math.cos(math.radians(38.0)) * speed * now
-            if quality >= self.seed and d <= gate and bend <= 13.0 + 2.0 * (dt - 1) and straight:
+        vx, vy, dt = (x1 - x0) / (f1 - f0), (y1 - y0) / (f1 - f0), self.frame - f1
+        speed, best, able = math.hypot(vx, vy), None, []
+        for cand, x, y, quality in cands:  # the fit is the dear part: only if a candidate is left for it
+            wx, wy = (x - x1) / dt, (y - y1) / dt
+            bend, now = math.hypot(wx - vx, wy - vy), math.hypot(wx, wy)
+            if quality >= self.seed and bend <= 13.0 + 2.0 * (dt - 1) and (speed <= 3.0 or now <= 3.0 or (vx * wx + vy * wy) >= math.cos(math.radians(38.0)) * speed * now):
+                able.append((cand, x, y, quality, bend))
+        if able:
+            t, deg = np.array([p[0] - f1 for p in self.pts], dtype=float), 2 if len(self.pts) >= 5 else 1
+            px, py = (float(np.polyval(np.polyfit(t, [p[i] for p in self.pts], deg), dt)) for i in (1, 2))
+            gate = min(30.0, 10.0 + 0.30 * speed + 4.0 * (dt - 1))
+        for cand, x, y, quality, bend in able:
+            d = math.hypot(x - px, y - py)
+            if d <= gate:
                 cost = d / gate + 0.035 * bend - 0.04 * quality
                 if best is None or (cost, cand) < best[:2]:
                     best = (cost, cand, x, y)
@@ -547,6 +551,98 @@ def extensions(points: DataFrame, candidates: DataFrame, forward: bool = True, r
     return out.withColumn("frame", F.col("frame") * sign)
 
 
+class ExtendedTracker(GreedyTracker):
+    """The greedy tracker over frames with holes of any length, its runs begun anew as in greedy_tracks, and the extensions of each track as soon as they can be known: forward from its
+    last points when it has ended, backward over the frames held when its first points are there. Holds the tracks, their seven points, the frames within reach and the open extensions."""
+
+    POINTS = 7
+
+    def __init__(self, forward: bool, reach: int, seed: float = 1.35, gap: int = 2, cap: int = 200):
+        super().__init__(seed, gap, cap)
+        self.forward, self.reach, self.run, self.past, self.tails, self.open = forward, reach, None, deque(), {}, []
+
+    def end(self, key):
+        out = super().end(key)
+        for i in list(self.tails):
+            out += self._ended(key, i)
+        return out + [r for name, _, e in self.open for r in e.end(name)]
+
+    def _step(self, key):
+        frame, cands, out = self.frame, self.now, []
+        fresh = not self.past or frame - self.past[-1][0] > self.gap
+        self.past.append((frame, cands))
+        while self.past[0][0] < frame - self.reach - 24:  # 24 frames hold a track's first points and its end
+            self.past.popleft()
+        if self.open:
+            for x in self.open:
+                out += self._fed(x, frame, cands)
+            self.open = [x for x in self.open if not x[2].done and frame < x[1] + self.reach]
+        if fresh:
+            for i in list(self.tails):
+                out += self._ended(key, i)
+            self.active, self.next, self.run = [], 0, frame
+        at = {c[1]: c for c in cands}
+        for *_, i, _, cand in super()._step(key):
+            tail = self.tails.setdefault(i, deque(maxlen=self.POINTS) if self.forward else [])
+            if self.forward or len(tail) < self.POINTS:
+                tail.append((frame, at[cand][2], at[cand][3]))
+                if not self.forward and len(tail) == self.POINTS:
+                    out += self._back((key[0], self.run, i), tail)
+        for i in self.tails.keys() - {t["id"] for t in self.active}:
+            out += self._ended(key, i)
+        return out
+
+    def _ended(self, key, i):
+        tail, name, out = self.tails.pop(i), (key[0], self.run, i), []
+        if len(tail) < 3:
+            return out
+        if not self.forward:
+            return self._back(name, tail) if len(tail) < self.POINTS else out
+        x = (name, tail[-1][0], Extender())
+        x[2].pts.extend(tail)
+        for frame, cands in self.past:
+            out += self._fed(x, frame, cands) if frame > x[1] else []
+        if not x[2].done:
+            self.open.append(x)
+        return out
+
+    def _fed(self, x, frame, cands):
+        name, stop, e = x
+        if e.done or frame > stop + self.reach:
+            return self._closed(x)
+        out = []
+        for _, cand, px, py, quality, _ in cands:
+            out += e.row(name, (frame, False, cand, px, py, quality))
+        return out + (self._closed(x) if frame == stop + self.reach else [])
+
+    @staticmethod
+    def _closed(x):
+        out, x[2].done = x[2].end(x[0]), True
+        return out
+
+    def _back(self, name, tail):
+        e, out = Extender(), []
+        e.pts.extend((-f, x, y) for f, x, y in reversed(tail))
+        for frame, cands in reversed(self.past):
+            if frame < tail[0][0] - self.reach or e.done:
+                break
+            if frame < tail[0][0]:
+                for _, cand, x, y, quality, _ in cands:
+                    out += e.row(name, (-frame, False, cand, x, y, quality))
+        return [(*r[:3], -r[3], r[4]) for r in out + e.end(name)]
+
+
+def tracked_extensions(frames: DataFrame, grow: Callable[[DataFrame], DataFrame], forward: bool = True, reach: int = 40) -> DataFrame:
+    """``extensions`` of the tracks of ``greedy_tracks`` over their own candidates, in one pass: match_id, run, track, frame, cand_id. ``frames`` has match_id, frame and what ``grow`` needs to
+    make the frame's candidates (match_id, frame, cand_id, x, y, quality, area and the columns it doesn't know).
+
+    No track bridges a hole of five frames, forward or backward, so runs with smaller holes are followed side by side. Frames are shuffled, not candidates; neither points nor pairs of a
+    track and a candidate are written.
+    """
+    r = runs(frames, F.lit(True), 5)
+    return scan(r, ["match_id", "run"], ["frame", "cand_id"], ["frame", "cand_id", "x", "y", "quality", "area"], lambda: ExtendedTracker(forward, reach), "match_id long, run long, track long, frame long, cand_id long", grow)
+
+
 def parabola(points: list[tuple[float, float, float]], origin: float) -> tuple[float, float, float]:
     """Least squares parabola of x and of y over time about ``origin``: squared error of both, and the velocity there."""
     s = [0.0] * 5

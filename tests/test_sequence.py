@@ -340,3 +340,49 @@ def test_the_smoother_starts_anew_around_a_cut(spark):
     assert got[25].source == "kalman" and not got[34].vis and not got[35].vis  # no forecast after a start
     plain = {r.frame: r for r in kernels.smooth(df, ("model",)).collect()}
     assert any(plain[f].x != got[f].x or plain[f].vis != got[f].vis for f in range(27, 36))
+
+
+def exchanges(plan):
+    """Names of the nodes of an executed plan made without adaptive execution, with those above each: [(name, names above)]."""
+    out, todo = [], [(plan, ())]
+    while todo:
+        node, above = todo.pop()
+        name = node.nodeName()
+        out.append((name, above))
+        todo += [(node.children().apply(i), (*above, name)) for i in range(node.children().size())]
+    return out
+
+
+@pytest.fixture()
+def planned(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield lambda df: exchanges(df._jdf.queryExecution().executedPlan())
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_extensions_in_one_pass_equal_those_by_pairs(spark, seed):
+    rng, rows = random.Random(seed), []
+    for match in (1, 2):
+        frame, ends = 0, []
+        for _ in range(260):
+            frame += rng.choice([1] * 14 + [2, 3, 4, 5, 6, 7])
+            wild = frame % 60 < 12  # here the flights are too weak to be tracked
+            cands = [(frame * 4 + k, (100.0 + (7 + 5 * k) * (frame % 120) + rng.gauss(0, 1)), 300.0 + k * 90 - 3.0 * (frame % 60) + 0.05 * (frame % 60) ** 2, 1.3 if wild else 1.3 + rng.random(), 40.0) for k in range(3) if rng.random() < 0.85]
+            rows += [(match, frame, cands)] if cands else []
+    df = spark.createDataFrame(rows, "match_id long, frame long, c array<struct<cand_id:long,x:double,y:double,quality:double,area:double>>")
+    grow = lambda f: f.withColumn("c", F.explode("c")).select(*[k for k in f.columns if k != "c"], "c.*")
+    c = grow(df)
+    points = kernels.greedy_tracks(c).join(c, ["match_id", "frame", "cand_id"])
+    for forward in (True, False):
+        want = sorted(tuple(r) for r in kernels.extensions(points, c, forward).collect())
+        assert want and sorted(tuple(r) for r in kernels.tracked_extensions(df, grow, forward).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["f19c_forward_extensions", "f19d_backward_extensions"])
+def test_extensions_shuffle_frames_once(planned, spark, sf, name):
+    """One shuffle by block, its summary's two, one by run; no pairs of a track and a frame."""
+    from courtlane.plans import ref_tracks
+
+    plan = planned(getattr(ref_tracks, name)(spark, sf))
+    assert sum(n == "Exchange" for n, _ in plan) <= 5 and sum(n == "SortMergeJoin" for n, _ in plan) <= 1
