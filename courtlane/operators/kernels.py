@@ -26,13 +26,13 @@ def scan(df: DataFrame, keys: list[str], order: list[str], columns: list[str], m
         at, state = None, None
         for part in parts:
             out = []
-            for values in part[[*keys, *columns]].itertuples(index=False, name=None):
-                key = values[: len(keys)]
+            of = lambda names: zip(*(part[c].tolist() for c in names))  # noqa: B023, E731
+            for key, values in zip(of(keys), of(columns)):
                 if key != at:
                     if state is not None:
                         out += state.end(at)
                     at, state = key, machine()
-                out += state.row(key, values[len(keys) :])
+                out += state.row(key, values)
             yield pd.DataFrame(out, columns=names)
         if state is not None:
             yield pd.DataFrame(state.end(at), columns=names)
@@ -476,6 +476,24 @@ def selected_track(candidates: DataFrame) -> DataFrame:
     return out.drop("run")
 
 
+def led(points: deque, dt: int) -> tuple[float, float]:
+    """Where the least squares parabola (a line under five points) over frame, x, y leads ``dt`` frames after the last point: one weight per point, the same for x and y."""
+    last = points[-1][0]
+    t = [p[0] - last for p in points]
+    n, a, b = len(t), sum(t), sum(k * k for k in t)
+    if n < 5:
+        det = n * b - a * a
+        w = [(b - a * dt + (n * dt - a) * k) / det for k in t]
+    else:
+        c, d, e = sum(k**3 for k in t), sum(k**4 for k in t), dt * dt
+        p, q, r = b * d - c * c, b * c - a * d, a * c - b * b  # cofactors of the normal equations
+        u, v, s = n * d - b * b, a * b - n * c, n * b - a * a
+        det = n * p + a * q + b * r
+        c0, c1, c2 = (p + q * dt + r * e) / det, (q + u * dt + v * e) / det, (r + v * dt + s * e) / det
+        w = [c0 + c1 * k + c2 * k * k for k in t]
+    return sum(k * p[1] for k, p in zip(w, points)), sum(k * p[2] for k, p in zip(w, points))
+
+
 class Extender:
     """Goes on from a track's last points, frame by frame, to the candidate that a local parabola (a line under five points) leads to: a tight gate, little acceleration, little
     turn; ends after ``misses`` frames without one."""
@@ -505,8 +523,6 @@ class Extender:
         self.done = self.done or self.missed >= self.most
 
     def _step(self, key):
-        import numpy as np
-
         cands, self.now = self.now, []
         if self.done or len(self.pts) < 3:
             return []
@@ -519,8 +535,7 @@ class Extender:
             if quality >= self.seed and bend <= 13.0 + 2.0 * (dt - 1) and (speed <= 3.0 or now <= 3.0 or (vx * wx + vy * wy) >= math.cos(math.radians(38.0)) * speed * now):
                 able.append((cand, x, y, quality, bend))
         if able:
-            t, deg = np.array([p[0] - f1 for p in self.pts], dtype=float), 2 if len(self.pts) >= 5 else 1
-            px, py = (float(np.polyval(np.polyfit(t, [p[i] for p in self.pts], deg), dt)) for i in (1, 2))
+            px, py = led(self.pts, dt)
             gate = min(30.0, 10.0 + 0.30 * speed + 4.0 * (dt - 1))
         for cand, x, y, quality, bend in able:
             d = math.hypot(x - px, y - py)
@@ -588,8 +603,9 @@ class ExtendedTracker(GreedyTracker):
                 tail.append((frame, at[cand][2], at[cand][3]))
                 if not self.forward and len(tail) == self.POINTS:
                     out += self._back((key[0], self.run, i), tail)
-        for i in self.tails.keys() - {t["id"] for t in self.active}:
-            out += self._ended(key, i)
+        if len(self.tails) > len(self.active):
+            for i in self.tails.keys() - {t["id"] for t in self.active}:
+                out += self._ended(key, i)
         return out
 
     def _ended(self, key, i):

@@ -386,3 +386,15 @@ def test_extensions_shuffle_frames_once(planned, spark, sf, name):
 
     plan = planned(getattr(ref_tracks, name)(spark, sf))
     assert sum(n == "Exchange" for n, _ in plan) <= 5 and sum(n == "SortMergeJoin" for n, _ in plan) <= 1
+
+
+def test_where_a_flight_leads_equals_numpy():
+    rng = random.Random(3)
+    for n in range(3, 8):
+        for _ in range(50):
+            frames = sorted(rng.sample(range(-500_000, -499_985), n))
+            pts = [(f, rng.uniform(0, 1920), rng.uniform(0, 1080)) for f in frames]
+            for dt in range(1, 6):
+                t = np.array(frames, dtype=float) - frames[-1]
+                want = [np.polyval(np.polyfit(t, [p[i] for p in pts], 2 if n >= 5 else 1), dt) for i in (1, 2)]
+                assert np.allclose(kernels.led(pts, dt), want, rtol=1e-9, atol=1e-7)
