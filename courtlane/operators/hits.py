@@ -45,20 +45,21 @@ def evidence(hits: DataFrame, track: DataFrame, impulses: DataFrame, boxes: Data
     """Each hit with its first reason to be rejected (accepted where none) and whether the ball was seen on its very frame: hit_id, match_id, frame, reason, ball_observed.
 
     The limits are those of the function; the command line takes 8 frames of audio and 18 of track. Only the track's rows within ``reach`` frames of a hit are met, by an equi join on the
-    frames that each hit can see. A frame beyond the match's last, or a hit without a position, is invalid.
+    frames that each hit can see, whose rows the planner takes for as few as the hits, hence the hints: none of these sides may be broadcast. A frame beyond the match's last, or a hit without
+    a position, is invalid.
     """
     real = F.col("vis") & F.col("source").isin("model", "classical")
     at = F.struct("frame", "x", "y")
     t = track.select("match_id", "frame", "x", "y", "source", real.alias("real"))
     stop = track.groupBy("match_id").agg(F.max("frame").alias("stop"))
     asked = hits.select("hit_id", "match_id", F.col("frame").alias("hf"), F.explode(F.sequence(F.col("frame") - reach, F.col("frame") + reach)).alias("frame"))
-    seen = asked.join(t, ["match_id", "frame"]).groupBy("hit_id").agg(
+    seen = asked.hint("merge").join(t, ["match_id", "frame"]).groupBy("hit_id").agg(
         F.count_if("real").alias("n"), F.max(F.when(F.col("real") & (F.col("frame") < F.col("hf")), at)).alias("l"), F.min(F.when(F.col("real") & (F.col("frame") > F.col("hf")), at)).alias("r"),
         F.max(F.when(F.col("real") & (F.col("frame") == F.col("hf")), at)).alias("o"), F.max(F.when(F.col("frame") == F.col("hf"), F.col("source"))).alias("tsource"),
     )
     heard = impulses.select("match_id", F.explode(F.sequence(F.col("frame") - audio, F.col("frame") + audio)).alias("frame")).distinct().withColumn("heard", F.lit(True))
     box = boxes.groupBy("match_id", "frame").agg(F.collect_list(F.struct("b0", "b1", "b2", "b3", F.col("kp")[9].alias("w1"), F.col("kp")[10].alias("w2"))).alias("boxes"))
-    h = join_small(hits, stop, ["match_id"]).join(seen, "hit_id", "left").join(heard, ["match_id", "frame"], "left").join(box, ["match_id", "frame"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    h = join_small(hits, stop, ["match_id"]).join(seen.hint("merge"), "hit_id", "left").join(heard.hint("merge"), ["match_id", "frame"], "left").join(box.hint("merge"), ["match_id", "frame"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     inside = F.exists("boxes", lambda b: F.col("x").between(b["b0"] - margin, b["b2"] + margin) & F.col("y").between(b["b1"] - margin, b["b3"] + margin))
     touch = F.exists("boxes", lambda b: F.least(*[F.sqrt((F.col("x") - b[w]["x"]) ** 2 + (F.col("y") - b[w]["y"]) ** 2) for w in ("w1", "w2")]) <= near)
     a = (F.col("frame") - F.col("l.frame")) / (F.col("r.frame") - F.col("l.frame"))

@@ -398,3 +398,13 @@ def test_where_a_flight_leads_equals_numpy():
                 t = np.array(frames, dtype=float) - frames[-1]
                 want = [np.polyval(np.polyfit(t, [p[i] for p in pts], 2 if n >= 5 else 1), dt) for i in (1, 2)]
                 assert np.allclose(kernels.led(pts, dt), want, rtol=1e-9, atol=1e-7)
+
+
+@pytest.mark.parametrize("name", ["c19_hit_evidence"])
+def test_rows_spread_over_frames_are_not_broadcast(planned, spark, sf, name):
+    """Many times the rows that the planner takes them for, they would be gathered by the driver."""
+    from courtlane.plans import reference
+
+    plan = planned(reference.QUERIES[name](spark, sf))
+    spread = [above for n, above in plan if n == "Generate"]
+    assert spread and not any("BroadcastExchange" in above for above in spread)
