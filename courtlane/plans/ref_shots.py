@@ -154,13 +154,14 @@ dv AS (SELECT hit_id, max(tall) AS tall, count(*) AS n, count(*) FILTER (frame -
 
 @add("track hits info", _DIR, "SELECT hit_id, CASE WHEN v < 0 THEN 'near' ELSE 'far' END AS side, round(least(0.76, 0.42 + 0.20 * least(1, abs(v) / greatest(greatest(7, tall * 0.008) * 3, 1)) + 0.12 * least(1, (n - 2) / 5)), 6) AS confidence FROM dv WHERE n >= 3 AND k >= 2 AND abs(v) >= greatest(7, tall * 0.008)")
 def e20_outgoing_direction(spark, sf):
-    """The points a hit can see are joined by (match, frame): each hit is spread over the half second after it."""
+    """The points a hit can see are joined by (match, frame): each hit is spread over the half second after it. The planner takes the spread rows for as few as the hits, hence the hint: they
+    may not be broadcast."""
     h = with_info(hits(spark, sf).select("hit_id", "match_id", F.col("frame").alias("a")), spark, sf)
     span = F.greatest(F.lit(6), F.floor(0.55 * F.greatest("fps", F.lit(1.0)) + 0.5)).cast("long")
     h = h.select("hit_id", "match_id", (F.greatest("q5", "q7") - F.least("q1", "q3")).alias("tall"), F.explode(F.sequence(F.col("a") + 1, F.col("a") + span)).alias("frame"))
     t = track(spark, sf).where(F.col("vis") & F.col("source").isin(*REAL)).select("match_id", "frame", "y")
     w = Window.partitionBy("hit_id").orderBy("frame")
-    p = h.join(t, ["match_id", "frame"]).withColumns({"pf": F.lag("frame").over(w), "py": F.lag("y").over(w)})
+    p = h.hint("merge").join(t, ["match_id", "frame"]).withColumns({"pf": F.lag("frame").over(w), "py": F.lag("y").over(w)})
     near = F.col("frame") - F.col("pf") <= 2
     g = p.groupBy("hit_id").agg(F.max("tall").alias("tall"), F.count("*").alias("n"), F.count(F.when(near, 1)).alias("k"), F.percentile(F.when(near, (F.col("y") - F.col("py")) / (F.col("frame") - F.col("pf"))), F.lit(0.5)).alias("v"))
     least = F.greatest(F.lit(7.0), F.col("tall") * 0.008)
