@@ -14,18 +14,19 @@ add = Registry()
 @add("", "f AS (SELECT DISTINCT match_id, frame, visibility FROM sidecar WHERE match_id IS NOT NULL AND frame IS NOT NULL)", "SELECT match_id, CAST(floor((frame - 4) / 8) * 8 + 4 AS BIGINT) AS window_start, CAST(count(*) AS BIGINT) AS frames, CAST(sum(coalesce(visibility, 0)) AS BIGINT) AS visible FROM f GROUP BY ALL")
 def i01_count_windows(spark, sf):
     """Windows of eight frames from half a window on, as a stream; repeated rows of a frame are dropped by its state."""
-    return E.run_available(E.count_windows(_frames(spark, sf), 8, 4), "windows", "complete")
+    return _windows(spark, sf, "windows", 8, 4)
 
 
-def _frames(spark, sf):
-    s = E.read_stream(spark, sf, "sidecar").where("match_id is not null and frame is not null")
-    return s.select("match_id", "frame", "visibility").dropDuplicates(["match_id", "frame", "visibility"])
+def _windows(spark, sf, label, *numbers):
+    """Files are taken in one batch: in complete mode each batch writes all of the state. The state holds a word for 64 frames; windows are counted on its last result."""
+    s = E.read_stream(spark, sf, "sidecar", 1_000_000).where("match_id is not null and frame is not null")
+    return E.count_windows(E.run_available(E.frame_words(s, *numbers), label, "complete"), *numbers)
 
 
 @add("", "f AS (SELECT DISTINCT match_id, frame, visibility FROM sidecar WHERE match_id IS NOT NULL AND frame IS NOT NULL), g AS (SELECT *, unnest([floor(frame / 2) * 2, floor(frame / 2) * 2 - 2, floor(frame / 2) * 2 - 4, floor(frame / 2) * 2 - 6]) AS s FROM f)", "SELECT match_id, CAST(s AS BIGINT) AS window_start, CAST(count(*) AS BIGINT) AS frames, CAST(sum(coalesce(visibility, 0)) AS BIGINT) AS visible FROM g GROUP BY ALL")
 def i01_sliding_windows(spark, sf):
     """Windows of eight frames that begin every two frames, as a stream."""
-    return E.run_available(E.count_windows(_frames(spark, sf), 8, 0, 2), "slides", "complete")
+    return _windows(spark, sf, "slides", 8, 0, 2)
 
 
 _GAP = "h AS (SELECT DISTINCT s.match_id, frame, coalesce(fps, 30) AS fps FROM sidecar s LEFT JOIN (SELECT match_id, max(fps) AS fps FROM match_info GROUP BY 1) m USING (match_id) WHERE hit = 1 AND frame IS NOT NULL AND s.match_id IS NOT NULL), c AS (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY match_id ORDER BY frame) <= 5 * fps THEN 0 ELSE 1 END AS o FROM h), r AS (SELECT *, sum(o) OVER (PARTITION BY match_id ORDER BY frame) AS n FROM c)"

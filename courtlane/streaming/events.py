@@ -43,14 +43,36 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
 
 
-def count_windows(frames: DataFrame, length: int, offset: int = 0, slide: int | None = None) -> DataFrame:
-    """Windows of ``length`` frames, one every ``slide`` frames (tumbling where it isn't given), that begin at ``offset`` plus multiples: match_id, window_start, frames, visible. The same for
-    batch and stream; ``slide`` must divide ``length``. Windows at a match's ends hold fewer frames."""
+def _stretch(length: int, slide: int) -> int:
+    """Frames from one stretch of whole windows to the next; a stretch has at most 64."""
+    if not 0 < slide <= length <= 64 or length % slide:
+        raise ValueError("length must be at most 64, and a multiple of slide")
+    return ((64 - length) // slide + 1) * slide
+
+
+def frame_words(frames: DataFrame, length: int, offset: int = 0, slide: int | None = None) -> DataFrame:
+    """The state of ``count_windows``: match_id, stretch, visibility and a word with a bit for each frame of the stretch that has a row of that visibility. Repeated rows set the same bit, so
+    there is no state per row. The same for batch and stream. A stretch holds whole windows; frames at its start end the one before, too."""
+    slide = slide or length
+    step = _stretch(length, slide)
+    at = F.col("frame").cast("long") - offset
+    last = F.floor(at / step).cast("long")
+    both = F.array(F.struct(last.alias("stretch"), F.pmod(at, F.lit(step)).alias("bit")), F.struct((last - 1).alias("stretch"), (F.pmod(at, F.lit(step)) + step).alias("bit")))
+    w = frames.select("match_id", "visibility", F.explode(both).alias("s")).where(F.col("s.bit") < step - slide + length)
+    return w.groupBy("match_id", F.col("s.stretch").alias("stretch"), "visibility").agg(F.bit_or(F.expr("shiftleft(1L, cast(s.bit as int))")).alias("word"))
+
+
+def count_windows(words: DataFrame, length: int, offset: int = 0, slide: int | None = None) -> DataFrame:
+    """Windows of ``length`` frames, one every ``slide`` frames (tumbling where it isn't given), that begin at ``offset`` plus multiples: match_id, window_start, frames, visible. ``words`` come
+    from ``frame_words`` with the same numbers. Rows of one frame that differ in visibility count apart; windows at a match's ends hold fewer frames."""
     slide = slide or length
-    last = F.floor((F.col("frame") - offset) / slide) * slide + offset
-    starts = F.explode(F.array(*[(last - k * slide).cast("long") for k in range(length // slide)]))
-    w = frames.select("match_id", "visibility", starts.alias("window_start"))
-    return w.groupBy("match_id", "window_start").agg(F.count("*").alias("frames"), F.sum(F.coalesce(F.col("visibility"), F.lit(0)).cast("long")).alias("visible"))
+    step = _stretch(length, slide)
+    ones = F.lit(-1 if length == 64 else (1 << length) - 1)
+    n = lambda word, k: F.bit_count(F.expr("shiftrightunsigned({}, {})".format(word, k)).bitwiseAND(ones)).cast("long")
+    seen = F.coalesce("visibility", F.lit(0)).cast("long")
+    each = [F.struct(F.sum(n("word", k)).alias("frames"), F.sum(n("word", k) * seen).alias("visible"), F.lit(k).alias("k")) for k in range(0, step, slide)]
+    g = words.groupBy("match_id", "stretch").agg(F.array(*each).alias("w")).select("match_id", "stretch", F.explode("w").alias("w")).where("w.frames > 0")
+    return g.select("match_id", (F.col("stretch") * step + offset + F.col("w.k")).alias("window_start"), "w.frames", "w.visible")
 
 
 def sessions(hits: DataFrame, fps: int | Column, seconds: int = 5, delay: str = "1 hour") -> DataFrame:

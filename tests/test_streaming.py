@@ -1,6 +1,8 @@
 """Streams: state over micro-batches equals the batch result; late rows are counted."""
 
+import random
 import time
+from collections import Counter
 
 import pytest
 
@@ -42,3 +44,22 @@ def test_late_rows_are_dropped_and_counted(spark, folder):
     q.awaitTermination()
     assert events.late_rows(q) == 1
     assert (1, 0, 30) in {tuple(r) for r in spark.table("late").collect()}
+
+
+@pytest.mark.parametrize("numbers", [(8, 4, None), (8, 0, 2), (5, -3, 1), (64, 7, 64)])
+def test_windows_by_words(spark, numbers):
+    """Repeated rows count once, rows of one frame that differ in visibility apart; the state has a word for many frames, not a row for each."""
+    length, offset, slide = numbers
+    rng = random.Random(5)
+    rows = [(m, rng.randrange(-70, 700), rng.choice([0, 1, 1, 1, 2, None])) for m in (1, 2) for _ in range(900)]
+    want, seen = Counter(), Counter()
+    for m, f, v in set(rows):
+        last = (f - offset) // (slide or length) * (slide or length) + offset
+        for s in range(last, f - length, -(slide or length)):
+            want[m, s] += 1
+            seen[m, s] += v or 0
+    words = events.frame_words(spark.createDataFrame(rows, "match_id long, frame int, visibility int"), *numbers)
+    got = {(r.match_id, r.window_start): (r.frames, r.visible) for r in events.count_windows(words, *numbers).collect()}
+    assert got == {k: (n, seen[k]) for k, n in want.items()}
+    if length == 8:
+        assert words.count() < len(set(rows)) / 5
