@@ -5,6 +5,7 @@ import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from courtlane.streaming import events
 
@@ -63,3 +64,17 @@ def test_windows_by_words(spark, numbers):
     assert got == {k: (n, seen[k]) for k, n in want.items()}
     if length == 8:
         assert words.count() < len(set(rows)) / 5
+
+
+def test_windows_of_the_sidecar_come_in_one_batch(spark, folder, monkeypatch):
+    from courtlane.plans import ref_streams
+
+    for i in range(20):
+        spark.range(i * 10, i * 10 + 10).select(F.lit(1).cast("long").alias("match_id"), F.col("id").cast("int").alias("frame"), F.lit(1).alias("visibility")).coalesce(1).write.mode("append").parquet(f"{folder}/sidecar.parquet")
+    told, run = [], events.run_available
+    monkeypatch.setattr(ref_streams.E, "run_available", lambda s, *a: (told.append(s), run(s, *a))[1])
+    assert sum(r.frames for r in ref_streams.i01_count_windows(spark, folder).collect()) == 200
+    monkeypatch.undo()
+    batches = []
+    told[0].writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/again").trigger(availableNow=True).foreachBatch(lambda df, k: batches.append(df.count())).start().awaitTermination()
+    assert batches == [5]  # one batch; four words of 64 frames from frame 4 on, and one before it
