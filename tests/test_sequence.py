@@ -400,7 +400,7 @@ def test_where_a_flight_leads_equals_numpy():
                 assert np.allclose(kernels.led(pts, dt), want, rtol=1e-9, atol=1e-7)
 
 
-@pytest.mark.parametrize("name", ["c19_hit_evidence", "e20_outgoing_direction"])
+@pytest.mark.parametrize("name", ["c19_hit_evidence", "c19_reject_counts", "e20_outgoing_direction"])
 def test_rows_spread_over_frames_are_not_broadcast(planned, spark, sf, name):
     """Many times the rows that the planner takes them for, they would be gathered by the driver."""
     from courtlane.plans import reference
