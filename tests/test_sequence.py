@@ -408,3 +408,17 @@ def test_rows_spread_over_frames_are_not_broadcast(planned, spark, sf, name):
     plan = planned(reference.QUERIES[name](spark, sf))
     spread = [above for n, above in plan if n == "Generate"]
     assert spread and not any("BroadcastExchange" in above for above in spread)
+
+
+def test_reject_counts_broadcast_only_the_ends_of_matches(planned, spark, sf):
+    """Whatever the threshold: the driver gathers one row per match, never rows per hit, per impulse or per frame."""
+    from courtlane.plans import reference
+
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        plan = planned(reference.QUERIES["c19_reject_counts"](spark, sf))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    sent = [n for n, _ in plan if n in ("BroadcastExchange", "BroadcastHashJoin", "BroadcastNestedLoopJoin")]
+    assert sorted(sent) == ["BroadcastExchange", "BroadcastHashJoin"]
