@@ -45,15 +45,22 @@ def late_rows(query: StreamingQuery) -> int:
 
 def _stretch(length: int, slide: int) -> int:
     """Frames from one stretch of whole windows to the next; a stretch has at most 64."""
-    if not 0 < slide <= length <= 64 or length % slide:
-        raise ValueError("length must be at most 64, and a multiple of slide")
     return ((64 - length) // slide + 1) * slide
 
 
+def _pane(length: int, slide: int) -> int | None:
+    """Frames of the equal parts that windows longer than a word are put together from: the largest divisor of ``slide`` up to 64. None for windows that fit into a word."""
+    if not 0 < slide <= length or length % slide:
+        raise ValueError("length must be a multiple of slide")
+    return max(d for d in range(1, 65) if slide % d == 0) if length > 64 else None
+
+
 def frame_words(frames: DataFrame, length: int, offset: int = 0, slide: int | None = None) -> DataFrame:
     """The state of ``count_windows``: match_id, stretch, visibility and a word with a bit for each frame of the stretch that has a row of that visibility. Repeated rows set the same bit, so
-    there is no state per row. The same for batch and stream. A stretch holds whole windows; frames at its start end the one before, too."""
+    there is no state per row. The same for batch and stream. A stretch holds whole windows, or panes of longer ones; frames at its start end the one before, too."""
     slide = slide or length
+    if pane := _pane(length, slide):
+        return frame_words(frames, pane, offset)
     step = _stretch(length, slide)
     at = F.col("frame").cast("long") - offset
     last = F.floor(at / step).cast("long")
@@ -64,8 +71,13 @@ def frame_words(frames: DataFrame, length: int, offset: int = 0, slide: int | No
 
 def count_windows(words: DataFrame, length: int, offset: int = 0, slide: int | None = None) -> DataFrame:
     """Windows of ``length`` frames, one every ``slide`` frames (tumbling where it isn't given), that begin at ``offset`` plus multiples: match_id, window_start, frames, visible. ``words`` come
-    from ``frame_words`` with the same numbers. Rows of one frame that differ in visibility count apart; windows at a match's ends hold fewer frames."""
+    from ``frame_words`` with the same numbers. Rows of one frame that differ in visibility count apart; windows at a match's ends hold fewer frames. Any ``length``, a multiple of ``slide``."""
     slide = slide or length
+    if pane := _pane(length, slide):
+        last = F.floor((F.col("window_start") - offset) / slide) * slide + offset
+        starts = F.explode(F.array(*[(last - k * slide).cast("long") for k in range(length // slide)]))
+        p = count_windows(words, pane, offset).select("match_id", starts.alias("window_start"), "frames", "visible")
+        return p.groupBy("match_id", "window_start").agg(F.sum("frames").alias("frames"), F.sum("visible").alias("visible"))
     step = _stretch(length, slide)
     ones = F.lit(-1 if length == 64 else (1 << length) - 1)
     n = lambda word, k: F.bit_count(F.expr("shiftrightunsigned({}, {})".format(word, k)).bitwiseAND(ones)).cast("long")

@@ -78,3 +78,28 @@ def test_windows_of_the_sidecar_come_in_one_batch(spark, folder, monkeypatch):
     batches = []
     told[0].writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/again").trigger(availableNow=True).foreachBatch(lambda df, k: batches.append(df.count())).start().awaitTermination()
     assert batches == [5]  # one batch; four words of 64 frames from frame 4 on, and one before it
+
+
+@pytest.mark.parametrize("numbers", [(65, 0, None), (128, 4, 64), (100, -3, 20), (134, 7, 67), (96, 0, 1)])
+def test_windows_longer_than_a_word(spark, numbers):
+    """No length is refused: windows beyond 64 frames are put together from panes."""
+    length, offset, slide = numbers
+    rng = random.Random(6)
+    rows = [(m, rng.randrange(-300, 900), rng.choice([0, 1, 1, 2, None])) for m in (1, 2) for _ in range(900)]
+    want, seen = Counter(), Counter()
+    for m, f, v in set(rows):
+        last = (f - offset) // (slide or length) * (slide or length) + offset
+        for s in range(last, f - length, -(slide or length)):
+            want[m, s] += 1
+            seen[m, s] += v or 0
+    words = events.frame_words(spark.createDataFrame(rows, "match_id long, frame int, visibility int"), *numbers)
+    got = {(r.match_id, r.window_start): (r.frames, r.visible) for r in events.count_windows(words, *numbers).collect()}
+    assert got == {k: (n, seen[k]) for k, n in want.items()}
+    assert words.count() < len(set(rows)) / 4
+
+
+def test_windows_need_a_slide_that_divides_them(spark):
+    frames = spark.createDataFrame([(1, 1, 1)], "match_id long, frame int, visibility int")
+    for numbers in [(8, 0, 3), (8, 0, 16), (100, 0, 64), (8, 0, -8)]:
+        with pytest.raises(ValueError):
+            events.frame_words(frames, *numbers)
