@@ -422,3 +422,19 @@ def test_reject_counts_broadcast_only_the_ends_of_matches(planned, spark, sf):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
     sent = [n for n, _ in plan if n in ("BroadcastExchange", "BroadcastHashJoin", "BroadcastNestedLoopJoin")]
     assert sorted(sent) == ["BroadcastExchange", "BroadcastHashJoin"]
+
+
+def test_reject_counts_broadcast_nothing_more_once_sizes_are_known(spark, sf):
+    """The plan that ran: what adaptive execution finds to be small isn't turned into a broadcast, either."""
+    from courtlane.plans import reference
+
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        df = reference.QUERIES["c19_reject_counts"](spark, sf)
+        assert df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    ran = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "== Final Plan ==" in ran
+    assert [ran.count(n) for n in ("BroadcastExchange", "BroadcastHashJoin", "BroadcastNestedLoopJoin", "SortMergeJoin")] == [1, 1, 0, 4]
